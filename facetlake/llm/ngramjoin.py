@@ -234,22 +234,27 @@ class Join:
         return found
 
 
+def grouped(df: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_md5, n_shingles, component, component_id) of every row; component is a key, null without n-grams."""
+    join = Join(df, n, num, den, id_col, text_col)
+    known = components(join.links())
+    classes = join.docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    named = written(classes.join(known, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component")), "classes")
+    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    of = written(named.join(ids, "component").select("key", "component", "component_id"), "membership")
+    own = F.when(F.col("key").isNull(), F.col("doc_id"))
+    return join.docs.drop("prefix").join(of, "key", "left").select("doc_id", "text_md5", "n_shingles", "component", F.coalesce("component_id", own).alias("component_id"))
+
+
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_md5) of every row.
+    """(doc_id, n_shingles, component_id) of every row.
 
     Documents are linked where den * |A & B| >= num * |A | B| for their sets of word n-grams (A-Z lower-cased; a text of fewer
     words is one n-gram); component_id is the least id reachable by links. Null and empty texts, and those of blanks, have no
     n-grams and are linked with nothing. Null ids are linked but never a component's id unless it has no other. Repeated rows
     stay and are linked with each other. Other columns are ignored. An empty table gives an empty result.
     """
-    join = Join(df, n, num, den, id_col, text_col)
-    known = components(join.links())
-    classes = join.docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = written(classes.join(known, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component")), "classes")
-    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
-    of = written(named.join(ids, "component").select("key", "component_id"), "membership")
-    joined = join.docs.drop("prefix").join(of, "key", "left")
-    return joined.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("component_id"), "text_md5")
+    return grouped(df, n, num, den, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
 
 
 def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,13 +263,15 @@ def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
     Of rows with that id in one component the one with the least MD5 of the text stays, of rows equal in both any one. Texts
     without n-grams all stay. All columns are kept.
     """
-    found = written(near_duplicates(df, n, num, den, id_col, text_col), "near")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce((F.col(id_col) != F.col("component_id")), F.lit(False)), "text_md5")).alias("best"))
-    rows = found.where("n_shingles > 0").join(first, F.col(f"{found.columns[2]}").eqNullSafe(first["component_id"]))
-    away = rows.where(~F.col(id_col).eqNullSafe(found["component_id"]) | (F.col("text_md5") != F.col("best.text_md5"))).select(F.col(id_col).alias("_gone"), F.col("text_md5").alias("_md5")).distinct()
-    away = written(away, "away")
+    found = written(grouped(df, n, num, den, id_col, text_col).where("component is not null"), "near")
+    later = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = written(found.groupBy("component").agg(F.min(F.struct(later.alias("later"), "text_md5")).alias("best")), "best")
+    rows = found.join(best, "component").where(later | (F.col("text_md5") != F.col("best.text_md5")))
+    taken = set(df.columns)
+    gone, md5 = (next(c for c in (f"_{x}{i or ''}" for i in range(99)) if c not in taken) for x in ("gone", "md5"))
+    away = written(rows.select(F.col("doc_id").alias(gone), F.col("text_md5").alias(md5)).distinct(), "away")
     if away.count() <= BROADCAST_ROWS:
         away = F.broadcast(away)
-    kept = df.join(away, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.md5(text_of(text_col)) == F.col("_md5")), "left_anti")
-    repeats = found.where("n_shingles > 0").groupBy(id_col, "text_md5").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if repeats else kept
+    kept = df.join(away, F.col(id_col).eqNullSafe(F.col(gone)) & (F.md5(text_of(text_col)) == F.col(md5)), "left_anti")
+    repeated = found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, media, packing, quality, secrets, urlgraph, warc
+from . import bpe, linededup, media, ngramjoin, packing, quality, secrets, toxicity, urlgraph, warc
 from .common import documents, pages
 
 
@@ -45,7 +45,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_warc": op3_warc, "op4_media": op4_media, "op5_quality": op5_quality, "op6_urls": op6_urls, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_bpe, op2_secrets, op3_warc, op4_media, op5_quality, op6_urls, op7_packing, op8_line_dedup, op9_toxicity, op10_ngram_join)
+}
 ORACLES: dict[str, str] = {
     "op6_urls": urlgraph.oracle(),
     "op8_line_dedup": """
@@ -71,4 +81,13 @@ SELECT page_id, strlen(html) AS payload_bytes,
     + strlen(html) + 5 + (strlen(html) // 8192) * 8
     + CASE WHEN strlen(html) % 8192 > 0 THEN 4 + strlen(to_hex(strlen(html) % 8192)) ELSE 0 END) / 32768.0))::INT ELSE 1 END AS n_segments
 FROM p JOIN f USING (hex)""",
+    "op10_ngram_join": """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+u AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS x FROM g),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+c AS (SELECT r, r AS o FROM g UNION SELECT c.r, l.b FROM c JOIN l ON c.o = l.a),
+m AS (SELECT c.r, min(g.doc_id) AS component_id FROM c JOIN g ON c.o = g.r GROUP BY c.r)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM g JOIN m ON g.r = m.r""",
 }

@@ -80,38 +80,51 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def find_secrets(df: DataFrame, ranks: str, pattern: str, max_ratio: float = 2.2, id_col: str = "doc_id", text_col: str = "text", redact: str | None = None) -> DataFrame:
-    """Secrets of every text: (id, n_assign, n_access, n_hex, n_random, base_sha256, spans[, redacted text]).
+def all_spans(text: str, encoding: tiktoken.Encoding, max_ratio: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The base spans, and all spans by start and kind."""
+    base = base_spans(text)
+    return base, sorted(base + random_spans(text, encoding, max_ratio, base))
+
+
+def find_secrets(df: DataFrame, ranks: str, pattern: str, max_ratio: float = 2.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Secrets of every text: (id, n_assign, n_access, n_hex, n_random, base_sha256, spans).
 
     Spans are code points, end exclusive. Null text counts as empty and has none. Null ids and repeated rows pass through.
-    Other columns are ignored. Texts are scanned whole. With ``redact``, a last column ``redacted`` has the text with each
-    stretch of spans replaced by that string (null stays null). An empty table gives an empty one.
+    Other columns are ignored. Texts are scanned whole. An empty table gives an empty one.
     """
     small_batches(df.sparkSession)
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + ", redacted string" * (redact is not None)
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
+    names = [id_col, *(x.split()[0] for x in schema.split(", ")[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = coder(ranks, pattern)
         for batch in batches:
             rows = []
-            texts = batch.column(1).to_pylist()
-            for text in texts:
-                base = base_spans(text)
-                extra = random_spans(text, encoding, max_ratio, base)
-                spans = sorted(base + extra)
+            for text in batch.column(1).to_pylist():
+                base, spans = all_spans(text, encoding, max_ratio)
                 n = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-                row = [*n, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)]
-                if redact is not None:
-                    row.append(redacted(text, spans, redact))
-                rows.append(row)
+                rows.append((*n, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
             columns = list(zip(*rows, strict=True)) or [[] for _ in names[1:]]
-            types = [pa.int64()] * 4 + [pa.string()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names)
+            types = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     return df.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def redact(df: DataFrame, ranks: str, pattern: str, mark: str = "[SECRET]", max_ratio: float = 2.2, text_col: str = "text") -> DataFrame:
+    """``df`` with every stretch of secret spans in the text replaced by ``mark``; null text stays null, all columns and rows stay."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = coder(ranks, pattern)
+        for batch in batches:
+            texts = [None if t is None else redacted(t, all_spans(t, encoding, max_ratio)[1], mark) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     """The text with each maximal stretch of overlapping spans replaced by ``mark``."""
     out, at = [], 0
