@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_of, written
 
-#: N-grams in at least this many texts are sorted behind the rare ones, by an estimate of their number.
+#: N-grams in at least this many texts, and words at least so frequent, are known to the order by an estimate of their number.
 FREQUENT = 32
-#: Frequent n-grams that workers get; the least frequency rises so that no more can exist.
+#: Frequent n-grams, and words, that workers get; the least number rises so that no more can exist.
 FREQUENT_KEPT = 500_000
-#: N-grams of a batch of texts in which repeated ones are counted together.
+#: N-grams or words of a batch of texts in which repeated ones are counted together.
 COUNTED_TOGETHER = 2_000_000
-#: Fragments of the global order: so many equal parts of the rare n-grams, and one of the frequent ones.
+#: Fragments of the global order: so many ranges of the rare n-grams, and one of the frequent ones.
 RARE_FRAGMENTS = 8
 #: Classes of a bucket up to which all its pairs are candidates at once.
 SMALL_BUCKET = 8
@@ -39,18 +39,27 @@ HUB_ROUNDS = 4
 BROADCAST_ROWS = 500_000
 
 
-def gram_set(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a text, A-Z lower-cased; of all its words where they are fewer."""
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of a text, A-Z lower-cased."""
     words = text.encode().lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not words:
-        return np.empty(0, np.int64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def grams_of(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the word n-grams at each place; one of all words where they are fewer."""
     k = min(n, len(w))
+    if not k:
+        return np.empty(0, np.int64)
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
         h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    return np.unique(h.view(np.int64))
+    return h.view(np.int64)
+
+
+def gram_set(text: str, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams of a text."""
+    return np.unique(grams_of(word_hashes(text), n))
 
 
 def class_key(grams: np.ndarray) -> bytes | None:
@@ -58,65 +67,86 @@ def class_key(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
+class Counts:
+    """Estimates of how often frequent hashes occur; 0 for the others."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        at = np.argsort(hashes, kind="stable")
+        self.hashes, self.counts = hashes[at], counts[at]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.counts[at], 0)
+
+
 class Order:
-    """The global order: n-grams that aren't known to be frequent by hash, then frequent ones by number and hash."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        at = np.argsort(grams, kind="stable")
-        self.grams, self.counts = grams[at], counts[at]
-
-    def split(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rare and the frequent n-grams of a sorted set, each in order."""
-        if not len(self.grams):
-            return grams, grams[:0]
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        frequent = self.grams[at] == grams
-        some = grams[frequent]
-        return grams[~frequent], some[np.lexsort((some, self.counts[at[frequent]]))]
-
-    def prefix(self, grams: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The global order of n-grams: by the estimated number of texts where it is known, then by how frequent the words are, then
+    by hash. N-grams of rare words come first and passages of many texts last, so first n-grams are seldom shared by chance."""
+
+    def __init__(self, grams: Counts, words: Counts, n: int):
+        self.grams, self.words, self.n = grams, words, n
+        self.most = n * int(8 * np.log2(1 + int(words.counts.max(initial=1)))) + 1
+
+    def placed(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n-grams sorted by hash, estimated numbers, scores of their words) of a text."""
+        w = word_hashes(text)
+        grams, first = np.unique(grams_of(w, self.n), return_index=True)
+        if not len(grams):
+            return grams, grams, grams
+        score = np.concatenate(([0], np.cumsum((8 * np.log2(1 + self.words.of(w.view(np.int64)))).astype(np.int64))))
+        k = min(self.n, len(w))
+        return grams, self.grams.of(grams), (score[k:] - score[:-k])[first]
+
+    def prefix(self, grams: np.ndarray, number: np.ndarray, score: np.ndarray, num: int, den: int) -> np.ndarray:
         """The first n-grams, one of which every set with a Jaccard coefficient of num / den or more has in its own prefix."""
         size = len(grams) - -(-num * len(grams) // den) + 1 if len(grams) else 0
-        rare, frequent = self.split(grams)
-        return np.concatenate((rare, frequent))[:size]
+        return grams[np.lexsort((grams, score, number))[:size]]
 
-    def fragments(self, grams: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(number, n-grams) of the fragments of the global order that hold some of these."""
-        rare, frequent = self.split(grams)
-        part = (rare.view(np.uint64) >> np.uint64(64 - (RARE_FRAGMENTS - 1).bit_length())).astype(int)
-        found = [(k, rare[part == k]) for k in np.unique(part).tolist()]
-        return found + [(RARE_FRAGMENTS, frequent)] * bool(len(frequent))
+    def fragments(self, text: str) -> list[tuple[int, np.ndarray]]:
+        """(number, n-grams) of the fragments of the global order that hold some of the text's."""
+        grams, number, score = self.placed(text)
+        part = np.where(number > 0, RARE_FRAGMENTS, np.minimum(score * RARE_FRAGMENTS // self.most, RARE_FRAGMENTS - 1))
+        return [(k, grams[part == k]) for k in np.unique(part).tolist()]
 
 
-def frequent_grams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of many texts and estimates of their numbers, from all texts.
+def frequent(texts: DataFrame, n: int) -> tuple[Counts, Counts]:
+    """Frequent n-grams and frequent words with estimates of their numbers, from all texts.
 
-    Tasks count the n-grams that repeat within a batch; their sums are close for frequent ones, and any estimate gives a valid
-    order. At most FREQUENT_KEPT can reach the least number, which grows with the sum of all counts.
+    Tasks count what repeats within a batch; the sums are close for what is frequent, and any estimate gives a valid order. At
+    most FREQUENT_KEPT of either can reach the least number, which grows with the sum of all counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def repeated(held):
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            twice = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(grams[twice]), pa.array(counts[twice].astype(np.int64))], ["gram", "n"])
+        def repeated(held, word):
+            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            kept = counts > (FREQUENT // 8 if word else 1)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), word)), pa.array(hashes[kept]), pa.array(counts[kept].astype(np.int64))], ["word", "hash", "n"])
 
-        held, size = [], 0
+        held: tuple[list, list] = ([], [])
+        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(gram_set(text, n))
-                size += len(held[-1])
+                w = word_hashes(text)
+                held[0].append(np.unique(grams_of(w, n)))
+                held[1].append(w.view(np.int64))
+                size += len(w)
                 if size > COUNTED_TOGETHER:
-                    yield repeated(held)
-                    held, size = [], 0
-        if held:
-            yield repeated(held)
+                    yield from (repeated(h, bool(k)) for k, h in enumerate(held))
+                    held, size = ([], []), 0
+        if held[0]:
+            yield from (repeated(h, bool(k)) for k, h in enumerate(held))
 
-    counts = texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = texts.select("text").mapInArrow(run, "word boolean, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     counts = written(counts, "frequent")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = counts.where(F.col("n") >= max(FREQUENT, -(-total // FREQUENT_KEPT))).toArrow()
-    return kept.column("gram").to_numpy(), kept.column("n").to_numpy()
+    out = []
+    for word in (False, True):
+        mine = counts.where(F.col("word") == word)
+        total = mine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        kept = mine.where(F.col("n") >= max(FREQUENT, -(-total // FREQUENT_KEPT))).select("hash", "n").toArrow()
+        out.append(Counts(kept.column("hash").to_numpy(), kept.column("n").to_numpy()))
+    return out[0], out[1]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -141,18 +171,19 @@ class Join:
         self.n, self.num, self.den = n, num, den
         self.texts = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
         self.id_type = df.schema[id_col].dataType.simpleString()
-        order = Order(*frequent_grams(self.texts, n))
+        order = Order(*frequent(self.texts, n), n)
         self.order = df.sparkSession.sparkContext.broadcast(order)
         self.docs = written(self.described(), "sets")
 
     def described(self) -> DataFrame:
         """(doc_id, text_md5, n_shingles, key, prefix) of every document."""
-        n, num, den, order = self.n, self.num, self.den, self.order
+        num, den, order = self.num, self.den, self.order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [gram_set(t, n) for t in batch.column(2).to_pylist()]
-                first = [order.value.prefix(s, num, den) for s in sets]
+                placed = [order.value.placed(t) for t in batch.column(2).to_pylist()]
+                sets = [x[0] for x in placed]
+                first = [order.value.prefix(*x, num, den) for x in placed]
                 prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), prefix], ["doc_id", "text_md5", "n_shingles", "key", "prefix"])
 
@@ -165,10 +196,9 @@ class Join:
         shared = written(rows.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "shared")
         return written(rows.join(shared, "gram"), "buckets")
 
-    def segments(self, buckets: DataFrame) -> DataFrame:
-        """(key, fragment, grams) of the classes in buckets, from the text of one of their documents."""
+    def segments(self, keys: DataFrame) -> DataFrame:
+        """(key, fragment, grams) of the distinct classes, from the text of one of their documents."""
         n, order = self.n, self.order
-        keys = buckets.select("key").distinct()
         one = written(self.docs.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("one")), "one")
         if one.count() <= BROADCAST_ROWS:
             one = F.broadcast(one)
@@ -180,7 +210,7 @@ class Join:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     found = gram_set(text, n)
                     if class_key(found) == key:  # other texts may have the same id
-                        for part, some in order.value.fragments(found):
+                        for part, some in order.value.fragments(text):
                             keys.append(key)
                             parts.append(part)
                             grams.append(some)
@@ -209,10 +239,12 @@ class Join:
     def links(self) -> DataFrame:
         """Links (a, b, na, nb, common) between classes that connect all that is connected."""
         buckets = self.buckets()
-        self.parts = self.segments(buckets)
         small = buckets.where(F.col("m") <= SMALL_BUCKET).withColumn("component", F.col("key"))
-        found = self.linked(self.pairs_within(small))
         large = buckets.where(F.col("m") > SMALL_BUCKET).drop("m")
+        pairs = written(self.pairs_within(small), "pairs")
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
+        self.parts = self.segments(keys)
+        found = self.linked(pairs)
         for i in range(HUB_ROUNDS + 1):
             if not large.limit(1).count():
                 return found

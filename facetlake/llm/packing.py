@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches, text_of, written
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 #: Pieces of a group at most, about: larger groups pack tighter, smaller ones spread better.
 GROUP_PIECES = 16_384
 BLANKS = bytes.maketrans(b"\t\n\r", b"   ")

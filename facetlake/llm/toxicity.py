@@ -37,7 +37,7 @@ ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s'’.,;:?-]|[^\w\s'’.,;:?-][^\
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(4, 10)
 LEVELS = 3
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 200_000
 
 
 def class_table() -> np.ndarray:
