@@ -28,11 +28,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/facetlake/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to remove an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    What was shuffled for it is removed once the table is there, as nothing reads it again.
+    """
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    path, before = new_folder(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -217,12 +217,21 @@ class Join:
                 values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, grams)]), pa.int32()), pa.array(np.concatenate([*grams, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(parts, pa.int32()), values], ["key", "fragment", "grams"])
 
-        return written(texts.mapInArrow(run, "key binary, fragment int, grams array<long>").dropDuplicates(["key", "fragment"]), "segments")
+        found = written(texts.mapInArrow(run, "key binary, fragment int, grams array<long>"), "segments")
+        if found.groupBy("key", "fragment").count().where("count > 1").limit(1).count():  # repeated rows
+            found = written(found.dropDuplicates(["key", "fragment"]), "segments")
+        return found
+
+    def parts_of(self, keys: DataFrame) -> DataFrame:
+        """The fragments of some classes; few are picked before anything is shuffled."""
+        keys = written(keys.distinct(), "keys")
+        return self.parts.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_ROWS else self.parts
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) that are links, with their overlap: partial overlaps of fragments, summed."""
-        left = self.parts.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = self.parts.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
+        pairs = written(pairs, "pairs")
+        left = self.parts_of(pairs.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
+        right = self.parts_of(pairs.select(F.col("b").alias("key"))).select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
         partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return written(summed.where(self.den * F.col("common") >= self.num * (F.col("na") + F.col("nb") - F.col("common"))), "links")
