@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_of, written
@@ -35,6 +35,8 @@ RARE_FRAGMENTS = 8
 #: Classes of a bucket up to which all its pairs are candidates at once.
 SMALL_BUCKET = 8
 HUB_ROUNDS = 4
+#: Bits of a set's signature, by which most candidate pairs are ruled out before any n-grams move.
+SIGNATURE_BITS = 512
 #: Rows up to which ids may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -62,6 +64,18 @@ def gram_set(text: str, n: int) -> np.ndarray:
     return np.unique(grams_of(word_hashes(text), n))
 
 
+def signature(grams: np.ndarray) -> list[int]:
+    """SIGNATURE_BITS bits: bit k says whether an odd number of the set's hashes end in k."""
+    odd = np.bincount(grams & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def most_common(na: Column, nb: Column, a: Column, b: Column) -> Column:
+    """The most that two sets of these sizes and signatures can have in common: each bit that differs is a hash of one alone."""
+    differ = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SIGNATURE_BITS // 64))
+    return F.floor((na + nb - differ) / 2)
+
+
 def class_key(grams: np.ndarray) -> bytes | None:
     """128-bit hash of a set; none for the empty set."""
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
@@ -176,7 +190,7 @@ class Join:
         self.docs = written(self.described(), "sets")
 
     def described(self) -> DataFrame:
-        """(doc_id, text_md5, n_shingles, key, prefix) of every document."""
+        """(doc_id, text_md5, n_shingles, key, prefix, signature) of every document."""
         num, den, order = self.num, self.den, self.order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,14 +199,16 @@ class Join:
                 sets = [x[0] for x in placed]
                 first = [order.value.prefix(*x, num, den) for x in placed]
                 prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), prefix], ["doc_id", "text_md5", "n_shingles", "key", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), prefix, pa.array([signature(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_md5", "n_shingles", "key", "prefix", "signature"])
 
-        return self.texts.select("doc_id", F.md5("text"), "text").mapInArrow(run, f"doc_id {self.id_type}, text_md5 string, n_shingles long, key binary, prefix array<long>")
+        return self.texts.select("doc_id", F.md5("text"), "text").mapInArrow(run, f"doc_id {self.id_type}, text_md5 string, n_shingles long, key binary, prefix array<long>, signature array<long>")
 
     def buckets(self) -> DataFrame:
         """(gram, key, n, m): classes whose prefix has an n-gram that another class has in its own; m classes have it."""
-        classes = self.docs.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-        rows = written(classes, "classes").select(F.explode("prefix").alias("gram"), "key", "n")
+        classes = self.docs.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"))
+        classes = written(classes, "classes")
+        self.signatures = classes.select("key", "signature")
+        rows = classes.select(F.explode("prefix").alias("gram"), "key", "n")
         shared = written(rows.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "shared")
         return written(rows.join(shared, "gram"), "buckets")
 
@@ -236,14 +252,17 @@ class Join:
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return written(summed.where(self.den * F.col("common") >= self.num * (F.col("na") + F.col("nb") - F.col("common"))), "links")
 
-    def sized(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of sizes that allow a link."""
-        return pairs.where((self.den * F.col("na") >= self.num * F.col("nb")) & (self.den * F.col("nb") >= self.num * F.col("na"))).distinct()
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose sizes and signatures allow a link."""
+        pairs = pairs.where((self.den * F.col("na") >= self.num * F.col("nb")) & (self.den * F.col("nb") >= self.num * F.col("na"))).distinct()
+        of = lambda x: self.signatures.select(F.col("key").alias(x), F.col("signature").alias("s" + x))
+        common = most_common(*(F.col(c) for c in ("na", "nb", "sa", "sb")))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(self.den * common >= self.num * (F.col("na") + F.col("nb") - common)).select("a", "b", "na", "nb")
 
     def pairs_within(self, buckets: DataFrame) -> DataFrame:
         """All pairs of classes of different components that share a bucket."""
         a, b = (buckets.select("gram", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x)) for x in "ab")
-        return self.sized(a.join(b, "gram").where("a < b and ca <> cb").select("a", "b", "na", "nb"))
+        return self.possible(a.join(b, "gram").where("a < b and ca <> cb").select("a", "b", "na", "nb"))
 
     def links(self) -> DataFrame:
         """Links (a, b, na, nb, common) between classes that connect all that is connected."""
@@ -270,7 +289,7 @@ class Join:
             against = spokes.join(hubs, "gram").where("component <> hc")
             low, first = F.least("key", F.col("hub.key")), F.col("key") < F.col("hub.key")
             pairs = against.select(low.alias("a"), F.greatest("key", F.col("hub.key")).alias("b"), F.when(first, F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(first, F.col("hub.n")).otherwise(F.col("n")).alias("nb"))
-            found = written(found.unionByName(self.linked(self.sized(pairs))), "found")
+            found = written(found.unionByName(self.linked(self.possible(pairs))), "found")
             large = written(spokes.select("gram", "key", "n"), "spokes")
         return found
 
@@ -284,7 +303,7 @@ def grouped(df: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", t
     ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
     of = written(named.join(ids, "component").select("key", "component", "component_id"), "membership")
     own = F.when(F.col("key").isNull(), F.col("doc_id"))
-    return join.docs.drop("prefix").join(of, "key", "left").select("doc_id", "text_md5", "n_shingles", "component", F.coalesce("component_id", own).alias("component_id"))
+    return join.docs.drop("prefix", "signature").join(of, "key", "left").select("doc_id", "text_md5", "n_shingles", "component", F.coalesce("component_id", own).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
