@@ -2,7 +2,7 @@
 
 Method: group by host, divide the pages that contain a line by the host's pages, and drop the lines above a boilerplate ratio.
 Only line keys are counted, with partial sums before the shuffle. A host's boilerplate is bounded: each such line is on more
-than ``ratio`` of its pages, so there are fewer than its mean of lines a page divided by ``ratio``.
+than ``ratio`` (long lines: ``long_ratio``) of its pages, so there are fewer than its mean of lines a page divided by that.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from .common import written
 
 #: Boilerplate lines of all hosts together that may be broadcast; beyond it the hosts' lists are joined by shuffle.
 BROADCAST_LINES = 200_000
+#: Ratios measured on licence lines, passages and clean lines (see the README), for lines and for long lines.
+RATIO, LONG_RATIO = 0.003, 0.0005
+#: Words of a long line: one that hardly stands in two texts by chance.
+LONG_WORDS = 20
 #: A line that has a word.
 WORDED = r"[^\x20\x09-\x0D]"
 
@@ -26,29 +30,37 @@ def _worded(lines):
     return F.filter(lines, lambda x: x.rlike(WORDED))
 
 
-def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.02, least_pages: int = 3) -> DataFrame:
+def _long(line):
+    return F.size(F.split(line, r"[\x20\x09-\x0D]+")) >= LONG_WORDS
+
+
+def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = 3, long_ratio: float | None = None) -> DataFrame:
     """(site, keys): MD5 digests of each site's boilerplate lines, sites that have some only.
 
+    Lines of ``LONG_WORDS`` words or more are held against ``long_ratio`` where it is given.
+
     A line counts once a row, wherever it stands in the text; lines without a word never count. Null sites form one site of
     their own (its ``site`` is null). Rows count as pages, so repeated rows count each time.
     """
     rows = df.select(F.col(site_col).alias("site"), F.col(text_col).alias("text"))
-    keys = F.array_distinct(F.transform(_worded(_lines(F.col("text"))), lambda x: F.md5(x)))
-    lines = rows.select("site", F.explode(keys).alias("key")).select("site", F.unhex("key").alias("key"))
-    counts = lines.groupBy("site", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    long = _long if long_ratio is not None else lambda x: F.lit(False)
+    keys = F.array_distinct(F.transform(_worded(_lines(F.col("text"))), lambda x: F.struct(F.md5(x).alias("key"), long(x).alias("long"))))
+    lines = rows.select("site", F.explode(keys).alias("line")).select("site", F.unhex("line.key").alias("key"), "line.long")
+    counts = lines.groupBy("site", "key", "long").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     totals = rows.groupBy("site").agg(F.count("*").alias("total")).withColumnRenamed("site", "of")
-    common = counts.join(totals, F.col("site").eqNullSafe(F.col("of"))).where(F.col("pages") > ratio * F.col("total"))
+    bar = F.when(F.col("long"), ratio if long_ratio is None else long_ratio).otherwise(ratio)
+    common = counts.join(totals, F.col("site").eqNullSafe(F.col("of"))).where(F.col("pages") > bar * F.col("total"))
     return common.groupBy("site").agg(F.collect_set(F.lower(F.hex("key"))).alias("keys"))
 
 
-def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.02, least_pages: int = 3) -> DataFrame:
+def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = 3, long_ratio: float | None = None) -> DataFrame:
     """All rows and columns of ``df`` with the boilerplate lines taken out of the text, and columns n_lines, n_dropped.
 
-    A line is dropped where it is on more than ``ratio`` of its site's rows and on at least ``least_pages`` of them. Blank lines
-    stay. A text whose lines all go becomes empty; null text stays null and has no lines (n_lines 0). Repeated rows each stay.
+    A line is dropped where it is on more than ``ratio`` of its site's rows (a long one: ``long_ratio``, where that is given) and
+    on at least ``least_pages`` of them. Blank lines stay. A text whose lines all go becomes empty; null text stays null and has no lines (n_lines 0). Repeated rows each stay.
     Columns of ``df`` keep their names; n_lines and n_dropped replace columns of these names. An empty table gives an empty one.
     """
-    found = written(boilerplate(df, site_col, text_col, ratio, least_pages), "boilerplate")
+    found = written(boilerplate(df, site_col, text_col, ratio, least_pages, long_ratio), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     taken = set(df.columns)
     site, keys, bad = (next(n for n in (f"_{x}{i or ''}" for i in range(99)) if n not in taken) for x in ("site", "keys", "bad"))

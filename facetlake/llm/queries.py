@@ -41,7 +41,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.drop_boilerplate(documents(spark, sf_dir))
+    kept = linededup.drop_boilerplate(documents(spark, sf_dir), ratio=0.02)  # as in its SQL
     return kept.select("doc_id", "source", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

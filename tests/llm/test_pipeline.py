@@ -32,6 +32,16 @@ def test_copies_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4]
 
 
+def test_rare_notices_and_passages_go(spark):
+    """A notice and a long passage on a few of many pages of a source, under the 2 % of the registered query."""
+    notice, passage = "All rights reserved.", " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"first line of {i}\n" + (notice if i < 6 else passage if i < 9 else f"last line of {i}"), "en", "s", 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, docs, SF).collect()}
+    assert {i for i, t in kept.items() if t == f"first line of {i}"} == set(range(9))
+    assert all(kept[r[0]] == r[1] for r in rows[9:])
+
+
 def test_secrets_go(spark):
     docs = spark.createDataFrame([(1, "my password: hunter2hunter2 ok", "en", "s", 30), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     rows = {r["doc_id"]: r for r in corpus_pipeline.redact_secrets(spark, docs, SF).collect()}
