@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source."""
-    kept = linededup.drop_boilerplate(docs, ratio=linededup.RATIO, long_ratio=linededup.LONG_RATIO)
+    """All documents, without the lines that are boilerplate of their source; copies of a text count once, the next stage drops them."""
+    kept = linededup.drop_boilerplate(docs, ratio=linededup.RATIO, long_ratio=linededup.LONG_RATIO, copies=False)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -34,18 +34,22 @@ def _long(line):
     return F.size(F.split(line, r"[\x20\x09-\x0D]+")) >= LONG_WORDS
 
 
-def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = 3, long_ratio: float | None = None) -> DataFrame:
+def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = 3, long_ratio: float | None = None, copies: bool = True) -> DataFrame:
     """(site, keys): MD5 digests of each site's boilerplate lines, sites that have some only.
 
     Lines of ``LONG_WORDS`` words or more are held against ``long_ratio`` where it is given.
 
     A line counts once a row, wherever it stands in the text; lines without a word never count. Null sites form one site of
-    their own (its ``site`` is null). Rows count as pages, so repeated rows count each time.
+    their own (its ``site`` is null). Rows count as pages, so repeated rows count each time; without ``copies`` the distinct texts
+    of a site are its pages, so that a group of copies doesn't make its own text boilerplate.
     """
     rows = df.select(F.col(site_col).alias("site"), F.col(text_col).alias("text"))
+    digest = [] if copies else [F.unhex(F.md5("text")).alias("digest")]
     long = _long if long_ratio is not None else lambda x: F.lit(False)
     keys = F.array_distinct(F.transform(_worded(_lines(F.col("text"))), lambda x: F.struct(F.md5(x).alias("key"), long(x).alias("long"))))
-    lines = rows.select("site", F.explode(keys).alias("line")).select("site", F.unhex("line.key").alias("key"), "line.long")
+    lines = rows.select("site", *digest, F.explode(keys).alias("line")).select("site", *(["digest"] if digest else []), F.unhex("line.key").alias("key"), "line.long")
+    if not copies:
+        lines, rows = lines.distinct(), rows.select("site", *digest).distinct()
     counts = lines.groupBy("site", "key", "long").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     totals = rows.groupBy("site").agg(F.count("*").alias("total")).withColumnRenamed("site", "of")
     bar = F.when(F.col("long"), ratio if long_ratio is None else long_ratio).otherwise(ratio)
@@ -53,14 +57,14 @@ def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text",
     return common.groupBy("site").agg(F.collect_set(F.lower(F.hex("key"))).alias("keys"))
 
 
-def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = 3, long_ratio: float | None = None) -> DataFrame:
+def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = 3, long_ratio: float | None = None, copies: bool = True) -> DataFrame:
     """All rows and columns of ``df`` with the boilerplate lines taken out of the text, and columns n_lines, n_dropped.
 
     A line is dropped where it is on more than ``ratio`` of its site's rows (a long one: ``long_ratio``, where that is given) and
-    on at least ``least_pages`` of them. Blank lines stay. A text whose lines all go becomes empty; null text stays null and has no lines (n_lines 0). Repeated rows each stay.
+    on at least ``least_pages`` of them; without ``copies``, rows with the same text count once a site. Blank lines stay. A text whose lines all go becomes empty; null text stays null and has no lines (n_lines 0). Repeated rows each stay.
     Columns of ``df`` keep their names; n_lines and n_dropped replace columns of these names. An empty table gives an empty one.
     """
-    found = written(boilerplate(df, site_col, text_col, ratio, least_pages, long_ratio), "boilerplate")
+    found = written(boilerplate(df, site_col, text_col, ratio, least_pages, long_ratio, copies), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     taken = set(df.columns)
     site, keys, bad = (next(n for n in (f"_{x}{i or ''}" for i in range(99)) if n not in taken) for x in ("site", "keys", "bad"))

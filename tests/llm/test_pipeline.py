@@ -42,6 +42,15 @@ def test_rare_notices_and_passages_go(spark):
     assert all(kept[r[0]] == r[1] for r in rows[9:])
 
 
+def test_one_of_a_group_of_copies_stays_whole(spark):
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(5))
+    rows = [(i, text + "\nfooter", "en", "s", 1) for i in range(40)] + [(100 + i, f"page {i}\nfooter", "en", "s", 1) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_boilerplate(spark, docs, SF), SF)
+    found = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert found == {0: text} | {100 + i: f"page {i}" for i in range(8)}
+
+
 def test_secrets_go(spark):
     docs = spark.createDataFrame([(1, "my password: hunter2hunter2 ok", "en", "s", 30), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     rows = {r["doc_id"]: r for r in corpus_pipeline.redact_secrets(spark, docs, SF).collect()}
