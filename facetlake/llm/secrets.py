@@ -1,8 +1,8 @@
 """Secret scans: credential patterns plus a token-efficiency test for random strings.
 
 Method: ordinary words and identifiers compress well under a tokenizer's vocabulary, random strings don't. A run of key
-characters is a secret where it has few characters a token (``max_ratio``), after digests of known lengths, UUIDs and runs
-without both letters and digits are set aside. Spans of the base patterns always stay.
+characters is a secret where it has few characters a token (``max_ratio``; LETTERS_RATIO at most where it has no digit), after digests of known lengths, UUIDs and runs
+without a letter are set aside. Spans of the base patterns always stay.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
+#: Characters a token for runs without digits, measured on all documents and on random letters (see the README).
+LETTERS_RATIO = 2.1
 UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
 
 
@@ -48,19 +50,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def identifier(run: str) -> bool:
-    """A known kind of digest or identifier, or no mixture of letters and digits."""
+    """A known kind of digest or identifier, or a number: no letter at all."""
     if UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
         return True
-    return not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run))
+    return not any(c.isalpha() for c in run)
 
 
 def random_spans(text: str, coder: tiktoken.Encoding, max_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs outside the spans taken so far that need more than a token for each ``max_ratio`` characters."""
+    """Runs outside the spans taken so far that need more than a token for each ``max_ratio`` characters (less without digits)."""
     found = []
     for m in RUN.finditer(text):
         if any(a < m.end() and m.start() < b for a, _, b in taken) or identifier(m[0]):
             continue
-        if len(m[0]) < max_ratio * len(coder.encode_ordinary(m[0])):
+        ratio = max_ratio if any(c.isdigit() for c in m[0]) else min(max_ratio, LETTERS_RATIO)
+        if len(m[0]) < ratio * len(coder.encode_ordinary(m[0])):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -145,6 +145,19 @@ def test_secret_spans():
     assert secrets.redacted("a password: longenough1 b", [(2, 0, 23)], "[S]") == "a [S] b"
 
 
+def test_secrets_of_letters_alone():
+    import random
+    import string
+
+    coder, rng = secrets.coder(RANKS, public_tokenizers.PATTERN), random.Random(5)
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase):
+        for _ in range(50):
+            key = "".join(rng.choices(letters, k=32))
+            assert secrets.shown(secrets.all_spans(f"key {key} end", coder, 2.2)[1]) == "random:4:36"
+    for plain in ("internationalisation_of_everything", "Donaudampfschifffahrtsgesellschaft", "12345678901234567890123", "-" * 40, "DEADBEEF" * 4):
+        assert secrets.all_spans(f"an {plain} end", coder, 2.2)[1] == []
+
+
 def test_quality_tail():
     from math import comb
 
