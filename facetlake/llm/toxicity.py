@@ -1,8 +1,10 @@
 """Toxicity of deobfuscated text.
 
-Method: a noisy channel. A suspicious stretch (leetspeak, letters spaced out or repeated) is a lattice: each character is itself,
-a letter it may stand for, a boundary, or nothing. The Viterbi path under a character trigram model of the whole corpus restores
-it; elsewhere the lattice has one path, the text itself. A logistic model over words and word beginnings scores what is restored.
+Method: a noisy channel. A suspicious stretch (leetspeak, single characters with short separators, doubled letters in a word that
+the corpus doesn't know) is a lattice: each character is itself, a letter it may stand for, a boundary, or nothing. The best path
+through words that the corpus knows restores it, or without one the Viterbi path under a character trigram model of the whole
+corpus; elsewhere the lattice has one path, the text itself. Parts of a word with blanks between them are put together where one
+of them is unknown and the whole is known. A logistic model over words and word beginnings scores what is restored.
 """
 
 from __future__ import annotations
@@ -28,13 +30,23 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 #: separator of spaced letters as a boundary; a second and a further equal letter left out.
 AS_LETTER, INNER, OUTER, LEFT_OUT, SEPARATOR = (math.log(p) for p in (0.3, 0.05, 0.2, 0.1, 0.1))
 SECOND, FURTHER = 0.1, 0.9
+#: Log probability of a known word in a reading, and of one letter as a word besides; spaced letters make single letters known.
+ONE_WORD, ONE_LETTER = math.log(0.01), math.log(0.01)
 #: Classes of characters: boundary, a to z, other letters.
 CLASSES, OTHER = 28, 27
-#: Single letters with one separator between them.
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\s.,;:!?])")
+#: Single letters, digits or signs with up to three separators between them; no sign is a separator too, so that matching is linear.
+SPACED = re.compile(r"(?<![^\s(\"\[])(?:[^\W_]|[@$!|+(€£¢*])(?:[\s.,'’_/:;~\\=-]{1,3}(?:[^\W_]|[@$!|+(€£¢*])){2,}(?![^\W_])")
 #: A letter three times, or a letter beside a sign or digit.
 ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s'’.,;:?-]|[^\w\s'’.,;:?-][^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|[^\W\d_][*._-][^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+#: A word of signs and digits alone that each stand for a letter.
+SIGNS = re.compile(f"[{re.escape(''.join(LEET))}]{{3,}}")
+#: A word is known from this share of the texts on (three at least): there are fewer than the mean of a text's words divided by it.
+KNOWN_SHARE, KNOWN_TEXTS = 1e-4, 3
+#: Parts of a split word, and its least length.
+PARTS, LEAST_JOINED = 4, 4
+EDGES = ".,;:?!'’\"()[]"
 BEGINNINGS = range(4, 10)
 LEVELS = 3
 CACHE_CHUNKS = 200_000
@@ -75,6 +87,13 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(text_of(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def known_words(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word): the lower-case words of at least ``KNOWN_SHARE`` of all texts."""
+    least = max(KNOWN_TEXTS, math.ceil(KNOWN_SHARE * df.count()))
+    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
+    return words.groupBy("word").count().where(F.col("count") >= least).select("word")
+
+
 def log_model(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log P(third | first two), interpolated with the shorter contexts."""
     n = np.zeros(CLASSES**3)
@@ -88,22 +107,25 @@ def log_model(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of suspicious stretches under a trigram model."""
+    """Decoding of suspicious stretches by known words, or else by Viterbi under a trigram model."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+    def __init__(self, model: np.ndarray, known: frozenset[str] = frozenset()):
+        self.model, self.known = model.tolist(), known
+        self.prefixes = {w[:k] for w in known for k in range(len(w) + 1)}
+        self.parts: dict[str, tuple[str, bool, bool, bool]] = {}
 
     def lattice(self, text: str) -> list[list[tuple[str, float]]]:
         """Choices (string, log probability) of each character."""
-        out, run = [], 0
+        out, run, last = [], 0, ""
         spaced = SPACED.fullmatch(text) is not None
         for i, c in enumerate(text):
             inside = 0 < i < len(text) - 1
-            run = run + 1 if i and c == text[i - 1] else 0
+            if c.isalpha() or c in LEET or not spaced:  # separators of spaced letters don't part equal ones
+                run, last = run + 1 if c == last else 0, c
             if c.isalpha():
                 less = FURTHER if run > 1 else SECOND
                 out.append([(c, math.log(1 - less)), ("", math.log(less))] if run else [(c, 0.0)])
-            elif spaced:
+            elif spaced and c not in LEET:
                 out.append([(" ", SEPARATOR), ("", math.log(1 - math.exp(SEPARATOR)))])
             else:
                 letters = LEET.get(c, "")
@@ -135,42 +157,131 @@ class Restorer:
             path = path[1]
         return "".join(reversed(out)).strip()
 
+    def known_reading(self, text: str) -> str | None:
+        """The most probable reading of a lower-case stretch as known words, None without one; all paths through them are held."""
+        best = {"": (0.0, "")}
+        for choices in self.lattice(text):
+            new: dict[str, tuple[float, str]] = {}
+            for word, (score, done) in best.items():
+                for x, p in choices:
+                    to, before = word + x, done
+                    if x == " ":
+                        if word and word not in self.known:
+                            continue
+                        to, before, p = "", f"{done} {word}" if word else done, p + self.cost(word)
+                    if to in self.prefixes and (to not in new or score + p > new[to][0]):
+                        new[to] = (score + p, before)
+            best = new
+        ends = [(p + self.cost(w), f"{done} {w}".strip()) for w, (p, done) in best.items() if w in self.known or not w]
+        return max(ends, key=lambda x: x[0])[1] or None if ends else None
+
+    @staticmethod
+    def cost(word: str) -> float:
+        return ONE_WORD * bool(word) + ONE_LETTER * (len(word) == 1)
+
+    def spaced(self, stretch: str) -> str:
+        """Single characters read as words; without two letters only known words are taken."""
+        found = self.known_reading(stretch)
+        if found is None:
+            found = self.decode(stretch) if sum(map(str.isalpha, stretch)) > 1 else stretch
+        return f" {found} "
+
+    def read(self, chunk: str) -> str:
+        """A lower-case chunk between blanks, decoded where it is suspicious."""
+        if ODD.search(chunk):
+            core = chunk.strip(EDGES) if self.known else ""
+            return core and (core in self.known and core or self.known_reading(core) or self.known_reading(chunk)) or self.decode(chunk)
+        if self.known and SIGNS.fullmatch(chunk.strip(".,;:?'’\"")):
+            words = {""}
+            for c in chunk.strip(".,;:?'’\""):
+                words = {w + x for w in words for x in LEET[c] if w + x in self.prefixes}
+            return min((w for w in words if w in self.known), default=chunk)
+        if self.known and DOUBLED.search(chunk):
+            return WORD.sub(lambda m: m[0] if m[0] in self.known or not DOUBLED.search(m[0]) else self.known_reading(m[0]) or self.decode(m[0]), chunk)
+        return chunk
+
+    def part(self, chunk: str) -> tuple[str, bool, bool, bool]:
+        """(word, unknown, may begin, may end) of a chunk as a part of a split word; no word where it is more than one."""
+        found = self.parts.get(chunk)
+        if found is None:
+            if len(self.parts) > CACHE_CHUNKS:
+                self.parts.clear()
+            word = (chunk if chunk in self.known else self.read(chunk)).strip(EDGES)
+            if not word.isalpha():
+                word = ""
+            found = self.parts[chunk] = (word, bool(word) and word not in self.known, chunk[-1:] not in EDGES, chunk[:1] not in EDGES)
+        return found
+
+    def chunks(self, text: str) -> list[str]:
+        """What stands between blanks in a lower-case text after single characters and split words are put together."""
+        chunks = SPACED.sub(lambda m: self.spaced(m[0]), text).split()
+        known = self.known
+        unknown = {c for c in set(chunks) if c not in known and self.part(c)[1]} if known else ()
+        if not unknown:
+            return chunks
+        out, i, n, last = [], 0, len(chunks), -PARTS
+        near = [False] * n
+        for k, c in enumerate(chunks):
+            if c in unknown:
+                for j in range(max(0, k - PARTS + 1, last), k + 1):
+                    near[j] = True
+                last = k
+        while i < n:
+            took = 1
+            if near[i]:
+                word, odd, more, _ = self.part(chunks[i])
+                joined, best = word, None
+                for k in range(i + 1, min(n, i + PARTS)):
+                    word, other, after, start = self.part(chunks[k])
+                    if not (joined and word and more and start):
+                        break
+                    joined, odd, more = joined + word, odd or other, after
+                    if odd and len(joined) >= LEAST_JOINED and joined in known:
+                        best, took = joined, k - i + 1
+                    elif joined not in self.prefixes:
+                        break
+                if best:
+                    out.append(best)
+            if took == 1:
+                out.append(chunks[i])
+            i += took
+        return out
+
     def restore(self, text: str) -> str:
         """A text with its suspicious stretches decoded, lower-cased; blanks between the others become single spaces."""
-        text = SPACED.sub(lambda m: f" {self.decode(m[0])} ", text.lower())
-        return " ".join(self.decode(w) if ODD.search(w) else w for w in text.split())
+        return " ".join(" ".join(self.read(w) for w in self.chunks(text.lower())).split())
 
 
 @dataclass
 class Model:
-    """Character model, features (words as ``=word``, beginnings as they are) with weights, and bias."""
+    """Character model, features (words as ``=word``, beginnings as they are) with weights, bias, and the corpus's known words."""
 
     trigrams: np.ndarray
     features: dict[str, int]
     weights: np.ndarray
     bias: float
+    known: frozenset[str] = frozenset()
 
 
 class Scorer:
     """Features and scores of texts; chunks between blanks are restored and looked up once and kept in a bounded cache."""
 
-    def __init__(self, trigrams: np.ndarray, features: dict[str, int] | None):
-        self.restorer, self.known = Restorer(trigrams), features
+    def __init__(self, restorer: Restorer, features: dict[str, int] | None):
+        self.restorer, self.known = restorer, features
         self.cache: dict[str, tuple] = {}
 
     def names(self, chunk: str) -> tuple:
         """Features of the words that a chunk is restored to: all their names, or the numbers of the known ones."""
-        words = WORD.findall(self.restorer.decode(chunk) if ODD.search(chunk) else chunk)
+        words = WORD.findall(self.restorer.read(chunk))
         found = [f for w in words for f in ("=" + w, *(w[:k] for k in BEGINNINGS if len(w) >= k))]
         return tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
 
     def count(self, text: str) -> Counter:
         """How often each feature is in the text."""
-        text = SPACED.sub(lambda m: f" {self.restorer.decode(m[0])} ", text.lower())
         cache, out = self.cache, Counter()
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
-        for chunk, n in Counter(text.split()).items():
+        for chunk, n in Counter(self.restorer.chunks(text.lower())).items():
             found = cache.get(chunk)
             if found is None:
                 found = cache[chunk] = self.names(chunk)
@@ -179,7 +290,7 @@ class Scorer:
         return out
 
 
-def fit(texts: list[str], labels: list[int], trigrams: np.ndarray, kept: int = 1500, penalty: float = 1e-3, rounds: int = 300) -> Model:
+def fit(texts: list[str], labels: list[int], trigrams: np.ndarray, kept: int = 1500, penalty: float = 1e-3, rounds: int = 300, known: frozenset[str] = frozenset()) -> Model:
     """Fit on a bounded sample: of the features in three toxic texts or more the ``kept`` with the largest chi-square, then logistic regression (full-batch Adam).
 
     Without both labels the model has no features and its score is the labels' smoothed mean.
@@ -187,15 +298,16 @@ def fit(texts: list[str], labels: list[int], trigrams: np.ndarray, kept: int = 1
     y = np.array(labels, np.float64)
     mean = (y.sum() + 1) / (len(y) + 2)
     bias = math.log(mean / (1 - mean))
-    scorer = Scorer(trigrams, None)
+    restorer = Restorer(trigrams, known)
+    scorer = Scorer(restorer, None)
     if not len(y) or y.min() == y.max():
-        return Model(trigrams, {}, np.zeros(0), bias)
+        return Model(trigrams, {}, np.zeros(0), bias, known)
     toxic: Counter = Counter()
     for text, label in zip(texts, labels, strict=True):
         if label:
             toxic.update(scorer.count(text).keys())
     toxic = Counter({f: n for f, n in toxic.items() if n >= 3})
-    scorer = Scorer(trigrams, {f: i for i, f in enumerate(toxic)})
+    scorer = Scorer(restorer, {f: i for i, f in enumerate(toxic)})
     clean = np.zeros(len(toxic))
     for text, label in zip(texts, labels, strict=True):
         if not label:
@@ -204,7 +316,7 @@ def fit(texts: list[str], labels: list[int], trigrams: np.ndarray, kept: int = 1
     chi = {f: (a * n0 - b * n1) ** 2 / ((a + b) * (n1 + n0 - a - b) + 1) for (f, a), b in zip(toxic.items(), clean, strict=True)}
     names = sorted(chi, key=lambda f: (-chi[f], f))[:kept]
     features = {f: i for i, f in enumerate(names)}
-    scorer = Scorer(trigrams, features)
+    scorer = Scorer(restorer, features)
     x = np.zeros((len(y), len(names)), np.float32)
     for row, text in zip(x, texts, strict=True):
         for f, n in scorer.count(text).items():
@@ -216,7 +328,7 @@ def fit(texts: list[str], labels: list[int], trigrams: np.ndarray, kept: int = 1
         g = np.append(error.astype(np.float32) @ x / len(y) + penalty * w[:-1], error.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(trigrams, features, w[:-1], float(w[-1]))
+    return Model(trigrams, features, w[:-1], float(w[-1]), known)
 
 
 def probability(model: Model, counts: Counter) -> float:
@@ -237,12 +349,13 @@ def train(df: DataFrame, labels: DataFrame, fit_rows: int = 6000, id_col: str =
     """
     cells = trigram_counts(df, text_col).toArrow()
     trigrams = log_model(cells.column("cell").to_numpy(), cells.column("n").to_numpy())
+    known = frozenset(known_words(df, text_col).toArrow().column("word").to_pylist())
     fold = F.crc32(F.col(id_col).cast("string")) % 5
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where((F.crc32(F.col("_id").cast("string")) % 5 != 0) & F.col("_label").isin(0, 1))
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    rows = df.where(fold != 0).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id")).where("_text is not null")
+    given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where((F.crc32(F.col("_id").cast("string")) % 5 != 0) & F.col("_label").isin(0, 1))
+    given = given.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    rows = df.where(fold != 0).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(given), F.col("_doc") == F.col("_id")).where("_text is not null")
     sample = rows.select("_doc", "_text", "_label").orderBy(F.xxhash64("_doc"), "_doc", F.md5("_text")).limit(fit_rows).toArrow()
-    return fit(sample.column("_text").to_pylist(), sample.column("_label").to_pylist(), trigrams)
+    return fit(sample.column("_text").to_pylist(), sample.column("_label").to_pylist(), trigrams, known=known)
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -252,7 +365,7 @@ def scorer_of(number: str, model: Model) -> Scorer:
     """The worker's scorer of this model; it outlives a task, its cache is bounded."""
     if number not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[number] = Scorer(model.trigrams, model.features)
+        _SCORERS[number] = Scorer(Restorer(model.trigrams, model.known), model.features)
     return _SCORERS[number]
 
 

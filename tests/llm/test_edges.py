@@ -194,6 +194,36 @@ def test_restored_text():
     assert restorer.restore("") == ""
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    ["1 d 1 0 t", "i d 1 o t", "iddiot", "iidioot", "i  d  i  o  t", "i\nd\ni\no\nt", "id iot", "1d i0t", "i'd'i'o't", "i,d,i,o,t", "i, d, i, o, t", "1dd10t", "i d d i o t", "!d!0t", "i*d*i*o*t", "id10t!", "1 d d 1 0 t"],
+)
+def test_hidden_words_are_read(hidden):
+    import numpy as np
+
+    text = "the stupid idiot said hello to the nice people in this little town " * 50
+    c = toxicity.classes("  " + text + " ")
+    cells, n = np.unique(c[:-2] * 784 + c[1:-1] * 28 + c[2:], return_counts=True)
+    restorer = toxicity.Restorer(toxicity.log_model(cells, n), frozenset({*text.split(), "ass", "clown", "scum"}))
+    assert restorer.restore(f"hello {hidden} in this little town") == "hello idiot in this little town"
+    assert restorer.restore("c l 0 w n, scu m and 455") == "clown , scum and ass"
+    assert restorer.restore("the nice people, 1 2 3 and 1990") == "the nice people, 1 2 3 and 1990"
+
+
+def test_hidden_toxic_texts_are_caught(spark):
+    import random
+
+    rng = random.Random(3)
+    plain = [a + b for a in ("lo", "mer", "tan", "vi", "sol") for b in ("den", "rak", "tu", "pim", "gor")]
+    text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=20), *more], 20 + len(more)))
+    rows = [(i, text(*(["idiot"] if i % 4 == 0 else []))) for i in range(400)]
+    hidden = ["1 d 1 0 t", "iddiot", "id iot", "i,d,i,o,t", "1 d d 1 0 t"]
+    docs = spark.createDataFrame(rows + [(1000 + i, text("HIDDEN").replace("HIDDEN", h)) for i, h in enumerate(hidden)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.judge(docs, labels).collect()}
+    assert found == {i: int(i % 4 == 0) for i in range(400)} | {1000 + i: 1 for i in range(len(hidden))}
+
+
 def test_line_dedup_ratio(spark):
     rows = [(i, f"Footer\nbody {i}\n\nFooter", "a") for i in range(4)] + [(9, "Footer\nalone", "b")]
     kept = {r["doc_id"]: r for r in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), ratio=0.5).collect()}
