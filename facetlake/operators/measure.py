@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import statistics as st
 from ..model import Mesh
+from ..sharing import numbered
 from .clip import edges
 from .spatial import neighbour_distances
 
@@ -119,7 +120,7 @@ def ransac_intersection(lines: DataFrame, iterations: int = 100, limit2: float =
         return None
     picks = np.array([rng.choice(n, 2, replace=False) for _ in range(iterations)])
     spark = lines.sparkSession
-    order = lines.withColumn("at", F.row_number().over(Window.orderBy("lid")) - 1) if n <= 10_000 else lines.withColumn("at", F.col("lid"))
+    order = numbered(lines, "at", "lid")
     seeds = spark.createDataFrame([(i, int(k)) for i, pair in enumerate(picks) for k in pair], "trial int, at long")
     found = line_intersection(order.join(F.broadcast(seeds), "at"), ["trial"])
     p, u = g.vector("px", "py", "pz"), g.normalised(g.sub(g.vector("qx", "qy", "qz"), g.vector("px", "py", "pz")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Mesh
-from ..sharing import settled
+from ..sharing import numbered, settled
 from .clip import feature_edges
 from .project import apply_transform
 from .sets import stride
@@ -96,7 +96,9 @@ def icp(source: Mesh, target: Mesh, options: IcpOptions = IcpOptions()) -> np.nd
     Ends where the mean distance changes by less than ``stop``. With ``skip_border``, pairs that land on the target's border are
     left out and the landmarks grow from 3 % over 5 % and 10 % to all at 10, 20 and 30 % of the iterations.
     """
-    marks = settled(stride(source.points.select("pid", *XYZ), min(options.landmarks, max(1, source.points.count()))))
+    # Dense places, of the points and again of the marks: a stride goes by them, whatever the ids are.
+    dense = lambda rows: numbered(rows.withColumnRenamed("pid", "_id"), "pid", "_id").select("pid", *XYZ)
+    marks = settled(dense(stride(dense(source.points.select("pid", *XYZ)), min(options.landmarks, max(1, source.points.count())))))
     total, m, last = marks.count(), np.eye(4), None
     if options.match_centroids:
         a, b = (df.agg(*(F.avg(c) for c in XYZ)).first() for df in (source.points, target.points))
