@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Mesh
-from ..sharing import numbered, settled
+from ..sharing import numbered, removed, settled
 from .clip import compact, edge_uses, edges, face_normals
 from .measure import center_distance
 from .sets import append, weld
@@ -27,13 +27,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Least labels of neighbours and jumps along labels take turns, so rounds grow with the logarithm of a path's length.
     """
     both = settled(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = settled(nodes.select("node", F.col("node").alias("label")).distinct())
+    labels = kept = settled(nodes.select("node", F.col("node").alias("label")).distinct())
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         via = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("via"))
-        new = settled(via.join(labels.select(F.col("node").alias("via"), F.col("label").alias("to")), "via").select("node", "old", F.least("via", "to").alias("label")))
-        labels = new.select("node", "label")
+        new = settled(via.join(labels.select(F.col("node").alias("via"), F.col("label").alias("to")), "via").select("node", "old", F.least("via", "to").alias("label")), after=kept)
+        labels, kept = new.select("node", "label"), new
         if not new.where("label <> old").limit(1).count():
+            removed(both)
             return labels
 
 

@@ -1,32 +1,84 @@
-"""Where intermediate tables go, and dense numbers for rows."""
+"""Where intermediate tables go and when they are removed, and dense numbers for rows."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting to remove an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def use_shared_dir(spark: SparkSession) -> None:
-    """Let checkpoints go to ``spark.checkpoint.dir``; to a new local folder only where that is unset (local tests)."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the folder that driver and executors share: ``spark.checkpoint.dir``, read as Spark reads paths.
+
+    Only where that is unset and the master is local (tests), a new temporary folder.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("facetlake.shared.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="facetlake-")
+        spark.conf.set("facetlake.shared.dir", at)
+    if "://" not in at:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        at = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        at = "file://" + at.removeprefix("file:") if at.startswith("file:/") and not at.startswith("file://") else at
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="facetlake-"))
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder under the shared one that no other run uses; nothing is created."""
+    return f"{shared_dir(spark)}/facetlake/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    What was shuffled for it is removed once the table is there, as nothing reads it again.
+    """
+    spark = df.sparkSession
+    path, before = new_folder(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._facetlake_folder = path
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: their successors are written."""
+    for table in tables:
+        if at := getattr(table, "_facetlake_folder", None):
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out once into the shared checkpoint folder; cuts the lineage of loops."""
-    use_shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settled(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """``df`` worked out once, for loops; ``after``, a settled table that only ``df`` read, is removed then."""
+    table = written(df, "settled")
+    if after is not None:
+        removed(after)
+    return table
 
 
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with a dense 0-based number by ``order``, without moving all rows to one task.
 
-    Rows are sorted by range, settled, and numbered by their place in the partition plus the rows of earlier partitions; the
+    Rows are sorted by range, checkpointed, and numbered by their place in the partition plus the rows of earlier partitions; the
     offsets are one row a partition. ``order`` should be unique for the numbers to be repeatable.
     """
-    rows = settled(df.orderBy(*order))
+    shared_dir(df.sparkSession)
+    rows = df.orderBy(*order).checkpoint(eager=True)
     placed = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).collect()
     start, offsets = 0, []
