@@ -20,13 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_of
+from .common import Cache, held_by_worker, slices, text_of
 
 #: Fixed: the pattern that cuts text into words before the merges.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 BLANK = regex.compile(r"\s")
 NONE = np.int64(1) << 62
-CACHE_CHUNKS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -58,6 +57,7 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)  # by rank
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.merged_ids = self.merged.tolist()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1 where the pair doesn't merge (or an id is negative)."""
@@ -115,7 +115,7 @@ def merge_one(vocab: Vocabulary, word: bytes) -> list[int]:
     width = 1 << max(0, n - 1).bit_length()
     ids = vocab.of_byte[np.frombuffer(word, np.uint8)].tolist()
     after, before = [*range(1, n), -1], list(range(-1, n - 1))
-    none, base, rank_of, merged = int(NONE), int(vocab.base), vocab.rank_of, vocab.merged.tolist()
+    none, base, rank_of, merged = int(NONE), int(vocab.base), vocab.rank_of, vocab.merged_ids
     tree = [none] * (2 * width)
     for i in range(n - 1):
         k = rank_of.get(ids[i] * base + ids[i + 1])
@@ -157,7 +157,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
-        self.chunks: dict[str, str] = {}  # ids of a space and what follows up to the next
+        self.chunks = Cache(100 << 20)  # ids of a space and what follows up to the next
 
     def merged(self, words: Iterable[str]) -> dict[str, str]:
         """Ids of each word, worked out by length."""
@@ -177,8 +177,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[str]:
         """One comma-joined string of ids a text; an empty text has none."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+        self.chunks.trim()
         split: dict[int, list[str]] = {}
         cut: dict[int, list[str]] = {}
         special, chunks = self.vocab.special, self.chunks
@@ -205,7 +204,8 @@ class Encoder:
         words = self.merged({p for parts in (*inner.values(), *heads.values(), *cut.values()) for p in parts if p not in special})
         known = words.__getitem__
         for w, parts in inner.items():
-            chunks[w] = known(parts[0]) if len(parts) == 1 else ",".join(map(known, parts))
+            ids = known(parts[0]) if len(parts) == 1 else ",".join(map(known, parts))
+            chunks.put(w, ids, len(w) + len(ids))
         out = [""] * len(texts)
         for i, parts in split.items():
             parts[0:1] = heads[i]
@@ -234,14 +234,11 @@ class _Empty:
 
 
 _EMPTY = _Empty()
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of this vocabulary; it outlives a task, its cache is bounded."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held_by_worker(("bpe", path), lambda: Encoder(path))
 
 
 def encode_column(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -251,13 +248,12 @@ def encode_column(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     Other columns are ignored, whatever their names. Texts of any length are taken whole. An empty table gives an empty one.
     ``vocabulary`` is a path that every worker can read.
     """
-    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = coder.encode(batch.column(1).to_pylist())
             columns = [
                 batch.column(0),

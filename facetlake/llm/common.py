@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,50 +14,55 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("facetlake.shared.dir", None) or "file://" + tempfile.mkdtemp(prefix="facetlake-")
-        spark.conf.set("facetlake.shared.dir", at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+def slices(batches: Iterator[pa.RecordBatch], records: int = 1000, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most ``records`` rows and about ``most_bytes``, so that a worker unpacks few long texts at a time."""
+    for batch in batches:
+        step = max(1, min(records, batch.num_rows * most_bytes // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """Path of a folder under the shared one that no other run uses; nothing is created."""
-    return f"{shared_dir(spark)}/facetlake/{name}-{uuid.uuid4().hex}"
+_HELD: dict[tuple, object] = {}
 
 
-#: Spark's setting to remove an execution's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def held_by_worker(owner: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks of one operator; what it kept for another one is let go first."""
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _HELD[owner] = make()
+    return _HELD[owner]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+class Cache(dict):
+    """A cache bounded by bytes: ``trim`` empties it once what was put in is more than ``most``."""
 
-    What was shuffled for it is removed once the table is there, as nothing reads it again.
-    """
-    spark = df.sparkSession
-    path, before = new_folder(spark, name), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    #: Bytes of an entry besides its key and value, about.
+    ENTRY = 200
 
+    def __init__(self, most: int = 32 << 20):
+        super().__init__()
+        self.most, self.bytes = most, 0
 
-def small_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Bound Arrow batches by ``records`` rows, so that a Python worker holds few long texts at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    def put(self, key, value, size: int):
+        self[key] = value
+        self.bytes += size + self.ENTRY
+        return value
+
+    def trim(self) -> None:
+        if self.bytes > self.most:
+            self.clear()
+            self.bytes = 0
 
 
 def text_of(column: str) -> Column:
     """The text column, null as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..sharing import written
 
 #: Boilerplate lines of all hosts together that may be broadcast; beyond it the hosts' lists are joined by shuffle.
 BROADCAST_LINES = 200_000

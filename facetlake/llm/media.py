@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import new_folder, small_batches, text_of
+from ..sharing import new_folder
+from .common import slices, text_of
 from .storage import Sink, opened
 
 UNIT = 64
@@ -68,9 +69,9 @@ def feature(samples: bytes) -> str:
 def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", roll: int = 32 << 20) -> DataFrame:
     """Write a member a row to ``folder``/*.zip; returns the manifest (archive, bytes, members) of committed archives.
 
-    Member names are ``id/bytes of text.wav``, ``null`` for a null id; null text is empty. Repeated ids and rows stay apart.
+    Member names are ``id/bytes of text.wav``, ``null`` for a null id; null text is empty. Repeated ids and rows stay apart. Ids
+    become longs; one that is no number raises.
     """
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, sink, bundle = TaskContext.get().partitionId(), [], None, None
@@ -81,7 +82,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             sink.close()
             made.append((sink.uri, size, len(bundle.filelist)))
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if sink is None:
                     sink = Sink(folder, f"part-{part:05d}-{len(made):04d}.zip")
@@ -222,7 +223,7 @@ def describe(media: DataFrame) -> DataFrame:
         return None if doc_id == "null" else int(doc_id), int(rest.partition(".")[0]), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [one(n, m) for n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])

@@ -4,10 +4,11 @@ Method (vertical partitioning): all n-grams have one global order, rare ones fir
 be linked share one of their first n-grams (the prefix filter: enough of them that no link can be missed). For candidate pairs
 the overlap is counted fragment by fragment, each on its own, and the partial overlaps are summed per pair.
 
-Texts with equal n-gram sets form one class and are compared once. A bucket of classes that share an n-gram is joined pair by
-pair only while it is small. In a large one all classes are compared with one hub; what then belongs to one component needs no
-further pair, and after some rounds the pairs left between different components are joined exactly. So a group of thousands of
-near copies costs a few comparisons a member, and no link is lost.
+Texts with equal n-gram sets form one class and are compared once. Classes that share a first n-gram meet where the places of
+that n-gram in both, and their signatures, still allow a link. In a large bucket all classes are first compared with one hub,
+the one with the fewest n-grams of its own; what then belongs to one component needs no further pair, and after some rounds the
+pairs left between different components are joined exactly. So a group of thousands of near copies costs a few comparisons a
+member, and no component is missed. ``similar_pairs`` gives every link instead.
 
 N-grams are 64-bit hashes, classes 128-bit hashes of sorted n-gram sets.
 """
@@ -22,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of, written
+from ..sharing import removed, written
+from .common import slices, text_of
 
 #: N-grams in at least this many texts, and words at least so frequent, are known to the order by an estimate of their number.
 FREQUENT = 32
@@ -35,8 +37,10 @@ RARE_FRAGMENTS = 8
 #: Classes of a bucket up to which all its pairs are candidates at once.
 SMALL_BUCKET = 8
 HUB_ROUNDS = 4
+#: Classes of a large bucket that meet under one key in the exact rest.
+BLOCK = 512
 #: Bits of a set's signature, by which most candidate pairs are ruled out before any n-grams move.
-SIGNATURE_BITS = 512
+SIGNATURE_BITS = 1024
 #: Rows up to which ids may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -140,7 +144,7 @@ def frequent(texts: DataFrame, n: int) -> tuple[Counts, Counts]:
 
         held: tuple[list, list] = ([], [])
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 w = word_hashes(text)
                 held[0].append(np.unique(grams_of(w, n)))
@@ -164,146 +168,216 @@ def frequent(texts: DataFrame, n: int) -> tuple[Counts, Counts]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, component): the least key reachable, for the keys in ``links`` (a, b), by least neighbours and pointer jumps."""
+    """(cid, component): the least key reachable, for the keys in ``links`` (a, b), by least neighbours and pointer jumps."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "key"), "labels")
+    labels = kept = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "cid"), "labels")
     while True:
-        near = edges.join(labels.select(F.col("key").alias("b"), "component"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
-        nearer = labels.join(near, "key").select("key", F.least("component", "near").alias("via"), F.col("component").alias("old"))
-        jumped = nearer.join(labels.select(F.col("key").alias("via"), F.col("component").alias("to")), "via").select("key", "old", F.least("via", "to").alias("component"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("key", "component")
+        near = edges.join(labels.select(F.col("cid").alias("b"), "component"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("component").alias("near"))
+        nearer = labels.join(near, "cid").select("cid", F.least("component", "near").alias("via"), F.col("component").alias("old"))
+        jumped = written(nearer.join(labels.select(F.col("cid").alias("via"), F.col("component").alias("to")), "via").select("cid", "old", F.least("via", "to").alias("component")), "labels")
+        removed(kept)
+        labels, kept = jumped.select("cid", "component"), jumped
         if not jumped.where("component <> old").limit(1).count():
+            removed(edges)
             return labels
 
 
 class Join:
-    """One similarity join over a table of documents."""
+    """One similarity join over a table of documents.
+
+    docs: (doc_id, text_md5, n_shingles, key) of every row; classes: (key, cid, one, least, n, rare, signature, prefix) of the
+    distinct n-gram sets, with the id and digest of one of its documents and the least id.
+    """
 
     def __init__(self, df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
-        small_batches(df.sparkSession)
         self.n, self.num, self.den = n, num, den
-        self.texts = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+        self.texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
         self.id_type = df.schema[id_col].dataType.simpleString()
         order = Order(*frequent(self.texts, n), n)
         self.order = df.sparkSession.sparkContext.broadcast(order)
         self.docs = written(self.described(), "sets")
+        one = F.min(F.struct("doc_id", "text_md5")).alias("one")
+        first = [F.first(c).alias(c) for c in ("n_shingles", "rare", "signature", "prefix")]
+        classes = self.docs.where("key is not null").groupBy("key").agg(one, F.min("doc_id").alias("least"), *first).withColumnRenamed("n_shingles", "n")
+        # The least id leaves nulls aside, the least struct doesn't.
+        self.classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def described(self) -> DataFrame:
-        """(doc_id, text_md5, n_shingles, key, prefix, signature) of every document."""
+        """(doc_id, text_md5, n_shingles, key, rare, prefix, signature) of every document; rare: n-grams not known as frequent."""
         num, den, order = self.num, self.den, self.order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 placed = [order.value.placed(t) for t in batch.column(2).to_pylist()]
                 sets = [x[0] for x in placed]
                 first = [order.value.prefix(*x, num, den) for x in placed]
                 prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), prefix, pa.array([signature(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_md5", "n_shingles", "key", "prefix", "signature"])
+                rare = pa.array([int((x[1] == 0).sum()) for x in placed], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), rare, prefix, pa.array([signature(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_md5", "n_shingles", "key", "rare", "prefix", "signature"])
 
-        return self.texts.select("doc_id", F.md5("text"), "text").mapInArrow(run, f"doc_id {self.id_type}, text_md5 string, n_shingles long, key binary, prefix array<long>, signature array<long>")
+        return self.texts.select("doc_id", F.md5("text"), "text").mapInArrow(run, f"doc_id {self.id_type}, text_md5 string, n_shingles long, key binary, rare long, prefix array<long>, signature array<long>")
 
     def buckets(self) -> DataFrame:
-        """(gram, key, n, m): classes whose prefix has an n-gram that another class has in its own; m classes have it."""
-        classes = self.docs.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"))
-        classes = written(classes, "classes")
-        self.signatures = classes.select("key", "signature")
-        rows = classes.select(F.explode("prefix").alias("gram"), "key", "n")
-        shared = written(rows.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-        return written(rows.join(shared, "gram"), "buckets")
-
-    def segments(self, keys: DataFrame) -> DataFrame:
-        """(key, fragment, grams) of the distinct classes, from the text of one of their documents."""
+        """(gram, cid, n, at, rare, m): classes with an n-gram in their prefix, at that place, that m > 1 classes have in theirs.
+
+        Left out are places after which too few n-grams follow for a link even with the smallest set of the bucket.
+        """
+        rows = self.classes.select(F.posexplode("prefix").alias("at", "gram"), "cid", "n", "rare")
+        shared = written(rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1"), "shared")
+        enough = (self.num + self.den) * (F.col("n") - F.col("at")) >= self.num * (F.col("n") + F.col("least"))
+        found = written(rows.join(shared, "gram").where(enough).drop("least"), "buckets")
+        removed(shared)
+        return found
+
+    def near(self, a: str, b: str) -> Column:
+        """Whether a link is possible if the bucket's n-gram is the first that two classes share: what follows it must suffice.
+
+        Each linked pair has a first common n-gram in both prefixes, so it meets this condition in that n-gram's bucket.
+        """
+        rest = F.least(F.col(a + "n") - F.col(a + "at"), F.col(b + "n") - F.col(b + "at"))
+        return (self.num + self.den) * rest >= self.num * (F.col(a + "n") + F.col(b + "n"))
+
+    def alike(self, a: str, b: str) -> Column:
+        """Whether the sizes and signatures of two classes allow a link."""
+        na, nb = F.col(a + "n"), F.col(b + "n")
+        common = most_common(na, nb, F.col(a + "signature"), F.col(b + "signature"))
+        return self.den * common >= self.num * (na + nb - common)
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b, na, nb) whose signatures allow a link."""
+        found = written(pairs.select("a", "b").distinct(), "pairs")
+        ids = written(found.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ids")
+        some = self.classes.join(F.broadcast(ids), "cid", "left_semi") if ids.count() <= BROADCAST_ROWS else self.classes
+        of = lambda x: some.select(F.col("cid").alias(x), F.col("n").alias(x + "n"), F.col("signature").alias(x + "signature"))
+        return found.join(of("a"), "a").join(of("b"), "b").where(self.alike("a", "b")).select("a", "b", F.col("an").alias("na"), F.col("bn").alias("nb"))
+
+    def pairs_within(self, buckets: DataFrame) -> DataFrame:
+        """(a, b) of the classes of different components that meet in a small bucket and may be linked; a pair may come several times."""
+        a, b = (buckets.select("gram", *(F.col(c).alias(x + c) for c in ("cid", "n", "at", "component"))) for x in "ab")
+        joined = a.join(b.withColumnRenamed("gram", "bgram"), (F.col("gram") == F.col("bgram")) & F.expr("acid < bcid and acomponent <> bcomponent") & self.near("a", "b"))
+        return joined.select(F.col("acid").alias("a"), F.col("bcid").alias("b"))
+
+    def pairs_in_blocks(self, buckets: DataFrame) -> DataFrame:
+        """As ``pairs_within`` for buckets of any size, with signatures held against each other at once.
+
+        The classes of a bucket are dealt to blocks of about BLOCK; each pair of blocks has a key of its own, so that no key is
+        hot: a class meets as many keys as its bucket has blocks.
+        """
+        sizes = written(buckets.groupBy("gram").agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks")), "sizes")
+        rows = buckets.join(sizes, "gram").join(self.classes.select("cid", "signature"), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+
+        def side(x: str, low: Column, high: Column) -> DataFrame:
+            """Rows once for each pair of blocks (i <= j); ``x`` a: own block first, b: own block last."""
+            other = F.explode(F.sequence(low, high))
+            return rows.select(F.col("gram").alias(x + "gram"), F.col("block").alias(x + "own"), other.alias(x + "other"), *(F.col(c).alias(x + c) for c in ("cid", "n", "at", "component", "signature")))
+
+        a, b = side("a", F.col("block"), F.col("blocks") - 1), side("b", F.lit(0), F.col("block"))
+        same = F.expr("agram = bgram and aown = bother and aother = bown and acomponent <> bcomponent and (aown < bown or acid < bcid)")
+        return a.join(b, same & self.near("a", "b") & self.alike("a", "b")).select(F.least("acid", "bcid").alias("a"), F.greatest("acid", "bcid").alias("b"))
+
+    def segments(self, cids: DataFrame) -> DataFrame:
+        """(cid, fragment, grams) of the distinct classes, from the text of one of their documents."""
         n, order = self.n, self.order
-        one = written(self.docs.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("one")), "one")
-        if one.count() <= BROADCAST_ROWS:
-            one = F.broadcast(one)
-        texts = self.texts.join(one, F.col("doc_id").eqNullSafe(F.col("one"))).select("key", "text")
+        one = written(self.classes.join(cids, "cid", "left_semi").select("cid", "key", F.col("one.doc_id").alias("one"), F.col("one.text_md5").alias("md5")), "one")
+        few = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
+        texts = self.texts.join(few, F.col("doc_id").eqNullSafe(F.col("one")) & (F.md5("text") == F.col("md5"))).select("cid", "key", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, parts, grams = [], [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = gram_set(text, n)
-                    if class_key(found) == key:  # other texts may have the same id
-                        for part, some in order.value.fragments(text):
-                            keys.append(key)
-                            parts.append(part)
-                            grams.append(some)
+            for batch in slices(batches):
+                cids, parts, grams = [], [], []
+                for cid, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    for part, some in order.value.fragments(text):
+                        cids.append(cid)
+                        parts.append(part)
+                        grams.append(some)
                 values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, grams)]), pa.int32()), pa.array(np.concatenate([*grams, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(parts, pa.int32()), values], ["key", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(parts, pa.int32()), values], ["cid", "fragment", "grams"])
 
-        found = written(texts.mapInArrow(run, "key binary, fragment int, grams array<long>"), "segments")
-        if found.groupBy("key", "fragment").count().where("count > 1").limit(1).count():  # repeated rows
-            found = written(found.dropDuplicates(["key", "fragment"]), "segments")
+        found = written(texts.mapInArrow(run, "cid long, fragment int, grams array<long>"), "segments")
+        if found.groupBy("cid", "fragment").count().where("count > 1").limit(1).count():  # repeated rows
+            every, found = found, written(found.dropDuplicates(["cid", "fragment"]), "segments")
+            removed(every)
+        removed(one)
         return found
 
-    def parts_of(self, keys: DataFrame) -> DataFrame:
-        """The fragments of some classes; few are picked before anything is shuffled."""
-        keys = written(keys.distinct(), "keys")
-        return self.parts.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_ROWS else self.parts
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) that are links, with their overlap: partial overlaps of fragments, summed."""
         pairs = written(pairs, "pairs")
-        left = self.parts_of(pairs.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = self.parts_of(pairs.select(F.col("b").alias("key"))).select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
-        summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-        return written(summed.where(self.den * F.col("common") >= self.num * (F.col("na") + F.col("nb") - F.col("common"))), "links")
 
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes and signatures allow a link."""
-        pairs = pairs.where((self.den * F.col("na") >= self.num * F.col("nb")) & (self.den * F.col("nb") >= self.num * F.col("na"))).distinct()
-        of = lambda x: self.signatures.select(F.col("key").alias(x), F.col("signature").alias("s" + x))
-        common = most_common(*(F.col(c) for c in ("na", "nb", "sa", "sb")))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(self.den * common >= self.num * (F.col("na") + F.col("nb") - common)).select("a", "b", "na", "nb")
+        def parts_of(x: str) -> DataFrame:
+            """The fragments of the classes on one side; few are picked before anything is shuffled."""
+            cids = written(pairs.select(F.col(x).alias("cid")).distinct(), "cids")
+            mine = parts.join(F.broadcast(cids), "cid", "left_semi") if cids.count() <= BROADCAST_ROWS else parts
+            return mine.select(F.col("cid").alias(x), "fragment", F.col("grams").alias("g" + x))
 
-    def pairs_within(self, buckets: DataFrame) -> DataFrame:
-        """All pairs of classes of different components that share a bucket."""
-        a, b = (buckets.select("gram", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x)) for x in "ab")
-        return self.possible(a.join(b, "gram").where("a < b and ca <> cb").select("a", "b", "na", "nb"))
+        partial = pairs.join(parts_of("a"), "a").join(parts_of("b"), ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
+        summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+        found = written(summed.where(self.den * F.col("common") >= self.num * (F.col("na") + F.col("nb") - F.col("common"))), "links")
+        removed(pairs)
+        return found
+
+    def all_links(self) -> DataFrame:
+        """Every link (a, b, na, nb, common) between different classes; there are many within a group of near copies."""
+        alone = self.buckets().withColumn("component", F.col("cid"))
+        pairs = written(self.possible(self.pairs_in_blocks(alone)), "possible")
+        return self.linked(pairs, self.segments(ends(pairs)))
 
     def links(self) -> DataFrame:
-        """Links (a, b, na, nb, common) between classes that connect all that is connected."""
+        """Links (a, b, na, nb, common) between classes that connect all that is connected.
+
+        This is a connecting part of all links: in large buckets those within a component already known are not looked for.
+        """
         buckets = self.buckets()
-        small = buckets.where(F.col("m") <= SMALL_BUCKET).withColumn("component", F.col("key"))
         large = buckets.where(F.col("m") > SMALL_BUCKET).drop("m")
-        pairs = written(self.pairs_within(small), "pairs")
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
-        self.parts = self.segments(keys)
-        found = self.linked(pairs)
+        small = buckets.where(F.col("m") <= SMALL_BUCKET).withColumn("component", F.col("cid"))
+        pairs = written(self.possible(self.pairs_within(small)), "possible")
+        parts = self.segments(ends(pairs).unionByName(large.select("cid")).distinct())
+        found = self.linked(pairs, parts)
+        removed(pairs)
+        known, new = components(found), found
         for i in range(HUB_ROUNDS + 1):
             if not large.limit(1).count():
-                return found
-            known = components(found)
-            named = large.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+                break
+            named = large.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
             named = written(named, "named")
-            split = named.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct("n", "key")).alias("hub")).where("least <> most")
-            split = written(split.select("gram", "hub"), "hubs")
-            rest = named.join(split, "gram")
-            if i == HUB_ROUNDS:
-                return found.unionByName(self.linked(self.pairs_within(rest)))
-            hubs = rest.where(F.col("key") == F.col("hub.key")).select("gram", F.col("component").alias("hc"))
-            spokes = rest.where(F.col("key") != F.col("hub.key"))
-            against = spokes.join(hubs, "gram").where("component <> hc")
-            low, first = F.least("key", F.col("hub.key")), F.col("key") < F.col("hub.key")
-            pairs = against.select(low.alias("a"), F.greatest("key", F.col("hub.key")).alias("b"), F.when(first, F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(first, F.col("hub.n")).otherwise(F.col("n")).alias("nb"))
-            found = written(found.unionByName(self.linked(self.possible(pairs))), "found")
-            large = written(spokes.select("gram", "key", "n"), "spokes")
+            hub = F.min(F.struct("rare", (-F.col("n")).alias("less"), "cid", "n", "at", "component")).alias("hub")
+            split = named.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), hub).where("least <> most")
+            rest = named.join(split.select("gram", "hub"), "gram")
+            if i == HUB_ROUNDS or new is None:
+                left = written(self.possible(self.pairs_in_blocks(written(rest.drop("hub"), "rest"))), "possible")
+                found = written(found.unionByName(self.linked(left, parts)), "found")
+                break
+            spokes = written(rest.where(F.col("cid") != F.col("hub.cid")), "spokes")
+            against = spokes.select(*(F.col(c).alias("a" + c) for c in ("cid", "n", "at", "component")), *(F.col("hub." + c).alias("b" + c) for c in ("cid", "n", "at", "component")))
+            against = against.where((F.col("acomponent") != F.col("bcomponent")) & self.near("a", "b"))
+            new = self.linked(self.possible(against.select(F.least("acid", "bcid").alias("a"), F.greatest("acid", "bcid").alias("b"))), parts)
+            if new.limit(1).count():
+                found = written(found.unionByName(new), "found")
+                known = components(found)
+            else:  # hubs find no more
+                new = None
+            large = spokes.select("gram", "cid", "n", "at", "rare")
+        removed(parts, buckets)
         return found
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+
+
 def grouped(df: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_md5, n_shingles, component, component_id) of every row; component is a key, null without n-grams."""
+    """(doc_id, text_md5, n_shingles, component, component_id) of every row; component is a number, null without n-grams."""
     join = Join(df, n, num, den, id_col, text_col)
-    known = components(join.links())
-    classes = join.docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = written(classes.join(known, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component")), "classes")
-    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    named = join.classes.select("cid", "key", "least").join(components(join.links()), "cid", "left")
+    named = written(named.select("key", "least", F.coalesce("component", "cid").alias("component")), "named")
+    join.order.destroy()
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = written(named.join(ids, "component").select("key", "component", "component_id"), "membership")
-    own = F.when(F.col("key").isNull(), F.col("doc_id"))
-    return join.docs.drop("prefix", "signature").join(of, "key", "left").select("doc_id", "text_md5", "n_shingles", "component", F.coalesce("component_id", own).alias("component_id"))
+    rows = join.docs.select("doc_id", "text_md5", "n_shingles", "key")
+    worded = rows.where("key is not null").join(of, "key").select("doc_id", "text_md5", "n_shingles", "component", "component_id")
+    found = written(worded.unionByName(rows.where("key is null").select("doc_id", "text_md5", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))), "grouped")
+    removed(named, of, join.docs, join.classes)
+    return found
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,21 +391,42 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     return grouped(df, n, num, den, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
 
 
+def similar_pairs(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a, b, na, nb, common), every link between different n-gram sets, and (doc_id, n_shingles, cid), the set of every row.
+
+    Rows of one set are linked too; they are not written out as pairs. Rows without n-grams have no set (cid null). Other cases
+    are as in ``near_duplicates``. A group of near copies has many links; for groups alone ``near_duplicates`` is cheaper.
+    """
+    join = Join(df, n, num, den, id_col, text_col)
+    links = join.all_links()
+    of = join.docs.select("doc_id", "n_shingles", "key").join(join.classes.select("key", "cid"), "key", "left")
+    of = written(of.select(F.col("doc_id").alias(id_col), "n_shingles", "cid"), "membership")
+    join.order.destroy()
+    removed(join.docs, join.classes)
+    return links, of
+
+
 def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near duplicates: of each component, one row with the least id.
 
     Of rows with that id in one component the one with the least MD5 of the text stays, of rows equal in both any one. Texts
-    without n-grams all stay. All columns are kept.
+    without n-grams all stay, repeated ones too. All columns are kept. Null ids come last within a component. An empty table
+    gives an empty one.
     """
-    found = written(grouped(df, n, num, den, id_col, text_col).where("component is not null"), "near")
+    found = grouped(df, n, num, den, id_col, text_col).where("component is not null")
     later = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
     best = written(found.groupBy("component").agg(F.min(F.struct(later.alias("later"), "text_md5")).alias("best")), "best")
-    rows = found.join(best, "component").where(later | (F.col("text_md5") != F.col("best.text_md5")))
+    rows = found.join(best, "component").withColumn("gone", later | (F.col("text_md5") != F.col("best.text_md5")))
+    # Of a row that stays, repeated ones go too: these are equal in id and text.
+    marked = written(rows.groupBy("doc_id", "text_md5").agg(F.max("gone").alias("gone"), F.count("*").alias("rows")).where("gone or rows > 1"), "marked")
+    removed(best)
     taken = set(df.columns)
-    gone, md5 = (next(c for c in (f"_{x}{i or ''}" for i in range(99)) if c not in taken) for x in ("gone", "md5"))
-    away = written(rows.select(F.col("doc_id").alias(gone), F.col("text_md5").alias(md5)).distinct(), "away")
-    if away.count() <= BROADCAST_ROWS:
-        away = F.broadcast(away)
-    kept = df.join(away, F.col(id_col).eqNullSafe(F.col(gone)) & (F.md5(text_of(text_col)) == F.col(md5)), "left_anti")
-    repeated = found.groupBy("doc_id", "text_md5").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    doc, md5, gone, rows = (next(c for c in (f"_{x}{i or ''}" for i in range(99)) if c not in taken) for x in ("doc", "md5", "gone", "rows"))
+    marks = marked.select(F.col("doc_id").alias(doc), F.col("text_md5").alias(md5), F.col("gone").alias(gone))
+    if marked.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    joined = df.join(marks, F.col(f"`{id_col}`").eqNullSafe(F.col(doc)) & (F.md5(text_of(text_col)) == F.col(md5)), "left")
+    kept = joined.where(F.col(gone).isNull()).select(df["*"])
+    if not marked.where("not gone").limit(1).count():
+        return kept
+    return kept.unionByName(joined.where(~F.col(gone)).select(df["*"]).dropDuplicates([id_col, text_col]))

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_of, written
+from ..sharing import written
+from .common import Cache, held_by_worker, slices, text_of
 
-CACHE_CHUNKS = 500_000
 #: Pieces of a group at most, about: larger groups pack tighter, smaller ones spread better.
 GROUP_PIECES = 16_384
 BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
@@ -41,16 +41,16 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Cache(64 << 20)
 
     def learn(self, chunks: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         for c, x in zip(chunks, found, strict=True):
-            self.cache[c] = np.array(x.ids, "<u4").tobytes()
+            ids = np.array(x.ids, "<u4").tobytes()
+            self.cache.put(c, ids, len(c) + len(ids))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+        self.cache.trim()
         cache, seen, split = self.cache, set(), []
         for text in texts:
             raw = text.encode()
@@ -63,33 +63,28 @@ class Coder:
         plain = {c[:-1] if c in tails else c for c in missing} | {b".", b","}
         self.learn([c for c in plain if c not in cache])
         for c in tails:
-            cache[c] = cache[c[:-1]] + cache[c[-1:]]
+            cache.put(c, cache[c[:-1]] + cache[c[-1:]], 5 * len(c))
         get = cache.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(path: str) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    """The worker's coder of this vocabulary; it outlives a task, its cache is bounded."""
+    return held_by_worker(("packing", path), lambda: Coder(path))
 
 
 def cut_pieces(df: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and ``end_id``, cut into pieces of ``width`` ids.
 
-    Null text is empty and has the one id ``end_id``. Null ids and repeated rows stay.
+    Null text is empty and has the one id ``end_id``. Null ids and repeated rows stay. Ids become longs; one that is no number raises.
     """
-    small_batches(df.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = coder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -165,12 +160,14 @@ def pack(lengths: np.ndarray, width: int) -> list[list[int]]:
 def pack_pieces(pieces: DataFrame, width: int = 2048, group: int = GROUP_PIECES) -> DataFrame:
     """All columns of ``pieces`` with sequence_id (unique, any numbers) and offset (gapless from 0 in each sequence).
 
-    Pieces go by a hash to groups of about ``group``, in an order that a repeated task finds again. ``pieces`` should be a
-    written table; it is counted first.
+    Pieces go to groups of about ``group`` by a hash of what they are and of their place in the written table, so that many equal
+    rows (null ids with empty texts) spread too; a repeated task finds the same place again. ``pieces`` should be a written table;
+    it is counted first.
     """
-    taken = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    taken = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_salt")]
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.select(*taken).repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
+    salted = pieces.select(*taken, F.monotonically_increasing_id().alias("_salt"))
+    dealt = salted.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32", "length", "_salt")).drop("_salt")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = [f for f in frames if len(f)]

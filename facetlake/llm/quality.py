@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..sharing import written
 
 #: Fixed: ASCII white space, symbols.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import held_by_worker, slices, text_of
 
 #: Fixed patterns of the base scan, and the least length of the part that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -68,15 +68,15 @@ def random_spans(text: str, coder: tiktoken.Encoding, max_ratio: float, taken: l
     return found
 
 
-_CODERS: dict[str, tiktoken.Encoding] = {}
-
-
 def coder(path: str, pattern: str) -> tiktoken.Encoding:
-    if path not in _CODERS:
+    """The worker's encoding of this vocabulary; it outlives a task."""
+
+    def read() -> tiktoken.Encoding:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _CODERS[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _CODERS[path]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return held_by_worker(("secrets", path, pattern), read)
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
@@ -95,13 +95,12 @@ def find_secrets(df: DataFrame, ranks: str, pattern: str, max_ratio: float = 2.2
     Spans are code points, end exclusive. Null text counts as empty and has none. Null ids and repeated rows pass through.
     Other columns are ignored. Texts are scanned whole. An empty table gives an empty one.
     """
-    small_batches(df.sparkSession)
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
     names = [id_col, *(x.split()[0] for x in schema.split(", ")[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = coder(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = all_spans(text, encoding, max_ratio)
@@ -116,12 +115,11 @@ def find_secrets(df: DataFrame, ranks: str, pattern: str, max_ratio: float = 2.2
 
 def redact(df: DataFrame, ranks: str, pattern: str, mark: str = "[SECRET]", max_ratio: float = 2.2, text_col: str = "text") -> DataFrame:
     """``df`` with every stretch of secret spans in the text replaced by ``mark``; null text stays null, all columns and rows stay."""
-    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = coder(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else redacted(t, all_spans(t, encoding, max_ratio)[1], mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

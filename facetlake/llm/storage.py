@@ -8,6 +8,7 @@ from pyarrow import fs
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI, as ``sharing.new_folder`` gives it. A bare path is a local file; shared folders never are bare."""
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 

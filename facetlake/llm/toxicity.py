@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of, written
+from ..sharing import written
+from .common import Cache, held_by_worker, slices, text_of
 
 #: Fixed: letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou"}
@@ -49,7 +50,6 @@ PARTS, LEAST_JOINED = 4, 4
 EDGES = ".,;:?!'’\"()[]"
 BEGINNINGS = range(4, 10)
 LEVELS = 3
-CACHE_CHUNKS = 200_000
 
 
 def class_table() -> np.ndarray:
@@ -73,11 +73,10 @@ def classes(text: str) -> np.ndarray:
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(cell, n): counts of the trigrams of character classes in all texts; there are CLASSES ** 3 cells at most."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 c = classes("  " + text.lower() + " ")
                 total += np.bincount(c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:], minlength=CLASSES**3)
@@ -112,7 +111,7 @@ class Restorer:
     def __init__(self, model: np.ndarray, known: frozenset[str] = frozenset()):
         self.model, self.known = model.tolist(), known
         self.prefixes = {w[:k] for w in known for k in range(len(w) + 1)}
-        self.parts: dict[str, tuple[str, bool, bool, bool]] = {}
+        self.parts = Cache()
 
     def lattice(self, text: str) -> list[list[tuple[str, float]]]:
         """Choices (string, log probability) of each character."""
@@ -204,12 +203,11 @@ class Restorer:
         """(word, unknown, may begin, may end) of a chunk as a part of a split word; no word where it is more than one."""
         found = self.parts.get(chunk)
         if found is None:
-            if len(self.parts) > CACHE_CHUNKS:
-                self.parts.clear()
             word = (chunk if chunk in self.known else self.read(chunk)).strip(EDGES)
             if not word.isalpha():
                 word = ""
-            found = self.parts[chunk] = (word, bool(word) and word not in self.known, chunk[-1:] not in EDGES, chunk[:1] not in EDGES)
+            found = (word, bool(word) and word not in self.known, chunk[-1:] not in EDGES, chunk[:1] not in EDGES)
+            self.parts.put(chunk, found, 2 * len(chunk))
         return found
 
     def chunks(self, text: str) -> list[str]:
@@ -268,7 +266,7 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, features: dict[str, int] | None):
         self.restorer, self.known = restorer, features
-        self.cache: dict[str, tuple] = {}
+        self.cache = Cache()
 
     def names(self, chunk: str) -> tuple:
         """Features of the words that a chunk is restored to: all their names, or the numbers of the known ones."""
@@ -279,12 +277,13 @@ class Scorer:
     def count(self, text: str) -> Counter:
         """How often each feature is in the text."""
         cache, out = self.cache, Counter()
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
+        cache.trim()
+        self.restorer.parts.trim()
         for chunk, n in Counter(self.restorer.chunks(text.lower())).items():
             found = cache.get(chunk)
             if found is None:
-                found = cache[chunk] = self.names(chunk)
+                found = self.names(chunk)
+                cache.put(chunk, found, len(chunk) + (8 if self.known is not None else 80) * len(found))
             for f in found:
                 out[f] += n
         return out
@@ -358,15 +357,9 @@ def train(df: DataFrame, labels: DataFrame, fit_rows: int = 6000, id_col: str =
     return fit(sample.column("_text").to_pylist(), sample.column("_label").to_pylist(), trigrams, known=known)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(number: str, model: Model) -> Scorer:
     """The worker's scorer of this model; it outlives a task, its cache is bounded."""
-    if number not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[number] = Scorer(Restorer(model.trigrams, model.known), model.features)
-    return _SCORERS[number]
+    return held_by_worker(("toxicity", number), lambda: Scorer(Restorer(model.trigrams, model.known), model.features))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -375,14 +368,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     Null text is empty; an empty text gets the score of no features. Null ids, repeated rows and extra columns do no harm: one
     row out a row in, from the text alone. Texts are scored whole. An empty table gives an empty result.
     """
-    small_batches(df.sparkSession)
     sent, number = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int" + ", restored string" * with_text
     names = [id_col, "held_out", "score", "predicted", "restored"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(number, sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             p = [probability(sent.value, scorer.count(t)) for t in texts]
             columns = [batch.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())]
@@ -395,12 +387,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``df``, all columns, whose text scores under ``limit``; null text is scored as empty."""
-    small_batches(df.sparkSession)
     sent, number, at = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(number, sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             clean = [probability(sent.value, scorer.count(t or "")) < limit for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -17,12 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches, text_of
+from ..sharing import new_folder, written
+from .common import slices, text_of
 from .storage import Sink, opened
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:facetlake:page:"
 EPOCH = "1970-01-01T00:00:00Z"
+#: Digests of repeated payloads that may be broadcast.
+BROADCAST_DIGESTS = 200_000
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -86,19 +89,22 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     Of the rows with equal payloads of at least ``min_bytes`` bytes, the one with the largest id is a response and the others
     revisit it; rows that share both payload and largest id, and all rows where no id is known, are responses. Null html is an
-    empty payload, null url leaves the target out. Other columns are ignored. An empty table gives no archive.
-    Only digests and ids are grouped; the rows meet the repeated digests in a join whose hot keys adaptive execution splits.
+    empty payload, null url leaves the target out. Other columns are ignored. An empty table gives no archive. Ids become longs;
+    one that is no number raises. Only digests and ids are shuffled while the repeated digests are BROADCAST_DIGESTS at most;
+    beyond it the rows meet them in a join whose hot keys adaptive execution splits.
     """
     spark = df.sparkSession
-    small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
     first = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = written(first, "first")
+    if first.count() <= BROADCAST_DIGESTS:
+        first = F.broadcast(first)
     planned = rows.join(first, "digest", "left").select("id", "url", F.col("html").cast("binary").alias("payload"), F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, sink, count = TaskContext.get().partitionId(), [], None, 0
-        for batch in batches:
+        for batch in slices(batches):
             for i, (page_id, url, payload, to) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 if sink is None:
                     sink, count = Sink(folder, f"part-{part:05d}-{len(made):04d}.warc.gz"), 0
@@ -158,21 +164,27 @@ def read_archives(spark: SparkSession, manifest: DataFrame, keep_payload: bool =
 
     Digest and size of a response are of the reassembled payload; a digest that differs from the record's, a missing segment or
     a wrong total length raises. Those of a revisit are of the payload it stands for, as its record says.
-    One task reads an archive as a stream; only the segments of cut records are shuffled, by origin.
+    One task reads an archive as a stream and finishes its whole records; only the segments of cut records are shuffled, by
+    origin. What is read is written once; an empty manifest gives an empty result.
     """
-    found = "origin string, number int, total long, kind string, page_id long, digest string, refers long, block binary"
-    names = [x.split()[0] for x in found.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    found = "origin: string, number: int, total: bigint, kind: string, page: bigint, digest: string, refers: bigint, block: binary"
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, n_segments int" + ", payload binary" * keep_payload
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()][: 6 + keep_payload]
+    outs = [x.split()[0] for x in out.split(", ")]
+    segment = pa.struct([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page", pa.int64()), ("digest", pa.string()), ("refers", pa.int64()), ("block", pa.binary())])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        def packed(rows, cut):
+            """Finished records, then segments with the other columns null."""
+            done = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=False)]
+            columns = [pa.concat_arrays([c, pa.nulls(len(cut), c.type)]) for c in done]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([None] * len(rows) + cut, segment)], [*outs, "segment"])
 
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 files, path = opened(uri)
-                rows, held = [], 0
+                rows, cut, held = [], [], 0
                 with files.open_input_stream(path, compression=None) as stream:
                     for raw in members(stream):
                         f, block = parsed(raw)
@@ -181,13 +193,18 @@ def read_archives(spark: SparkSession, manifest: DataFrame, keep_payload: bool =
                         page, refers = f.get("x-page-id"), f.get("warc-refers-to")
                         number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
                         refers = int(refers.removeprefix(f"<{URN}").partition(":")[0]) if refers else None
-                        rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number and int(number), total and int(total), f["warc-type"], page and int(page), f.get("warc-payload-digest", "").removeprefix("sha1:"), refers, block))
-                        held += len(block)
+                        origin, digest, page = f.get("warc-segment-origin-id", f["warc-record-id"]), f.get("warc-payload-digest", "").removeprefix("sha1:"), page and int(page)
+                        if number is None:
+                            rows.append(whole(f["warc-type"], page, digest, refers, [{"block": block, "number": None}], origin)[: len(kinds)])
+                            held += 100 + len(block) * keep_payload
+                        else:
+                            cut.append({"origin": origin, "number": int(number), "total": total and int(total), "kind": f["warc-type"], "page": page, "digest": digest, "refers": refers, "block": block})
+                            held += len(block)
                         if held > 8 << 20:
-                            yield packed(rows)
-                            rows, held = [], 0
-                if rows:
-                    yield packed(rows)
+                            yield packed(rows, cut)
+                            rows, cut, held = [], [], 0
+                if rows or cut:
+                    yield packed(rows, cut)
 
     def whole(kind: str, page: int | None, digest: str, refers: int | None, segments: list[tuple], key: str) -> tuple:
         block = b"".join(s["block"] for s in segments)
@@ -203,17 +220,17 @@ def read_archives(spark: SparkSession, manifest: DataFrame, keep_payload: bool =
         return page, len(payload), now, kind, None, len(segments), payload
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
-        for batch in batches:
-            rows = [whole(*(r[c] for c in ("kind", "page_id", "digest", "refers")), r["segments"], r["origin"])[: 6 + keep_payload] for r in batch.to_pylist()]
+        for batch in slices(batches):
+            rows = [whole(*(r[c] for c in ("kind", "page", "digest", "refers")), r["segments"], r["origin"])[: len(kinds)] for r in batch.to_pylist()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], [x.split()[0] for x in out.split(", ")])
-
-    archives = max(1, manifest.count())
-    seen = manifest.select("archive").repartition(archives).mapInArrow(scan, found)
-    seen = seen.withColumn("segment", F.struct("number", "total", "block"))
-    grouped = seen.groupBy("origin").agg(*(F.max(c).alias(c) for c in ("page_id", "refers", "digest")), F.max("kind").alias("kind"), F.sort_array(F.collect_list("segment")).alias("segments"))
-    return grouped.mapInArrow(join, out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], outs)
+
+    archives = max(1, manifest.count())  # a row an archive: one task deals them out evenly
+    seen = written(manifest.select("archive").coalesce(1).repartition(archives).mapInArrow(scan, f"{out}, segment struct<{found}>"), "records")
+    cut = seen.where("segment is not null").select("segment.*")
+    segments = F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("segments")
+    joined = cut.groupBy("origin").agg(*(F.max(c).alias(c) for c in ("page", "refers", "digest", "kind")), segments).mapInArrow(join, out)
+    return seen.where("segment is null").drop("segment").unionByName(joined)
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:
