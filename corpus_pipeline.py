@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlake.llm import linededup, ngramjoin, packing, secrets, toxicity
-from facetlake.llm.common import documents, written
+from facetlake.llm.common import documents
+from facetlake.sharing import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
