@@ -39,10 +39,12 @@ SMALL_BUCKET = 8
 HUB_ROUNDS = 4
 #: Classes of a large bucket that meet under one key in the exact rest.
 BLOCK = 512
-#: Bits of a set's signature, by which most candidate pairs are ruled out before any n-grams move.
-SIGNATURE_BITS = 1024
+#: Classes of a bucket from which on further hubs are tried before the exact rest.
+HUB_BUCKET = 64
+#: Least and most bits of a set's signature, by which most candidate pairs are ruled out before any n-grams move.
+LEAST_BITS, MOST_BITS = 512, 1 << 17
 #: Rows up to which ids may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -69,14 +71,24 @@ def gram_set(text: str, n: int) -> np.ndarray:
 
 
 def signature(grams: np.ndarray) -> list[int]:
-    """SIGNATURE_BITS bits: bit k says whether an odd number of the set's hashes end in k."""
-    odd = np.bincount(grams & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
+    """Bits, a power of two and at least two a hash: bit k says whether an odd number of the set's hashes end in k."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(grams)).bit_length()))
+    odd = np.bincount(grams & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def most_common(na: Column, nb: Column, a: Column, b: Column) -> Column:
-    """The most that two sets of these sizes and signatures can have in common: each bit that differs is a hash of one alone."""
-    differ = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SIGNATURE_BITS // 64))
+    """The most that two sets of these sizes and signatures can have in common: each bit that differs is a hash of one alone.
+
+    A signature of half as many bits is that of twice as many with its halves put together; longer ones are folded once. Sets
+    whose signatures differ more in length aren't held against each other.
+    """
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.size(x) / 2
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    differ = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, x: total + F.coalesce(x, F.lit(0)))
     return F.floor((na + nb - differ) / 2)
 
 
@@ -195,12 +207,15 @@ class Join:
         self.id_type = df.schema[id_col].dataType.simpleString()
         order = Order(*frequent(self.texts, n), n)
         self.order = df.sparkSession.sparkContext.broadcast(order)
-        self.docs = written(self.described(), "sets")
+        sets = written(self.described(), "sets")
         one = F.min(F.struct("doc_id", "text_md5")).alias("one")
         first = [F.first(c).alias(c) for c in ("n_shingles", "rare", "signature", "prefix")]
-        classes = self.docs.where("key is not null").groupBy("key").agg(one, F.min("doc_id").alias("least"), *first).withColumnRenamed("n_shingles", "n")
+        classes = sets.where("key is not null").groupBy("key").agg(one, F.min("doc_id").alias("least"), *first).withColumnRenamed("n_shingles", "n")
         # The least id leaves nulls aside, the least struct doesn't.
         self.classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        self.docs = written(sets.select("doc_id", "text_md5", "n_shingles", "key"), "docs")
+        removed(sets)
+        self.parts: list[DataFrame] = []
 
     def described(self) -> DataFrame:
         """(doc_id, text_md5, n_shingles, key, rare, prefix, signature) of every document; rare: n-grams not known as frequent."""
@@ -226,7 +241,9 @@ class Join:
         shared = written(rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1"), "shared")
         enough = (self.num + self.den) * (F.col("n") - F.col("at")) >= self.num * (F.col("n") + F.col("least"))
         found = written(rows.join(shared, "gram").where(enough).drop("least"), "buckets")
-        removed(shared)
+        slim = written(self.classes.drop("prefix"), "classes")
+        removed(shared, self.classes)
+        self.classes = slim
         return found
 
     def near(self, a: str, b: str) -> Column:
@@ -300,9 +317,22 @@ class Join:
         removed(one)
         return found
 
-    def linked(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    def fragments(self, cids: DataFrame) -> DataFrame:
+        """(cid, fragment, grams) of some classes; the text of a class is cut once, when it is first needed."""
+        new = written(cids, "cids")
+        for part in self.parts:
+            new = new.join(part.select("cid").distinct(), "cid", "left_anti")
+        if not self.parts or new.limit(1).count():
+            self.parts.append(self.segments(new))
+        every = self.parts[0]
+        for part in self.parts[1:]:
+            every = every.unionByName(part)
+        return every
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) that are links, with their overlap: partial overlaps of fragments, summed."""
         pairs = written(pairs, "pairs")
+        parts = self.fragments(ends(pairs))
 
         def parts_of(x: str) -> DataFrame:
             """The fragments of the classes on one side; few are picked before anything is shuffled."""
@@ -319,45 +349,53 @@ class Join:
     def all_links(self) -> DataFrame:
         """Every link (a, b, na, nb, common) between different classes; there are many within a group of near copies."""
         alone = self.buckets().withColumn("component", F.col("cid"))
-        pairs = written(self.possible(self.pairs_in_blocks(alone)), "possible")
-        return self.linked(pairs, self.segments(ends(pairs)))
+        found = self.linked(self.possible(self.pairs_in_blocks(alone)))
+        removed(*self.parts)
+        return found
+
+    def against_hubs(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs a, b of each bucket's hub with its other classes that may be linked to it; hubs): hubs have the fewest n-grams of their own."""
+        hub = F.min(F.struct("rare", (-F.col("n")).alias("less"), "cid", "n", "at", "component")).alias("hub")
+        hubs = written(rows.groupBy("gram").agg(hub).select(F.col("gram").alias("hgram"), *(F.col("hub." + c).alias("b" + c) for c in ("cid", "n", "at", "component"))), "hubs")
+        spokes = rows.select("gram", *(F.col(c).alias("a" + c) for c in ("cid", "n", "at", "component")))
+        met = spokes.join(hubs, F.expr("gram = hgram and acid <> bcid and acomponent <> bcomponent") & self.near("a", "b"))
+        return met.select(F.least("acid", "bcid").alias("a"), F.greatest("acid", "bcid").alias("b")), hubs
+
+    @staticmethod
+    def unsettled(rows: DataFrame, known: DataFrame) -> DataFrame:
+        """The rows of the buckets that have classes of several components, with the components."""
+        named = written(rows.drop("component").join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "named")
+        mixed = named.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("gram")
+        found = written(named.join(mixed, "gram", "left_semi"), "unsettled")
+        removed(named)
+        return found
 
     def links(self) -> DataFrame:
         """Links (a, b, na, nb, common) between classes that connect all that is connected.
 
         This is a connecting part of all links: in large buckets those within a component already known are not looked for.
         """
-        buckets = self.buckets()
-        large = buckets.where(F.col("m") > SMALL_BUCKET).drop("m")
-        small = buckets.where(F.col("m") <= SMALL_BUCKET).withColumn("component", F.col("cid"))
-        pairs = written(self.possible(self.pairs_within(small)), "possible")
-        parts = self.segments(ends(pairs).unionByName(large.select("cid")).distinct())
-        found = self.linked(pairs, parts)
-        removed(pairs)
-        known, new = components(found), found
-        for i in range(HUB_ROUNDS + 1):
-            if not large.limit(1).count():
+        buckets = self.buckets().withColumn("component", F.col("cid"))
+        large = buckets.where(F.col("m") > SMALL_BUCKET)
+        pairs, hubs = self.against_hubs(large)
+        found = self.linked(self.possible(self.pairs_within(buckets.where(F.col("m") <= SMALL_BUCKET)).unionByName(pairs)))
+        known = components(found)
+        rows = large.where(F.col("m") >= HUB_BUCKET)
+        for _ in range(HUB_ROUNDS - 1):  # further hubs where many classes meet
+            done = hubs.select(F.col("hgram").alias("gram"), F.col("bcid").alias("cid"))
+            rows = self.unsettled(rows.join(done, ["gram", "cid"], "left_anti"), known)
+            if not rows.limit(1).count():
                 break
-            named = large.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-            named = written(named, "named")
-            hub = F.min(F.struct("rare", (-F.col("n")).alias("less"), "cid", "n", "at", "component")).alias("hub")
-            split = named.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), hub).where("least <> most")
-            rest = named.join(split.select("gram", "hub"), "gram")
-            if i == HUB_ROUNDS or new is None:
-                left = written(self.possible(self.pairs_in_blocks(written(rest.drop("hub"), "rest"))), "possible")
-                found = written(found.unionByName(self.linked(left, parts)), "found")
+            pairs, hubs = self.against_hubs(rows)
+            new = self.linked(self.possible(pairs))
+            if not new.limit(1).count():
                 break
-            spokes = written(rest.where(F.col("cid") != F.col("hub.cid")), "spokes")
-            against = spokes.select(*(F.col(c).alias("a" + c) for c in ("cid", "n", "at", "component")), *(F.col("hub." + c).alias("b" + c) for c in ("cid", "n", "at", "component")))
-            against = against.where((F.col("acomponent") != F.col("bcomponent")) & self.near("a", "b"))
-            new = self.linked(self.possible(against.select(F.least("acid", "bcid").alias("a"), F.greatest("acid", "bcid").alias("b"))), parts)
-            if new.limit(1).count():
-                found = written(found.unionByName(new), "found")
-                known = components(found)
-            else:  # hubs find no more
-                new = None
-            large = spokes.select("gram", "cid", "n", "at", "rare")
-        removed(parts, buckets)
+            found = written(found.unionByName(new), "found")
+            known = components(found)
+        rest = self.unsettled(large, known)
+        new = self.linked(self.possible(self.pairs_in_blocks(rest)))
+        found = written(found.unionByName(new), "found")
+        removed(rest, *self.parts)
         return found
 
 
@@ -368,7 +406,8 @@ def ends(pairs: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_md5, n_shingles, component, component_id) of every row; component is a number, null without n-grams."""
     join = Join(df, n, num, den, id_col, text_col)
-    named = join.classes.select("cid", "key", "least").join(components(join.links()), "cid", "left")
+    known = components(join.links())
+    named = join.classes.select("cid", "key", "least").join(known, "cid", "left")
     named = written(named.select("key", "least", F.coalesce("component", "cid").alias("component")), "named")
     join.order.destroy()
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
