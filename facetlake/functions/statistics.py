@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sharing import numbered, settled
+
 
 def rms(x: Column) -> Column:
     """Root mean square, 0 for no values."""
@@ -22,16 +24,30 @@ def correlation(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.sqrt(product)), F.lit(0.0))
 
 
+def gaussian(seed: int, mean: float = 0.0, spread: float = 1.0) -> Column:
+    """Seeded normal random numbers."""
+    return mean + spread * F.randn(seed)
+
+
 def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Non-null values with ``rank`` (0-based) and ``n`` of each group, from counts of equal values.
 
-    Values are counted first, so a group's window holds distinct values only, not its rows; ``rank`` is that of the first of
-    ``times`` equal values.
+    Distinct values are dealt by ranges of (group, value), summed within each range, and moved by the sums of the group's ranges
+    before: a window holds one range of a group, or one row a range, so a group may have any number of values. ``rank`` is that
+    of the first of ``times`` equal values. Null groups are groups.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
-    w = Window.partitionBy(*by).orderBy(value)
-    before = F.coalesce(F.sum("times").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before).withColumn("n", F.sum("times").over(Window.partitionBy(*by)))
+    rows = settled(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_range").agg(F.sum("times").alias("_s"))
+    sums = sums.select(*(F.col(c).alias("_of_" + c) for c in by), F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(group).alias("n"))
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col("_of_" + c))
+    ranked = rows.withColumn("rank", F.coalesce(F.sum("times").over(within), F.lit(0))).join(sums, same)
+    return ranked.select(*by, value, "times", (F.col("rank") + F.col("_before")).alias("rank"), "n")
 
 
 def fractiles(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
@@ -56,13 +72,26 @@ def robust_mean_sdev(df: DataFrame, by: list[str], value: str, low: float, high:
     return both.groupBy(*by).agg(F.max("mean").alias("mean"), F.sqrt(F.sum(F.col("k") * (F.col(value) - F.col("mean")) ** 2) / F.sum("k")).alias("sdev"))
 
 
-def windowed_median(value: str, by: list[str], order: list[str], size: int) -> Column:
-    """Upper median of a centred frame of half width size // 2, shorter at the ends."""
-    h = size // 2
-    held = F.sort_array(F.collect_list(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-h, h)))
-    return F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
+#: Rows of a block of a window query, at least so many times the half width.
+BLOCK_ROWS, BLOCK_WIDTHS = 100_000, 10
+
 
+def windowed(df: DataFrame, value: str, by: list[str], order: list[str], size: int, how: str, name: str) -> DataFrame:
+    """``df`` with column ``name``: upper ``median`` or ``average`` of a centred frame of half width size // 2, shorter at the ends.
 
-def windowed_average(value: str, by: list[str], order: list[str], size: int) -> Column:
+    Rows are numbered by group and order and dealt to blocks of following numbers; the rows near the ends of a block go to its
+    neighbour too. So a group of any size is many windows, and each row finds its whole frame in its own block.
+    """
     h = size // 2
-    return F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-h, h))
+    block = max(BLOCK_ROWS, BLOCK_WIDTHS * h)
+    rows = numbered(df, "_i", *by, *order)
+    own = F.floor(F.col("_i") / block)
+    ends = F.sequence(F.floor((F.col("_i") - h) / block), F.floor((F.col("_i") + h) / block))
+    rows = rows.withColumn("_own", own).withColumn("_block", F.explode(ends))
+    frame = Window.partitionBy(*by, "_block").orderBy("_i").rowsBetween(-h, h)
+    if how == "average":
+        got = F.avg(value).over(frame)
+    else:
+        held = F.sort_array(F.collect_list(value).over(frame))
+        got = F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
+    return rows.withColumn(name, got).where("_block = _own").drop("_i", "_own", "_block")

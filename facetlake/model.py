@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("verts", "lines", "polys", "strips")
@@ -91,6 +91,19 @@ class Scene:
         self.surfaces: dict[int, Surface] = {}
         self.next_id = 0
 
+    @classmethod
+    def read(cls, spark: SparkSession, *paths: str) -> Scene:
+        """The surfaces of files, in order; an OBJ with materials gives one for each material."""
+        from .sources.readers import read_scene
+
+        return read_scene(spark, *paths, scene=cls())
+
+    def write(self, path: str, kind: str, **options) -> None:
+        """All surfaces, placed, as one file."""
+        from .sources.writers import write_scene
+
+        write_scene(self, path, kind, **options)
+
     def add(self, name: str, mesh: Mesh) -> int:
         self.surfaces[self.next_id] = Surface(name, mesh)
         self.next_id += 1

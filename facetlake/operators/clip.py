@@ -98,6 +98,11 @@ def remove_non_manifold(mesh: Mesh) -> Mesh:
     return Mesh(mesh.points.select("pid", "x", "y", "z"), kept.select("cid", "kind", "pids"))
 
 
+def flipped_plane(origin, normal) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The same plane seen from its other side."""
+    return tuple(map(float, origin)), tuple(-float(x) for x in normal)
+
+
 def compact(mesh: Mesh) -> Mesh:
     """Drop points in no cell and number the others anew in order; all attributes go along."""
     used = mesh.corners().select("pid").distinct()

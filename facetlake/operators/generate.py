@@ -122,6 +122,14 @@ def plane_grid(spark: SparkSession, n: int, size: float = 1.0) -> Mesh:
     return Mesh(points, spark.range(n * n).select(F.col("id").alias("cid"), F.lit("polys").alias("kind"), F.array(a, a + 1, a + 1 + w, a + w).alias("pids")))
 
 
+def pca_blob(spark: SparkSession, points: DataFrame, res: int = 50) -> Mesh:
+    """The unit sphere on the principal axes of a cloud, spread by the standard deviations along them."""
+    from .measure import principal_transform
+    from .project import apply_transform
+
+    return apply_transform(sphere(spark, theta_res=res, phi_res=res), principal_transform(points, scaled=True))
+
+
 def glyphs(mesh: Mesh, radius: float = 0.0, res: int = 20) -> Mesh:
     """A sphere at every point; radius 0 stands for 0.5 % of the diagonal of the bounds. The sphere's size is fixed by ``res``."""
     spark = mesh.points.sparkSession

@@ -16,7 +16,7 @@ from ..sharing import numbered, removed, settled
 from .clip import compact, edge_uses, edges, face_normals
 from .measure import center_distance
 from .sets import append, weld
-from .spatial import knn, radius_join
+from .spatial import knn, nearest, radius_join
 
 XYZ, NORMAL = ("x", "y", "z"), ("nx", "ny", "nz")
 
@@ -99,14 +99,15 @@ def scalar_region(mesh: Mesh, low: float, high: float, full: bool = False) -> Me
 
 
 def spread(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(node): all nodes reachable from the seeds along undirected links (a, b), frontier by frontier."""
-    both = settled(links.select("a", "b").union(links.select("b", "a")).distinct())
-    seen = front = settled(seeds.select("node").distinct())
-    while front.limit(1).count():
-        nxt = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        front = settled(nxt.join(seen, "node", "left_anti"))
-        seen = settled(seen.union(front))
-    return seen
+    """(node): all nodes reachable from the seeds along undirected links (a, b): the components that hold a seed.
+
+    Components take rounds by the logarithm of a path's length, where a moving front takes one a step.
+    """
+    start = settled(seeds.select("node").distinct())
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).union(start)
+    of = components(nodes, links)
+    hit = of.join(start, "node", "left_semi").select("label").distinct()
+    return of.join(hit, "label", "left_semi").select("node")
 
 
 def vertex_neighbours(points: DataFrame, links: DataFrame, start: int, limit2: float) -> DataFrame:
@@ -155,9 +156,42 @@ def consistent(mesh: Mesh) -> Mesh:
     return Mesh(mesh.points, rows.withColumn("pids", F.when(F.col("flip"), F.reverse("pids")).otherwise(F.col("pids"))).select(*mesh.cells.columns))
 
 
-def vertex_normals(mesh: Mesh, flip: bool = False, orient: bool = False) -> Mesh:
-    """Unit sums of the unit normals of the polygons around each point; points without polygons get a zero normal."""
+def split_sharp(mesh: Mesh, angle: float = 30.0) -> Mesh:
+    """Points copied so that polygons around a point share it only where they are smoothly linked.
+
+    Two polygons around a point are linked where they share an edge there, alone, and their normals differ by at most ``angle``
+    degrees. The group with the least cell keeps the point; the others get copies, numbered after the points that there are.
+    """
+    ring = mesh.cells.where("kind = 'polys'").select("cid", F.posexplode("pids").alias("i", "p"), "pids")
+    q = F.element_at("pids", (F.when(F.col("i") + 1 == F.size("pids"), 0).otherwise(F.col("i") + 1) + 1).cast("int"))
+    uses = ring.select("cid", F.least("p", q).alias("u"), F.greatest("p", q).alias("v"))
+    pairs = uses.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("n = 2 and a <> b")
+    normals = face_normals(mesh)
+    for k in "ab":
+        pairs = pairs.join(normals.select(F.col("cid").alias(k), *(F.col(c).alias(k + c) for c in NORMAL)), k)
+    cos = g.dot(tuple(F.col("a" + c) for c in NORMAL), tuple(F.col("b" + c) for c in NORMAL))
+    smooth_pairs = pairs.where(cos >= math.cos(math.radians(angle))).select("a", "b", F.explode(F.array("u", "v")).alias("pid"))
+    corner = settled(mesh.corners().where("kind = 'polys'").select("cid", "pid").distinct())
+    node = lambda c: F.struct(F.col("pid"), F.col(c).alias("cid"))
+    found = components(corner.select(node("cid").alias("node")), smooth_pairs.select(node("a").alias("a"), node("b").alias("b")))
+    groups = settled(found.select("node.pid", "node.cid", F.col("label.cid").alias("least")))
+    kept = groups.groupBy("pid").agg(F.min("least").alias("first"))
+    copies = groups.select("pid", "least").distinct().join(kept, "pid").where("least <> first").select("pid", "least")
+    top = mesh.points.agg((F.coalesce(F.max("pid"), F.lit(-1)) + 1).alias("_top"))
+    copies = settled(numbered(copies, "_k", "pid", "least").join(F.broadcast(top)).select("pid", "least", (F.col("_k") + F.col("_top")).alias("new")))
+    points = mesh.points.unionByName(mesh.points.join(copies.drop("least"), "pid").drop("pid").withColumnRenamed("new", "pid").select(*mesh.points.columns))
+    moved = groups.join(copies, ["pid", "least"]).select("cid", "pid", "new")
+    ids = mesh.corners().join(moved, ["cid", "pid"], "left").groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("new", "pid").alias("p")))), lambda x: x["p"]).alias("pids"))
+    return Mesh(points, mesh.cells.drop("pids").join(ids, "cid").select(*mesh.cells.columns))
+
+
+def vertex_normals(mesh: Mesh, flip: bool = False, orient: bool = False, split: bool = False, angle: float = 30.0) -> Mesh:
+    """Unit sums of the unit normals of the polygons around each point; points without polygons get a zero normal.
+
+    ``orient`` makes neighbours agree first, ``split`` parts points at edges sharper than ``angle``, ``flip`` turns the normals.
+    """
     mesh = consistent(mesh) if orient else mesh
+    mesh = split_sharp(mesh, angle) if split else mesh
     corner = mesh.corners().where("kind in ('polys', 'strips')").join(face_normals(mesh), "cid")
     summed = corner.groupBy("pid").agg(*(F.sum(c).alias(c) for c in NORMAL))
     s = -1.0 if flip else 1.0
@@ -240,6 +274,54 @@ def smooth_taubin(mesh: Mesh, iterations: int = 20, forth: float = 0.5, back: fl
     return _smoothed(mesh, [forth, back] * iterations, boundary, cut)
 
 
+def smooth_sinc(mesh: Mesh, iterations: int = 20, pass_band: float = 0.1, boundary: bool = True, cut: int = 5) -> Mesh:
+    """Windowed-sinc smoothing (Taubin, Zhang, Golub 1996): a low-pass filter of degree ``iterations`` in Chebyshev polynomials.
+
+    With K = I - (mean of neighbours), the places become the sum of c_i T_i(I - K / 2); the coefficients are those of the ideal
+    filter that ends at ``pass_band`` (0 to 2), in a Hamming window. Border points stay unless ``boundary``.
+    """
+    c = sinc_coefficients(iterations, pass_band)
+    pairs = edges(mesh).select("a", "b").distinct()
+    both = settled(pairs.union(pairs.select("b", "a")))
+    fixed = settled(edge_uses(mesh).where("cells = 1").select(F.explode(F.array("a", "b")).alias("pid")).distinct()) if not boundary else None
+
+    def half(rows: DataFrame, names: list[str]) -> DataFrame:
+        """Rows with m_name: (I - K / 2) of each column, itself for points without neighbours and fixed ones."""
+        mean = both.join(rows.select(F.col("pid").alias("b"), *names), "b").groupBy(F.col("a").alias("pid")).agg(*(F.avg(n).alias("_" + n) for n in names))
+        if fixed is not None:
+            mean = mean.join(fixed, "pid", "left_anti")
+        joined = rows.join(mean, "pid", "left")
+        return joined.select(*rows.columns, *(((F.col(n) + F.coalesce("_" + n, n)) / 2).alias("m_" + n) for n in names))
+
+    now = [f"t{x}" for x in XYZ]
+    start = mesh.points.select("pid", *(F.col(x).alias("p" + x) for x in XYZ), *(F.col(x).alias("t" + x) for x in XYZ))
+    rows = half(start, now).select("pid", *("p" + x for x in XYZ), *(F.col("m_t" + x).alias("t" + x) for x in XYZ), *((c[0] * F.col("p" + x) + c[1] * F.col("m_t" + x)).alias("s" + x) for x in XYZ))
+    for i in range(2, iterations + 1):
+        step = lambda x: 2 * F.col("m_t" + x) - F.col("p" + x)
+        rows = half(rows, now).select("pid", *(F.col("t" + x).alias("p" + x) for x in XYZ), *(step(x).alias("t" + x) for x in XYZ), *((F.col("s" + x) + c[i] * step(x)).alias("s" + x) for x in XYZ))
+        rows = settled(rows) if i % cut == 0 else rows
+    return mesh.with_points(mesh.points.drop(*XYZ).join(rows.select("pid", *(F.col("s" + x).alias(x) for x in XYZ)), "pid").select(*mesh.points.columns))
+
+
+def sinc_coefficients(degree: int, pass_band: float) -> np.ndarray:
+    """Chebyshev coefficients of the windowed low-pass filter, shifted so that it is 1 at the pass band's end, and 1 at 0."""
+    k = np.arange(1, degree + 1)
+    window = 0.54 + 0.46 * np.cos(np.pi * np.arange(degree + 1) / (degree + 1))
+    end = math.acos(1 - pass_band / 2)
+
+    def filter_of(shift: float) -> np.ndarray:
+        c = np.concatenate(([(end + shift) / np.pi], 2 * np.sin(k * (end + shift)) / (k * np.pi))) * window
+        return c
+
+    at = np.cos(np.arange(degree + 1) * end)
+    low, high = 0.0, min(np.pi - end, 4 * np.pi / (degree + 1))
+    for _ in range(60):  # the filter at the end of the band grows with the shift
+        mid = (low + high) / 2
+        low, high = (mid, high) if filter_of(mid) @ at < 1 else (low, mid)
+    c = filter_of(high)
+    return c / c.sum()
+
+
 def _smoothed(mesh: Mesh, steps: list[float], boundary: bool, cut: int) -> Mesh:
     pairs = edges(mesh).select("a", "b").distinct()
     both = settled(pairs.union(pairs.select("b", "a")))
@@ -339,14 +421,22 @@ def cliques(points: DataFrame, radius: float = 1.0, angle: float = 15.0) -> Data
     return state.join(sizes, "label").select(F.col("node").alias("pid"), F.col("label").alias("clique"), "flip")
 
 
-def vote_orientation(points: DataFrame, of: DataFrame, outward: bool = False) -> DataFrame:
+def vote_orientation(points: DataFrame, of: DataFrame, outward: bool = False, reference: DataFrame | None = None) -> DataFrame:
     """Points of cliques with normals turned to agree within the clique, then by the spread of tips against bases.
 
     A clique turns where its tips are farther from their centre than its bases are, so normals end up pointing inward;
-    ``outward`` turns the rule round. Adds column clique.
+    ``outward`` turns the rule round. With ``reference`` points (pid, x, y, z, normal) each point votes by the normal of the nearest
+    one instead, and a clique turns where more are against than for. Adds column clique.
     """
     rows = points.join(of, "pid")
     rows = rows.withColumns({c: F.when(F.col("flip"), -F.col(c)).otherwise(F.col(c)) for c in NORMAL})
+    if reference is not None:
+        by = nearest(rows.select("pid", *XYZ), reference).select(F.col("id").alias("pid"), "other")
+        by = by.join(reference.select(F.col("pid").alias("other"), *(F.col(c).alias("r" + c) for c in NORMAL)), "other")
+        against = g.dot(tuple(F.col("r" + c) for c in NORMAL), tuple(F.col(c) for c in NORMAL)) < 0
+        votes = rows.join(by, "pid").groupBy("clique").agg(F.count_if(against).alias("bad"), F.count_if(~against).alias("good"))
+        both = rows.join(votes, "clique")
+        return both.withColumns({c: F.when(F.col("good") < F.col("bad"), -F.col(c)).otherwise(F.col(c)) for c in NORMAL}).drop("good", "bad", "flip")
     tips = rows.select("clique", *((F.col(c) + F.col("n" + c)).alias(c) for c in XYZ))
     a = center_distance(rows, ["clique"]).select("clique", F.col("mean").alias("base"))
     b = center_distance(tips, ["clique"]).select("clique", F.col("mean").alias("tip"))

@@ -158,6 +158,11 @@ def minimum_angles(mesh: Mesh) -> DataFrame:
     return triangle_angles(mesh).select("tid", "cid", F.least("aa", "ab", "ac").alias("angle"))
 
 
+def mean_minimum_angle(mesh: Mesh) -> DataFrame:
+    """One row (angle): the mean over triangles of the least corner angle, in degrees; 0 without triangles."""
+    return minimum_angles(mesh).agg(F.coalesce(F.avg("angle"), F.lit(0.0)).alias("angle"))
+
+
 def edge_lengths(mesh: Mesh) -> DataFrame:
     """(a, b, length) of the distinct undirected edges."""
     rows = edges(mesh).select("a", "b").distinct()

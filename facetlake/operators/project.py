@@ -167,12 +167,26 @@ def plane_crossing(line: DataFrame, by: list[str], origin, normal) -> DataFrame:
     return first.select(*by, "seg", "t", *((F.col(c) + F.col("t") * (F.col("e" + c) - F.col(c))).alias(c) for c in XYZ))
 
 
-def color_ramp(value: Column, low: float, high: float, hue: tuple[float, float] = (2 / 3, 0.0)) -> Column:
-    """A value as rgb (0..255) on a ramp of hues at full saturation and brightness; clamped to the range."""
-    s = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    h = (hue[0] + s * (hue[1] - hue[0])) * 6
-    part = lambda shift: F.round(255 * F.least(F.greatest(F.abs(F.pmod(h + shift, F.lit(6.0)) - 3) - 1, F.lit(0.0)), F.lit(1.0))).cast("smallint")
-    return F.array(part(0.0), part(4.0), part(2.0))
+#: Fixed: the ramps by number, as (from, to) of hue, saturation and brightness: rainbow, blue to skin, grey to blue, inverse
+#: rainbow, dark grey to golden, hot, grey.
+RAMPS = [
+    ((2 / 3, 0.0), (1.0, 1.0), (1.0, 1.0)),
+    ((240 / 360, 0.0), (0.7, 0.3), (1.0, 0.93)),
+    ((0.3, 0.6), (0.0, 0.8), (0.5, 0.8)),
+    ((0.0, 2 / 3), (1.0, 1.0), (1.0, 1.0)),
+    ((50 / 360, 50 / 360), (0.0, 0.85), (0.5, 0.8)),
+    ((0.0, 60 / 360), (1.0, 1.0), (0.5, 1.0)),
+    ((0.0, 0.0), (0.0, 0.0), (0.2, 0.8)),
+]
+
+
+def color_ramp(value: Column, low: float, high: float, ramp: int = 0) -> Column:
+    """A value as rgb (0..255) on one of the RAMPS, in even steps of hue, saturation and brightness; clamped to the range."""
+    at = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    h, s, v = (a + at * (b - a) for a, b in RAMPS[ramp])
+    k = lambda n: F.pmod(n + h * 6, F.lit(6.0))
+    part = lambda n: F.round(255 * (v - v * s * F.greatest(F.least(k(n), 4 - k(n), F.lit(1.0)), F.lit(0.0)))).cast("smallint")
+    return F.array(part(5.0), part(3.0), part(1.0))
 
 
 def next_color(index: Column, palette: list[list[int]]) -> Column:

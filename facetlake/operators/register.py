@@ -13,8 +13,7 @@ from ..sharing import numbered, settled
 from .clip import feature_edges
 from .project import apply_transform
 from .sets import stride
-from .spatial import compare, nearest_triangle
-from ..functions import geometry as g
+from .spatial import compare, nearest, nearest_triangle, on_border
 
 XYZ = ("x", "y", "z")
 
@@ -77,24 +76,16 @@ class IcpOptions:
     mode: str = "rigid"
     match_centroids: bool = False
     skip_border: bool = False
-
-
-def on_border(near: DataFrame, target: Mesh, tolerance: float = 1e-9) -> DataFrame:
-    """Ids of ``nearest_triangle`` rows whose place lies on a border edge."""
-    border = feature_edges(target, True, False).select("a", "b")
-    for k in "ab":
-        border = border.join(target.points.select(F.col("pid").alias(k), *(F.col(c).alias(k + c) for c in XYZ)), k)
-    sides = near.select("id", "cx", "cy", "cz", F.explode(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in ("ab", "bc", "ca")))).alias("e")).select("id", "cx", "cy", "cz", "e.*")
-    at = g.vector("cx", "cy", "cz")
-    hit = sides.join(border, ["a", "b"]).where(g.distance2(at, g.closest_on_segment(at, g.vector("ax", "ay", "az"), g.vector("bx", "by", "bz"))) < tolerance)
-    return hit.select("id").distinct()
+    points_first: bool = False
 
 
 def icp(source: Mesh, target: Mesh, options: IcpOptions = IcpOptions()) -> np.ndarray:  # noqa: B008
     """4x4 that moves the source onto the target: closest places, least-squares fit, repeat.
 
     Ends where the mean distance changes by less than ``stop``. With ``skip_border``, pairs that land on the target's border are
-    left out and the landmarks grow from 3 % over 5 % and 10 % to all at 10, 20 and 30 % of the iterations.
+    left out and the landmarks grow from 3 % over 5 % and 10 % to all at 10, 20 and 30 % of the iterations. ``points_first`` pairs
+    with the target's points until the mean distance settles, then with places on its surface. The result is refitted at the
+    end from all marks to where the steps together have put them, so that rounding in many steps leaves a pure turn and shift.
     """
     # Dense places, of the points and again of the marks: a stride goes by them, whatever the ids are.
     dense = lambda rows: numbered(rows.withColumnRenamed("pid", "_id"), "pid", "_id").select("pid", *XYZ)
@@ -103,22 +94,45 @@ def icp(source: Mesh, target: Mesh, options: IcpOptions = IcpOptions()) -> np.nd
     if options.match_centroids:
         a, b = (df.agg(*(F.avg(c) for c in XYZ)).first() for df in (source.points, target.points))
         m[:3, 3] = np.array(b) - np.array(a)
+    phase = "points" if options.points_first else "surface"
     for i in range(options.iterations):
         share = 1.0 if not options.skip_border else next((s for limit, s in ((0.1, 0.03), (0.2, 0.05), (0.3, 0.1)) if i < limit * options.iterations), 1.0)
         some = stride(marks, max(1, int(share * total))) if share < 1 else marks
         moved = settled(apply_transform(Mesh(some, None), m).points)
-        near = nearest_triangle(moved, target)
-        if options.skip_border:
-            near = near.join(on_border(near, target), "id", "left_anti")
+        if phase == "points":
+            near = nearest(moved, target.points).join(target.points.select(F.col("pid").alias("other"), *(F.col(c).alias("c" + c) for c in XYZ)), "other")
+            if options.skip_border:
+                near = near.join(settled(border_points(target)), "other", "left_anti")
+        else:
+            near = nearest_triangle(moved, target)
+            if options.skip_border:
+                near = settled(near)
+                near = near.join(on_border(near, target), "id", "left_anti")
         pairs = settled(near.select(F.col("id").alias("pid"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("cz").alias("tz"), "d2").join(moved, "pid"))
         mean = pairs.agg(F.avg(F.sqrt("d2"))).first()[0]
         if mean is None:
             break
         m = landmark_transform(pairs, options.mode) @ m
-        if share == 1.0 and (mean < 1e-12 or last is not None and abs(last - mean) < options.stop):
-            break
-        last = mean if share == 1.0 else None
-    return m
+        last, before = mean if share == 1.0 else None, last
+        if share == 1.0 and (mean < 1e-12 or before is not None and abs(before - mean) < options.stop):
+            if phase == "surface":
+                break
+            phase, last = "surface", None
+    return refitted(marks, m, options.mode)
+
+
+def border_points(mesh: Mesh) -> DataFrame:
+    """(other): points of border edges."""
+    return feature_edges(mesh, True, False).select(F.explode(F.array("a", "b")).alias("other")).distinct()
+
+
+def refitted(marks: DataFrame, m: np.ndarray, mode: str) -> np.ndarray:
+    """The transform of the mode that takes the marks to where ``m`` puts them; ``m`` itself for fewer than three marks."""
+    if marks.count() < 3:
+        return m
+    moved = apply_transform(Mesh(marks.select("pid", *XYZ), None), m).points
+    pairs = marks.select("pid", *XYZ).join(moved.select("pid", *(F.col(c).alias("t" + c) for c in XYZ)), "pid")
+    return landmark_transform(pairs, mode)
 
 
 def align(source: Mesh, target: Mesh, options: IcpOptions = IcpOptions(), errors: bool = False) -> tuple[Mesh, np.ndarray, DataFrame | None]:  # noqa: B008

@@ -1,7 +1,8 @@
 """Joins in space: radius, nearest, k nearest, nearest triangle, and what is built on them.
 
-All use a uniform grid: points get the key of their cell, one side is copied to the neighbouring cells, and an equi-join on the
-key is followed by the exact test. Nearest searches start from a radius and double it for the rows still without an answer.
+Most use a uniform grid: points get the key of their cell, one side is copied to the neighbouring cells, and an equi-join on the
+key is followed by the exact test. Nearest searches start from a radius and double it for the rows still without an answer; where
+the searched side is counted and small, every task gets it whole and searches in blocks instead. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from ..sharing import numbered, settled
 
 XYZ = ("x", "y", "z")
 CELL = ("gx", "gy", "gz")
+#: Points or triangles that a task may hold whole, pairs up to which that is worth it, and pairs worked on at once.
+BLOCK_ROWS, BLOCK_PAIRS, BLOCK_AT_ONCE = 100_000, 4_000_000_000, 1_000_000
 
 
 def _cell(c: str, size: float) -> Column:
@@ -57,6 +62,8 @@ def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     n, side, _ = extent(right)
     if not n:
         return left.select(F.col("pid").alias("id"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("other"), F.lit(0.0).alias("d2")).where("false")
+    if n <= BLOCK_ROWS and n * left.count() <= BLOCK_PAIRS:
+        return knn_in_blocks(left, right, k)
     both = extent(left.select(*XYZ).unionByName(right.select(*XYZ)))[2]
     radius = max(side * (max(2, k) / n) ** (1 / 3), both / 1e4, 1e-12)
     found, todo = None, left.select("pid", *XYZ)
@@ -78,6 +85,31 @@ def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
         radius *= 2
 
 
+def knn_in_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """As ``knn`` where right has at most BLOCK_ROWS points: tasks hold all of them and compare blocks of left with them."""
+    table = right.select(F.col("pid").cast("long").alias("pid"), *(F.col(c).cast("double").alias(c) for c in XYZ)).toArrow().sort_by("pid")
+    sent = left.sparkSession.sparkContext.broadcast([c.to_numpy() for c in table.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others, *xyz = sent.value
+        most, step = min(k, len(others)), max(1, BLOCK_AT_ONCE // len(others))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                ids, *p = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns)
+                d = [a[:, None] - b[None] for a, b in zip(p, xyz, strict=True)]
+                d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+                last = np.partition(d2, most - 1, axis=1)[:, most - 1]
+                row, col = np.nonzero(d2 <= last[:, None])  # ties of the last one too, lower ids first
+                order = np.lexsort((col, d2[row, col], row))
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col, rank = (x[rank < most] for x in (row, col, rank))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((rank + 1).astype(np.int32)), pa.array(others[col]), pa.array(d2[row, col])], ["id", "rank", "other", "d2"])
+
+    points = left.select(F.col("pid").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in XYZ)).where("not isnan(coalesce(x + y + z, double('NaN')))")  # points without a place have no answer
+    return points.mapInArrow(run, "id long, rank int, other long, d2 double")
+
+
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, other, d2): the nearest point of right, ties by lower id."""
     return knn(left, right, 1).drop("rank")
@@ -102,6 +134,9 @@ def nearest_triangle(points: DataFrame, mesh: Mesh) -> DataFrame:
     distance is within the radius, and the radius doubles for the others.
     """
     tri = settled(mesh.placed_triangles())
+    n = tri.count()
+    if 0 < n <= BLOCK_ROWS and n * points.count() <= BLOCK_PAIRS:
+        return nearest_triangle_in_blocks(points, tri)
     lo = {x: F.least("a" + x, "b" + x, "c" + x) for x in XYZ}
     hi = {x: F.greatest("a" + x, "b" + x, "c" + x) for x in XYZ}
     size = tri.agg(F.count("*"), F.avg(F.greatest(*(hi[x] - lo[x] for x in XYZ)))).first()
@@ -115,7 +150,9 @@ def nearest_triangle(points: DataFrame, mesh: Mesh) -> DataFrame:
         wide = tri
         for k, x in zip(CELL, XYZ, strict=True):
             wide = wide.withColumn(k, F.explode(F.sequence(F.floor((lo[x] - radius) / radius), F.floor((hi[x] + radius) / radius))))
-        pairs = _gridded(todo, radius).join(wide, list(CELL)).select("id", *XYZ, "tid", "cid", *"abc", *(k + x for k in "abc" for x in XYZ))
+        gap = [F.greatest(lo[x] - F.col(x), F.col(x) - hi[x], F.lit(0.0)) for x in XYZ]
+        near = F.lit(last) | (g.dot(gap, gap) <= radius * radius)  # by the bounds, before any work on triangles
+        pairs = _gridded(todo, radius).join(wide, list(CELL)).where(near).select("id", *XYZ, "tid", "cid", *"abc", *(k + x for k in "abc" for x in XYZ))
         pairs = pairs.mapInPandas(_places, _PLACES).where(F.lit(last) | (F.col("d2") <= radius * radius))
         best = pairs.groupBy("id").agg(F.min(F.struct("d2", "tid", "cid", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")).alias("s")).select("id", *(F.col("s." + n) for n in names[1:]))
         best = settled(best)
@@ -128,9 +165,50 @@ def nearest_triangle(points: DataFrame, mesh: Mesh) -> DataFrame:
         radius *= 2
 
 
-def compare(source: Mesh, target: Mesh, signed: bool = True) -> DataFrame:
-    """(pid, distance): distance of each source point to the target; the sign is that of the interpolated target normal times P - cp."""
-    near = nearest_triangle(source.points, target)
+def nearest_triangle_in_blocks(points: DataFrame, tri: DataFrame) -> DataFrame:
+    """As ``nearest_triangle`` for at most BLOCK_ROWS placed triangles: tasks hold all of them.
+
+    For each point the triangles are taken whose bounds are no farther than the nearest first corner; the exact places on those
+    are compared, ties by lower cell id.
+    """
+    columns = [F.col("tid.k").alias("k"), "cid", *"abc", *(F.col(k + x).cast("double").alias(k + x) for k in "abc" for x in XYZ)]
+    table = tri.select(*columns).toArrow().sort_by([("cid", "ascending"), ("k", "ascending")])
+    held = {"cid": table.column("cid").to_numpy()} | {k: np.column_stack([table.column(k + x).to_numpy() for x in XYZ]) for k in "abc"} | {"ids": np.column_stack([table.column(k).to_numpy() for k in "abc"])}
+    sent = points.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = sent.value
+        lo, hi = np.minimum(np.minimum(t["a"], t["b"]), t["c"]), np.maximum(np.maximum(t["a"], t["b"]), t["c"])
+        step = max(1, BLOCK_AT_ONCE // len(lo))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                ids, *xyz = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns)
+                p = np.column_stack(xyz)
+                low, corner = np.zeros((len(p), len(lo))), np.zeros((len(p), len(lo)))
+                for i in range(3):
+                    x = p[:, i, None]
+                    low += np.maximum(np.maximum(lo[None, :, i] - x, x - hi[None, :, i]), 0) ** 2
+                    corner += (t["a"][None, :, i] - x) ** 2
+                row, col = np.nonzero(low <= corner.min(axis=1)[:, None] * (1 + 1e-9))
+                place, w = g.closest_places(p[row], t["a"][col], t["b"][col], t["c"][col])
+                d2 = ((place - p[row]) ** 2).sum(axis=1)
+                order = np.lexsort((col, d2, row))
+                best = order[np.searchsorted(row[order], np.arange(len(p)))]
+                r, c = row[best], col[best]
+                values = [ids[r], t["cid"][c], d2[best], *place[best].T, *t["ids"][c].T, *w[best].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], list(names))
+
+    names = ("id", "cid", "d2", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")
+    whole = points.select(F.col("pid").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in XYZ)).where("not isnan(coalesce(x + y + z, double('NaN')))")  # points without a place have no answer
+    return whole.mapInArrow(run, ", ".join(f"{c} {'long' if c in ('id', 'cid', 'a', 'b', 'c') else 'double'}" for c in names))
+
+
+def compare(source: Mesh, target: Mesh, signed: bool = True, near: DataFrame | None = None) -> DataFrame:
+    """(pid, distance): distance of each source point to the target; the sign is that of the interpolated target normal times P - cp.
+
+    ``near`` is what ``nearest_triangle`` found, where that is known.
+    """
+    near = nearest_triangle(source.points, target) if near is None else near
     if not signed:
         return near.select(F.col("id").alias("pid"), F.sqrt("d2").alias("distance"))
     if not target.has_normals:
@@ -145,11 +223,10 @@ def compare(source: Mesh, target: Mesh, signed: bool = True) -> DataFrame:
     return rows.select(F.col("id").alias("pid"), (F.when(side < 0, -1.0).otherwise(1.0) * F.sqrt("d2")).alias("distance"))
 
 
-def compare_inside(source: Mesh, target: Mesh, signed: bool = True, tolerance: float = 1e-9) -> DataFrame:
-    """As ``compare``, without the points whose closest place is on a border of the target (squared distance under ``tolerance``)."""
+def on_border(near: DataFrame, target: Mesh, tolerance: float = 1e-9) -> DataFrame:
+    """(id) of ``nearest_triangle`` rows whose place lies on a border edge (squared distance under ``tolerance``)."""
     from .clip import feature_edges
 
-    near = nearest_triangle(source.points, target)
     border = feature_edges(target, True, False).select("a", "b")
     for k in "ab":
         border = border.join(target.points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ)), k)
@@ -157,7 +234,21 @@ def compare_inside(source: Mesh, target: Mesh, signed: bool = True, tolerance: f
     sides = near.select("id", "cx", "cy", "cz", F.explode(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in ("ab", "bc", "ca")))).alias("e")).select("id", "cx", "cy", "cz", "e.*")
     at = g.vector("cx", "cy", "cz")
     hit = sides.join(border, ["a", "b"]).where(g.distance2(at, g.closest_on_segment(at, g.vector("ax", "ay", "az"), g.vector("bx", "by", "bz"))) < tolerance)
-    return compare(source, target, signed).join(hit.select(F.col("id").alias("pid")).distinct(), "pid", "left_anti")
+    return hit.select("id").distinct()
+
+
+def compare_inside(source: Mesh, target: Mesh, signed: bool = True, tolerance: float = 1e-9, most: int | None = None) -> DataFrame:
+    """As ``compare``, without the points whose closest place is on a border of the target.
+
+    With ``most``, evenly spaced points by id are compared only, that many at most.
+    """
+    if most is not None:
+        places = numbered(source.points, "_place", "pid")
+        step = max(1, places.count() // most)
+        source = source.with_points(places.where((F.col("_place") % step == 0) & (F.col("_place") < step * most)).drop("_place"))
+    near = settled(nearest_triangle(source.points, target))
+    inside = near.join(on_border(near, target, tolerance), "id", "left_anti")
+    return compare(source, target, signed, inside)
 
 
 def project_surface(source: Mesh, target: Mesh) -> tuple[Mesh, DataFrame]:
@@ -241,11 +332,24 @@ def picked(mesh: Mesh, pid: int) -> DataFrame:
     return mesh.points.where(F.col("pid") == pid).select(F.concat_ws(", ", *parts).alias("text"))
 
 
-def random_resample(mesh: Mesh, n: int = 1000, border: float = 5.0, seed: int = 0) -> Mesh:
-    """n uniform places in the bounds widened by ``border``, moved to the closest place on the surface."""
+def random_resample(mesh: Mesh, n: int = 1000, border: float = 5.0, seed: int = 0, normals: bool = False) -> Mesh:
+    """n uniform places in the bounds widened by ``border``, moved to the closest place on the surface.
+
+    ``normals`` gives them the unit normal that the corners' normals have there; a surface without normals gets them first.
+    """
     spark = mesh.points.sparkSession
     box = mesh.points.agg(*(f(c).alias(k + c) for c in XYZ for k, f in (("lo", F.min), ("hi", F.max))))
     rows = spark.range(n).select(F.col("id").alias("pid"), *(F.rand(seed + i).alias("r" + c) for i, c in enumerate(XYZ))).join(F.broadcast(box))
     places = settled(rows.select("pid", *((F.col("lo" + c) - border + F.col("r" + c) * (F.col("hi" + c) - F.col("lo" + c) + 2 * border)).alias(c) for c in XYZ)))
     near = nearest_triangle(places, mesh)
-    return cloud(near.select(F.col("id").alias("pid"), *(F.col("c" + c).alias(c) for c in XYZ)))
+    found = [F.col("id").alias("pid"), *(F.col("c" + c).alias(c) for c in XYZ)]
+    if not normals:
+        return cloud(near.select(*found))
+    if not mesh.has_normals:
+        from .graph import vertex_normals
+
+        mesh = vertex_normals(mesh)
+    for k in "abc":
+        near = near.join(mesh.points.select(F.col("pid").alias(k), *(F.col("n" + x).alias(f"n{k}{x}") for x in XYZ)), k)
+    mixed = tuple(sum((F.col("w" + k) * F.col(f"n{k}{x}") for k in "bc"), F.col("wa") * F.col(f"na{x}")) for x in XYZ)
+    return cloud(near.select(*found, *(v.alias("n" + x) for v, x in zip(g.normalised(mixed), XYZ, strict=True))))

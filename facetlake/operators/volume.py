@@ -75,15 +75,21 @@ MODES = {
     "unsigned_median": ("unsigned", "median"),
     "nearest_signed": ("signed", "nearest"),
     "nearest_projected": ("projected", "nearest"),
+    "nearest_unsigned": ("unsigned", "nearest"),
 }
 
 
-def oriented_distance(voxels: DataFrame, points: DataFrame, mode: str = "projected_median", k: int = 5, radius: float | None = None, outside_sign: int = -1) -> DataFrame:
+def oriented_distance(voxels: DataFrame, points: DataFrame, mode: str = "projected_median", k: int = 5, radius: float | None = None, outside_sign: int = -1, surface: Mesh | None = None) -> DataFrame:
     """(vid, value, ref_pid) from the k nearest oriented points, or all within ``radius`` (k nearest where there are none).
 
+    Mode ``unsigned_surface`` is the distance to the polygons of ``surface``; ref_pid is the first corner of the nearest one.
+
     Distances along or signed by the normals are positive in front of them; ``outside_sign`` -1 turns that round. Medians are
     sorted[int(n / 2)] and ref_pid is the point that gave it; for means it is the nearest point.
     """
+    if mode == "unsigned_surface":
+        near = nearest_triangle(voxels.select(F.col("vid").alias("pid"), *XYZ), surface)
+        return near.select(F.col("id").alias("vid"), F.sqrt("d2").alias("value"), F.col("a").alias("ref_pid"))
     kind, how = MODES[mode]
     at = voxels.select(F.col("vid").alias("pid"), *XYZ)
     if radius is None:

@@ -123,12 +123,12 @@ def difference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, v[1 + (len(v) // 2)::INT] AS median FROM (SELECT event_id, list_sort(list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) AS v FROM events)""")
 def windowed_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", st.windowed_median("value", ["event_type"], ["ts", "event_id"], 7).alias("median"))
+    return st.windowed(table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value"), "value", ["event_type"], ["ts", "event_id"], 7, "median", "median").select("event_id", "median")
 
 
 @query("""SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS average FROM events""")
 def windowed_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "events").select("event_id", st.windowed_average("value", ["event_type"], ["ts", "event_id"], 7).alias("average")))
+    return rounded(st.windowed(table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value"), "value", ["event_type"], ["ts", "event_id"], 7, "average", "average").select("event_id", "average"))
 
 
 @query(f"WITH {CLOUD}, d AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS k, count(*) OVER () AS n FROM p), i AS (SELECT unnest(range(100)) AS i) SELECT i AS pid, x, y, z, scalar FROM i JOIN d ON k = (i * n) // 100")

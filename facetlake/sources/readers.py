@@ -5,20 +5,20 @@ A path may name one file or a folder of many; every reader also returns ``surfac
 
 from __future__ import annotations
 
-import re
-import struct
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
-from ..model import Mesh, cloud
+from ..model import Mesh, Scene, cloud
 from ..operators.clip import first_stop
 from ..sharing import numbered, settled
+from . import formats
+from .formats import Raw
 
 XYZ, NORMAL = ("x", "y", "z"), ("nx", "ny", "nz")
 #: Fixed: columns of delimited rows by their number.
@@ -111,8 +111,11 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obj(spark: SparkSession, path: str) -> Mesh:
-    """Points (v), texture (vt, first two numbers, by point through faces), normals (vn) and polygons (f) of an OBJ file."""
-    lines = _tagged(spark, path)
+    """Points (v), texture (vt, first two numbers), normals (vn) and polygons (f) of an OBJ file.
+
+    A point takes the first texture place and normal, by their order in the file, that a face gives it; points of no face have none.
+    """
+    lines = settled(_tagged(spark, path))
     points = _counted(lines, "v").select((F.col("k") - 1).alias("pid"), *(F.get("f", F.lit(i)).cast("double").alias(c) for i, c in enumerate(XYZ)))
     corner = _corners(lines)
     cells = corner.groupBy("line").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "p"))), lambda x: x["p"]).alias("pids"))
@@ -121,6 +124,10 @@ def read_obj(spark: SparkSession, path: str) -> Mesh:
         uv = _counted(lines, "vt").select((F.col("k") - 1).alias("t"), *(F.get("f", F.lit(i)).cast("float").alias(c) for i, c in enumerate("uv")))
         of = corner.where("t is not null").groupBy(F.col("p").alias("pid")).agg(F.min("t").alias("t")).join(uv, "t").drop("t")
         mesh = mesh.with_points(mesh.points.join(of, "pid", "left"))
+    if corner.where("n is not null").limit(1).count():
+        vn = _counted(lines, "vn").select((F.col("k") - 1).alias("n"), *(F.get("f", F.lit(i)).cast("double").alias(c) for i, c in enumerate(NORMAL)))
+        of = corner.where("n is not null").groupBy(F.col("p").alias("pid")).agg(F.min("n").alias("n")).join(vn, "n").drop("n")
+        mesh = mesh.with_points(mesh.points.join(of, "pid", "left"))
     return mesh
 
 
@@ -137,9 +144,9 @@ def _counted(lines: DataFrame, tag: str) -> DataFrame:
 
 
 def _corners(lines: DataFrame) -> DataFrame:
-    """(line, ord, p, t): 0-based point and texture ids of face corners in the forms p, p/t, p//n and p/t/n."""
-    part = lambda i: F.regexp_extract("v", r"^(\d+)(?:/(\d*))?", i).try_cast("long") - 1
-    return lines.where("tag = 'f'").select("line", F.posexplode("f").alias("ord", "v")).select("line", "ord", part(1).alias("p"), part(2).alias("t"))
+    """(line, ord, p, t, n): 0-based point, texture and normal ids of face corners in the forms p, p/t, p//n and p/t/n."""
+    part = lambda i: F.regexp_extract("v", r"^(\d+)(?:/(\d*)(?:/(\d+))?)?", i).try_cast("long") - 1
+    return lines.where("tag = 'f'").select("line", F.posexplode("f").alias("ord", "v")).select("line", "ord", part(1).alias("p"), part(2).alias("t"), part(3).alias("n"))
 
 
 def read_obj_materials(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -195,162 +202,76 @@ def sidecar_texture(spark: SparkSession, folder: str, stem: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).where(order > 0).orderBy(order).limit(1).select("path", "content")
 
 
-_POINTS = "surface_id string, part string, k long, a double, b double, c double, pids array<long>"
+#: Points of a batch that a reader hands on.
+BATCH_POINTS = 100_000
+_PARTS = "surface_id string, k long, xyz array<double>, scalar double, normal array<double>, uv array<float>, rgb array<smallint>, kind string, pids array<long>"
 
 
-def _parts(spark: SparkSession, path: str, parse: Callable[[bytes], tuple[np.ndarray, list[list[int]]]]) -> DataFrame:
-    """Points and polygons of binary files; a file is one row and one task's work."""
+def _parts(spark: SparkSession, path: str, parse: Callable[[bytes], Raw]) -> DataFrame:
+    """Points (kind null) and cells of binary files; a file is one row and one task's work."""
+    types = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float32()), pa.list_(pa.int16()), pa.string(), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in _PARTS.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                xyz, polys = parse(bytes(content))
-                n, m = len(xyz), len(polys)
-                yield pd.DataFrame({"surface_id": name, "part": "p", "k": np.arange(n), "a": xyz[:, 0], "b": xyz[:, 1], "c": xyz[:, 2], "pids": [None] * n})
-                yield pd.DataFrame({"surface_id": name, "part": "c", "k": np.arange(m), "a": np.zeros(m), "b": np.zeros(m), "c": np.zeros(m), "pids": polys})
+    def rows(name: str, n: int, first: int, values: dict[str, list]) -> pa.RecordBatch:
+        held = {"surface_id": [name] * n, "k": range(first, first + n), **values}
+        return pa.RecordBatch.from_arrays([pa.array(held[c], t) if c in held else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _POINTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = parse(content)
+                data = {"xyz": raw.xyz, "scalar": raw.scalar, "normal": raw.normal, "uv": raw.uv, "rgb": raw.rgb}
+                for a in range(0, len(raw.xyz), BATCH_POINTS):
+                    some = {c: x[a : a + BATCH_POINTS].astype("i2" if c == "rgb" else float).tolist() for c, x in data.items() if x is not None}
+                    yield rows(name, len(some["xyz"]), a, some)
+                for a in range(0, len(raw.cells), BATCH_POINTS):
+                    some = raw.cells[a : a + BATCH_POINTS]
+                    yield rows(name, len(some), a, {"kind": [c[0] for c in some], "pids": [c[1] for c in some]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _PARTS)
 
 
 def _from_parts(parts: DataFrame, path: str) -> Mesh:
+    """Points with what the file says of them, and cells; ValueError for a file without points."""
     parts = settled(parts)
-    points = parts.where("part = 'p'").select(F.col("k").alias("pid"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"))
-    if not points.limit(1).count():
+    points = parts.where("kind is null")
+    has = points.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in ("scalar", "normal", "uv", "rgb"))).first()
+    if not has["n"]:
         raise ValueError(f"{path}: no points")
-    return Mesh(points, parts.where("part = 'c'").select(F.col("k").alias("cid"), F.lit("polys").alias("kind"), "pids"))
-
-
-def parse_stl(raw: bytes) -> tuple[np.ndarray, list[list[int]]]:
-    """Corners of the triangles of a binary or text STL, unwelded."""
-    if len(raw) >= 84 and len(raw) == 84 + 50 * struct.unpack_from("<I", raw, 80)[0]:
-        rows = np.frombuffer(raw, np.dtype([("n", "<3f4"), ("v", "<9f4"), ("a", "<u2")]), offset=84)
-        xyz = rows["v"].reshape(-1, 3).astype(float)
-    else:
-        found = re.findall(rb"vertex\s+(\S+)\s+(\S+)\s+(\S+)", raw)
-        xyz = np.array(found, dtype=float).reshape(-1, 3)
-    return xyz, np.arange(len(xyz)).reshape(-1, 3).tolist()
+    at = lambda c, i: F.get(c, F.lit(i))
+    columns = [F.col("k").alias("pid"), *(at("xyz", i).alias(c) for i, c in enumerate(XYZ))]
+    columns += ["scalar"] if has["scalar"] else []
+    columns += [at("normal", i).alias(c) for i, c in enumerate(NORMAL)] if has["normal"] else []
+    columns += [at("uv", i).alias(c) for i, c in enumerate("uv")] if has["uv"] else []
+    columns += ["rgb"] if has["rgb"] else []
+    return Mesh(points.select(*columns), parts.where("kind is not null").select(F.col("k").alias("cid"), "kind", "pids"))
 
 
 def read_stl(spark: SparkSession, path: str) -> Mesh:
     """Triangles with equal corners welded."""
     from ..operators.sets import weld
 
-    return weld(_from_parts(_parts(spark, path, parse_stl), path))
-
-
-#: Fixed: number types of PLY headers.
-PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
-
-
-def parse_ply(raw: bytes) -> tuple[np.ndarray, list[list[int]]]:
-    """Points and faces of an ascii or binary PLY; other elements and properties are skipped."""
-    head, _, body = raw.partition(b"end_header\n")
-    lines = [x.split() for x in head.decode("ascii", "replace").splitlines()]
-    form = next(x[1] for x in lines if x and x[0] == "format")
-    elements: list[tuple[str, int, list[list[str]]]] = []
-    for x in lines:
-        if x and x[0] == "element":
-            elements.append((x[1], int(x[2]), []))
-        elif x and x[0] == "property":
-            elements[-1][2].append(x[1:])
-    words, at, order = iter(body.split()) if form == "ascii" else None, 0, ">" if form == "binary_big_endian" else "<"
-    xyz, polys = np.empty((0, 3)), []
-    for name, n, props in elements:
-        if words is None and all(p[0] != "list" for p in props):
-            kind = np.dtype([(p[1], order + PLY_TYPES[p[0]]) for p in props])
-            rows = np.frombuffer(body, kind, n, at)
-            at += n * kind.itemsize
-            if name == "vertex":
-                xyz = np.column_stack([rows[c].astype(float) for c in XYZ])
-            continue
-        values = []
-        for _ in range(n):
-            row: dict[str, object] = {}
-            for p in props:
-                if words is not None:
-                    row[p[-1]] = [int(next(words)) for _ in range(int(next(words)))] if p[0] == "list" else float(next(words))
-                elif p[0] == "list":
-                    size = np.dtype(order + PLY_TYPES[p[1]])
-                    k = int(np.frombuffer(body, size, 1, at)[0])
-                    item = np.dtype(order + PLY_TYPES[p[2]])
-                    row[p[-1]] = np.frombuffer(body, item, k, at + size.itemsize).tolist()
-                    at += size.itemsize + k * item.itemsize
-                else:
-                    item = np.dtype(order + PLY_TYPES[p[0]])
-                    row[p[-1]] = float(np.frombuffer(body, item, 1, at)[0])
-                    at += item.itemsize
-            values.append(row)
-        if name == "vertex":
-            xyz = np.array([[r[c] for c in XYZ] for r in values], float).reshape(-1, 3)
-        elif name == "face":
-            polys = [[int(i) for i in r.get("vertex_indices", r.get("vertex_index"))] for r in values]
-    return xyz, polys
+    return weld(_from_parts(_parts(spark, path, formats.parse_stl), path))
 
 
 def read_ply(spark: SparkSession, path: str) -> Mesh:
-    return _from_parts(_parts(spark, path, parse_ply), path)
-
-
-#: Fixed: number types of the legacy format; binary values are big-endian.
-VTK_TYPES = {"float": ">f4", "double": ">f8", "int": ">i4", "long": ">i8", "vtktypeint64": ">i8"}
-
-
-def parse_vtk(raw: bytes) -> tuple[np.ndarray, list[list[int]]]:
-    """Points and polygons of legacy polydata with classic cell lists, ascii or binary."""
-    xyz, polys = np.empty((0, 3)), []
-    binary = raw.split(b"\n", 3)[2].strip().upper() == b"BINARY"
-    points = re.search(rb"POINTS\s+(\d+)\s+(\w+)[ \t]*\r?\n", raw)
-    cells = re.search(rb"POLYGONS\s+(\d+)\s+(\d+)[ \t]*\r?\n", raw)
-    if points:
-        n = int(points[1])
-        xyz = np.frombuffer(raw, VTK_TYPES[points[2].decode().lower()], 3 * n, points.end()).astype(float) if binary else np.array(raw[points.end() :].split(None, 3 * n)[: 3 * n], float)
-        xyz = xyz.reshape(-1, 3)
-    if cells:
-        size = int(cells[2])
-        flat = (np.frombuffer(raw, ">i4", size, cells.end()) if binary else np.array(raw[cells.end() :].split(None, size)[:size], int)).tolist()
-        at = 0
-        while at < size:
-            polys.append(flat[at + 1 : at + 1 + flat[at]])
-            at += 1 + flat[at]
-    return xyz, polys
+    """Points with normals, colours and texture, and faces; a point cloud has no cells."""
+    return _from_parts(_parts(spark, path, formats.parse_ply), path)
 
 
 def read_vtk(spark: SparkSession, path: str) -> Mesh:
-    return _from_parts(_parts(spark, path, parse_vtk), path)
-
-
-def parse_vtp(raw: bytes) -> tuple[np.ndarray, list[list[int]]]:
-    """Points and polygons of XML polydata with ascii arrays."""
-    from xml.etree import ElementTree
-
-    piece = ElementTree.fromstring(raw).find(".//Piece")
-    array = lambda where, kind: np.array((piece.find(where).text or "").split(), kind)
-    xyz = array("Points/DataArray", float).reshape(-1, 3)
-    ids, ends = array("Polys/DataArray[@Name='connectivity']", int).tolist(), array("Polys/DataArray[@Name='offsets']", int).tolist()
-    return xyz, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    """Points, cells of all kinds, scalars, normals, texture and colours of legacy polydata."""
+    return _from_parts(_parts(spark, path, formats.parse_vtk), path)
 
 
 def read_vtp(spark: SparkSession, path: str) -> Mesh:
-    return _from_parts(_parts(spark, path, parse_vtp), path)
-
-
-def parse_wrl(raw: bytes) -> tuple[np.ndarray, list[list[int]]]:
-    """Points and polygons of the last indexed face set of a VRML 2 text."""
-    text = raw.decode("utf-8", "replace")
-    places, faces = re.findall(r"point\s*\[([^\]]*)\]", text), re.findall(r"coordIndex\s*\[([^\]]*)\]", text)
-    numbers = lambda s: re.findall(r"[-+]?[\d.]+(?:[eE][-+]?\d+)?", s)
-    xyz = np.array(numbers(places[-1]) if places else [], float).reshape(-1, 3)
-    polys: list[list[int]] = [[]]
-    for i in map(int, numbers(faces[-1]) if faces else []):
-        if i < 0:
-            polys.append([])
-        else:
-            polys[-1].append(i)
-    return xyz, [p for p in polys if p]
+    """Points, cells of all kinds, scalars, normals and texture of XML polydata."""
+    return _from_parts(_parts(spark, path, formats.parse_vtp), path)
 
 
 def read_wrl(spark: SparkSession, path: str) -> Mesh:
-    return _from_parts(_parts(spark, path, parse_wrl), path)
+    """The last shape of a VRML text."""
+    return _from_parts(_parts(spark, path, formats.parse_wrl), path)
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
@@ -384,3 +305,44 @@ def read_surface(spark: SparkSession, path: str) -> Mesh:
     if kind not in READERS:
         raise ValueError(f"no reader for .{kind}")
     return READERS[kind](spark, path)
+
+
+def material_meshes(spark: SparkSession, path: str) -> list[tuple[str, Mesh]]:
+    """The meshes of an OBJ by material (name, mesh), texture by point; none where no segment has a material with an image.
+
+    A mesh's points carry the texture place of the first corner that uses them.
+    """
+    lines = text_lines(spark, path)
+    libraries = [r[0] for r in lines.select(tx.token_rest(F.trim("value"), "mtllib").alias("f")).where("f is not null").collect()]
+    if not libraries:
+        return []
+    try:
+        read_mtl(spark, path.rpartition("/")[0] + "/" + libraries[0])
+        points, tcoords, cells = (settled(x) for x in read_obj_materials(spark, path))
+    except (ValueError, AnalysisException):  # no usable materials, or a face that isn't a triangle: a single surface
+        return []
+    out = []
+    for segment, material in cells.groupBy("segment").agg(F.first("material")).orderBy("segment").collect():  # a few materials
+        mine = cells.where(F.col("segment") == segment)
+        used = mine.select("cid", F.posexplode(F.arrays_zip("pids", "tids")).alias("ord", "s")).select("cid", "ord", F.col("s.pids").alias("pid"), F.col("s.tids").alias("tid"))
+        first = used.groupBy("pid").agg(F.min_by("tid", F.struct("cid", "ord")).alias("tid"))
+        placed = points.where(F.col("segment") == segment).drop("segment").join(first, "pid", "left")
+        placed = placed.join(tcoords.where(F.col("segment") == segment).drop("segment"), "tid", "left").select("pid", *XYZ, "u", "v")
+        out.append((material or f"segment {segment}", Mesh(placed, mine.select("cid", F.lit("polys").alias("kind"), "pids"))))
+    return out
+
+
+def read_scene(spark: SparkSession, *paths: str, scene: Scene | None = None) -> Scene:
+    """A scene with the surfaces of the files, in order; an OBJ is tried as several meshes by material first, then as one.
+
+    ValueError for a file that no reader takes; surfaces before it are in ``scene`` then.
+    """
+    scene = scene or Scene()
+    for path in paths:
+        name = path.rstrip("/").rpartition("/")[2]
+        some = material_meshes(spark, path) if name.lower().endswith(".obj") else []
+        for material, mesh in some:
+            scene.add(f"{name}_{material}", mesh)
+        if not some:
+            scene.add(name, read_surface(spark, path))
+    return scene
