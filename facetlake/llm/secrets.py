@@ -1,8 +1,9 @@
 """Secret scans: credential patterns plus a token-efficiency test for random strings.
 
-Method: ordinary words and identifiers compress well under a tokenizer's vocabulary, random strings don't. A run of key
-characters is a secret where it has few characters a token (``max_ratio``; LETTERS_RATIO at most where it has no digit), after digests of known lengths, UUIDs and runs
-without a letter are set aside. Spans of the base patterns always stay.
+Method: ordinary words and identifiers compress well under a tokenizer's vocabulary, random strings don't. From a run of key
+characters known identifiers (UUIDs, digests of known lengths, dates and times), numbers and pieces that are words are taken out;
+what is left of it is a secret where it has few characters a token: under ``max_ratio``, or the lower ratios for short stretches
+and for those without a digit. Spans of the base patterns always stay.
 """
 
 from __future__ import annotations
@@ -28,12 +29,24 @@ KINDS = ("assign", "access", "hex", "random")
 #: What a text must hold, in lower case, for ASSIGN to match.
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
-DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-#: Characters a token for runs without digits, measured on all documents and on random letters (see the README).
-LETTERS_RATIO = 2.1
-UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
+#: Least length of a random string, and the length from which one needs no digit.
+LEAST_RANDOM, LEAST_LETTERS = 16, 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RANDOM)
+PIECE = re.compile(r"[^/=_+-]+")
+DIGEST_LENGTHS = (128, 96, 64, 56, 48, 40, 32)
+#: Known identifiers inside a run: UUIDs, digests that stand alone, dates with or without a time.
+KNOWN = re.compile(
+    r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
+    + r"|(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" % "|".join(f"[{x}]{{{n}}}" for n in DIGEST_LENGTHS for x in ("0-9a-f", "0-9A-F"))
+    + r"|(?<![A-Za-z0-9])(?:19|20)\d\d[-/_]?(?:0[1-9]|1[0-2])[-/_]?(?:0[1-9]|[12]\d|3[01])(?:[T_-]?\d\d[-_]?\d\d(?:[-_]?\d\d(?:[-_]\d{1,6})?)?Z?)?(?![A-Za-z0-9])"
+)
+#: A piece beside a separator that has the shape of a word, and letters with a short number.
+SHAPED, LETTERED = re.compile(r"[a-z]{3,15}|[A-Z]{3,15}|[A-Z][a-z]{2,14}"), re.compile(r"([A-Za-z]{3,})\d{0,4}")
+#: Characters a token, measured on all documents and on random strings (see the README): under 20 characters, without digits, and
+#: from which on a piece is a word.
+SHORT_RATIO, LETTERS_RATIO, WORD_RATIO = 1.9, 2.1, 2.6
+#: Digits of a piece that is a number.
+NUMBER_DIGITS = 14
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,22 +62,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def identifier(run: str) -> bool:
-    """A known kind of digest or identifier, or a number: no letter at all."""
-    if UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
+def wordy(piece: str, alone: bool, coder: tiktoken.Encoding) -> bool:
+    """Whether a piece between separators is a number or a word; ``alone`` is one without separators around."""
+    if piece.isdigit():
+        return len(piece) <= NUMBER_DIGITS
+    if not alone and SHAPED.fullmatch(piece):
         return True
-    return not any(c.isalpha() for c in run)
+    word = LETTERED.fullmatch(piece)
+    return any(len(x) >= WORD_RATIO * len(coder.encode_ordinary(x)) for x in ([piece, word[1]] if word else [piece] if len(piece) >= 3 else []))
+
+
+def left_of(run: str, coder: tiktoken.Encoding) -> Iterator[tuple[int, int]]:
+    """Stretches of a run that are no known identifier, number or word, with the separators inside."""
+    at, parts = 0, []
+    for m in KNOWN.finditer(run):
+        parts.append((at, m.start()))
+        at = m.end()
+    for a, b in [*parts, (at, len(run))]:
+        first = last = None
+        for m in PIECE.finditer(run, a, b) if b - a >= LEAST_RANDOM else ():
+            if not wordy(m[0], m.end() - m.start() == b - a, coder):
+                first, last = m.start() if first is None else first, m.end()
+            elif first is not None:
+                yield first, last
+                first = None
+        if first is not None:
+            yield first, last
 
 
 def random_spans(text: str, coder: tiktoken.Encoding, max_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs outside the spans taken so far that need more than a token for each ``max_ratio`` characters (less without digits)."""
-    found = []
+    """Stretches outside the sorted spans taken so far that need more than a token for each so many characters."""
+    found, i, reach = [], 0, 0
     for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in taken) or identifier(m[0]):
+        while i < len(taken) and taken[i][0] < m.end():  # spans of the kinds may overlap: keep the farthest end
+            reach = max(reach, taken[i][2])
+            i += 1
+        if reach > m.start():
             continue
-        ratio = max_ratio if any(c.isdigit() for c in m[0]) else min(max_ratio, LETTERS_RATIO)
-        if len(m[0]) < ratio * len(coder.encode_ordinary(m[0])):
-            found.append((m.start(), 3, m.end()))
+        for a, b in left_of(m[0], coder):
+            part = m[0][a:b]
+            digit = any(c.isdigit() for c in part)
+            if b - a < (LEAST_RANDOM if digit else LEAST_LETTERS) or not any(c.isalpha() for c in part):
+                continue
+            ratio = min(max_ratio, LETTERS_RATIO if not digit else SHORT_RATIO if b - a < LEAST_LETTERS else max_ratio)
+            if b - a < ratio * len(coder.encode_ordinary(part)):
+                found.append((m.start() + a, 3, m.start() + b))
     return found
 
 
