@@ -64,12 +64,15 @@ def robust_mean_sdev(df: DataFrame, by: list[str], value: str, low: float, high:
     """Mean and population standard deviation of the ranks int(n * low) to int(n * high), both included."""
     if not 0 <= low <= high < 1:
         raise ValueError("0 <= low <= high < 1")
-    rows = ranked(df, by, value).withColumn("a", F.floor(F.col("n") * low)).withColumn("b", F.floor(F.col("n") * high))
-    taken = F.least(F.col("rank") + F.col("times") - 1, F.col("b")) - F.greatest("rank", "a") + 1
-    rows = rows.withColumn("k", taken).where("k > 0")
-    mean = rows.groupBy(*by).agg((F.sum(F.col(value) * F.col("k")) / F.sum("k")).alias("mean"))
-    both = rows.join(mean, by)
-    return both.groupBy(*by).agg(F.max("mean").alias("mean"), F.sqrt(F.sum(F.col("k") * (F.col(value) - F.col("mean")) ** 2) / F.sum("k")).alias("sdev"))
+    rows = ranked(df, by, value)
+    taken = F.least(F.col("rank") + F.col("times") - 1, F.floor(F.col("n") * high)) - F.greatest(F.col("rank"), F.floor(F.col("n") * low)) + 1
+    rows = rows.withColumn("_k", taken).where("_k > 0")
+    mean = rows.groupBy(*by).agg((F.sum(F.col(value) * F.col("_k")) / F.sum("_k")).alias("_mean")).withColumnsRenamed({c: "_of_" + c for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col("_of_" + c))
+    both = rows.join(mean, same)
+    return both.groupBy(*by).agg(F.max("_mean").alias("mean"), F.sqrt(F.sum(F.col("_k") * (F.col(value) - F.col("_mean")) ** 2) / F.sum("_k")).alias("sdev"))
 
 
 #: Rows of a block of a window query, at least so many times the half width.

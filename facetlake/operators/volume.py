@@ -182,7 +182,7 @@ def trilinear(points: DataFrame, voxels: DataFrame, grid: Grid, clamp: bool = Tr
     for k, (c, i) in enumerate(zip(XYZ, INDEX, strict=True)):
         at = (F.col(c) - grid.origin[k]) / grid.spacing[k]
         low = F.least(F.floor(at), F.lit(grid.dims[k] - 2))
-        rows = rows.withColumn("f" + i, at - low).withColumn("lo" + i, low)
+        rows = rows.where(at.between(0, grid.dims[k] - 1)).withColumn("f" + i, at - low).withColumn("lo" + i, low)
     corner = F.explode(F.array(*(F.array(*(F.lit(b) for b in (i, j, k))) for i in (0, 1) for j in (0, 1) for k in (0, 1)))).alias("b")
     rows = rows.select("*", corner)
     share = F.lit(1.0)
