@@ -230,10 +230,11 @@ def on_border(near: DataFrame, target: Mesh, tolerance: float = 1e-9) -> DataFra
     border = feature_edges(target, True, False).select("a", "b")
     for k in "ab":
         border = border.join(target.points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ)), k)
-    # A place on a border edge lies in the triangle that has the edge.
-    sides = near.select("id", "cx", "cy", "cz", F.explode(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in ("ab", "bc", "ca")))).alias("e")).select("id", "cx", "cy", "cz", "e.*")
+    # A border edge that a triangle's place lies on ends in one of the triangle's corners.
+    ends = border.withColumn("v", F.explode(F.array("a", "b")))
+    corners = near.select("id", "cx", "cy", "cz", F.explode(F.array("a", "b", "c")).alias("v"))
     at = g.vector("cx", "cy", "cz")
-    hit = sides.join(border, ["a", "b"]).where(g.distance2(at, g.closest_on_segment(at, g.vector("ax", "ay", "az"), g.vector("bx", "by", "bz"))) < tolerance)
+    hit = corners.join(ends, "v").where(g.distance2(at, g.closest_on_segment(at, g.vector("ax", "ay", "az"), g.vector("bx", "by", "bz"))) < tolerance)
     return hit.select("id").distinct()
 
 

@@ -276,19 +276,48 @@ def compare_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.compare(cloud(embedded(spark, sf_dir, 3)), strip_mesh(spark, sf_dir), signed=False))
 
 
-@query()
+def _along(a: str, b: str) -> str:
+    """Where on a side the closest place to q is, from 0 to 1, in SQL."""
+    names = {"a": ("ax", "ay", "az"), "b": ("bx", "by_", "bz"), "c": ("cx", "cy", "cz")}
+    d = [f"({q}-{p})" for p, q in zip(names[a], names[b], strict=True)]
+    w = [f"(q.{x}-{p})" for x, p in zip(XYZ, names[a], strict=True)]
+    return f"least(greatest(({'+'.join(f'{i}*{j}' for i, j in zip(w, d, strict=True))}) / ({'+'.join(f'{i}*{i}' for i in d)}), 0), 1)"
+
+
+#: The closest place of each point q on the triangles: best (pid, qx .. qz, a, b, c, wa, wb, wc, x, y, z, d2).
+PLACES = f"""n AS (SELECT *, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS nz FROM t),
+w AS (SELECT q.pid, q.x AS qx, q.y AS qy, q.z AS qz, n.*,
+((by_-q.y)*(cz-q.z)-(bz-q.z)*(cy-q.y))*nx+((bz-q.z)*(cx-q.x)-(bx-q.x)*(cz-q.z))*ny+((bx-q.x)*(cy-q.y)-(by_-q.y)*(cx-q.x))*nz AS ra,
+((cy-q.y)*(az-q.z)-(cz-q.z)*(ay-q.y))*nx+((cz-q.z)*(ax-q.x)-(cx-q.x)*(az-q.z))*ny+((cx-q.x)*(ay-q.y)-(cy-q.y)*(ax-q.x))*nz AS rb,
+((ay-q.y)*(bz-q.z)-(az-q.z)*(by_-q.y))*nx+((az-q.z)*(bx-q.x)-(ax-q.x)*(bz-q.z))*ny+((ax-q.x)*(by_-q.y)-(ay-q.y)*(bx-q.x))*nz AS rc,
+{_along('a', 'b')} AS tab, {_along('b', 'c')} AS tbc, {_along('c', 'a')} AS tca FROM q, n),
+k AS (SELECT w.*, unnest([1, 2, 3, 4]) AS way FROM w),
+v AS (SELECT *, CASE way WHEN 1 THEN 1 - tab WHEN 2 THEN 0 WHEN 3 THEN tca ELSE ra / (ra + rb + rc) END AS wa, CASE way WHEN 1 THEN tab WHEN 2 THEN 1 - tbc WHEN 3 THEN 0 ELSE rb / (ra + rb + rc) END AS wb,
+CASE way WHEN 1 THEN 0 WHEN 2 THEN tbc WHEN 3 THEN 1 - tca ELSE rc / (ra + rb + rc) END AS wc FROM k WHERE way < 4 OR (ra >= 0 AND rb >= 0 AND rc >= 0)),
+o AS (SELECT *, wa*ax+wb*bx+wc*cx AS x, wa*ay+wb*by_+wc*cy AS y, wa*az+wb*bz+wc*cz AS z FROM v),
+best AS MATERIALIZED (SELECT * FROM (SELECT *, (x-qx)*(x-qx)+(y-qy)*(y-qy)+(z-qz)*(z-qz) AS d2, row_number() OVER (PARTITION BY pid ORDER BY (x-qx)*(x-qx)+(y-qy)*(y-qy)+(z-qz)*(z-qz), cid, way) AS rank FROM o) WHERE rank = 1)"""
+#: Unit vertex normals of the triangles, and from them the signed distances.
+SIGNED = """u AS (SELECT unnest([a, b, c]) AS pid, nx / sqrt(nx*nx+ny*ny+nz*nz) AS nx, ny / sqrt(nx*nx+ny*ny+nz*nz) AS ny, nz / sqrt(nx*nx+ny*ny+nz*nz) AS nz FROM n),
+vs AS (SELECT pid, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM u GROUP BY pid), vn AS MATERIALIZED (SELECT pid, sx / sqrt(sx*sx+sy*sy+sz*sz) AS nx, sy / sqrt(sx*sx+sy*sy+sz*sz) AS ny, sz / sqrt(sx*sx+sy*sy+sz*sz) AS nz FROM vs),
+sd AS (SELECT best.*, CASE WHEN (wa*va.nx+wb*vb.nx+wc*vc.nx)*(qx-best.x)+(wa*va.ny+wb*vb.ny+wc*vc.ny)*(qy-best.y)+(wa*va.nz+wb*vb.nz+wc*vc.nz)*(qz-best.z) < 0 THEN -1 ELSE 1 END * sqrt(d2) AS distance
+FROM best JOIN vn va ON va.pid = a JOIN vn vb ON vb.pid = b JOIN vn vc ON vc.pid = c)"""
+
+
+@query(f"WITH {CLOUD}, {MOVED}, {TRI}, {PLACES}, {SIGNED} SELECT pid, round(distance, 6) AS distance FROM sd")
 def compare_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.compare(cloud(embedded(spark, sf_dir, 3)), strip_mesh(spark, sf_dir))
+    return rounded(spatial.compare(cloud(embedded(spark, sf_dir, 3)), strip_mesh(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {CLOUD}, {MOVED}, {TRI}, {PLACES}, {SIGNED}, g AS (SELECT a AS u, b AS v FROM t UNION ALL SELECT b, c FROM t UNION ALL SELECT a, c FROM t), r AS (SELECT u, v FROM g GROUP BY u, v HAVING count(*) = 1),
+h AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM r JOIN p a ON a.pid = u JOIN p b ON b.pid = v)
+SELECT pid, round(distance, 6) AS distance FROM sd q WHERE NOT EXISTS (SELECT 1 FROM h WHERE {_segment('a', 'b')} < 1e-9)""")
 def compare_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.compare_inside(cloud(embedded(spark, sf_dir, 3)), strip_mesh(spark, sf_dir))
+    return rounded(spatial.compare_inside(cloud(embedded(spark, sf_dir, 3)), strip_mesh(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {CLOUD}, {MOVED}, {TRI}, {PLACES} SELECT pid, {r6('x - qx AS x', 'y - qy AS y', 'z - qz AS z')} FROM best")
 def project_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.project_surface(cloud(embedded(spark, sf_dir, 3)), strip_mesh(spark, sf_dir))[1]
+    return rounded(spatial.project_surface(cloud(embedded(spark, sf_dir, 3)), strip_mesh(spark, sf_dir))[1])
 
 
 @query("SELECT a.vec_id::INT AS lm_pos, a.label AS id FROM embeddings a WHERE a.label % 2 = 1 AND a.label % 3 <> 0")
@@ -497,12 +526,22 @@ def smooth_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def smooth_low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.smooth_taubin(strip_mesh(spark, sf_dir), 3).points.select("pid", *XYZ)
+    return graph.smooth_taubin(strip_mesh(spark, sf_dir)).points.select("pid", *XYZ)
+
+
+@query()
+def smooth_windowed_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.smooth_sinc(strip_mesh(spark, sf_dir)).points.select("pid", *XYZ)
+
+
+@query()
+def split_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.vertex_normals(strip_mesh(spark, sf_dir), split=True).points.select("pid", *XYZ, "nx", "ny", "nz")
 
 
 @query()
 def cluster_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cluster_decimate(strip_mesh(spark, sf_dir), 4).points
+    return graph.cluster_decimate(strip_mesh(spark, sf_dir)).points
 
 
 @query()
@@ -563,7 +602,8 @@ def crop_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.crop_flood(p, near_links(spark, sf_dir)).select("pid", "scalar")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLOUD}, {TRI}, {EDGES}, l AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e), c AS (SELECT DISTINCT a AS n, a AS o FROM l UNION SELECT c.n, l.b FROM c JOIN l ON c.o = l.a),
+m AS (SELECT n, min(o) AS label FROM c GROUP BY n) SELECT n AS pid, dense_rank() OVER (ORDER BY label) - 1 AS region FROM m""")
 def mesh_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.regions(strip_mesh(spark, sf_dir))
 
@@ -631,7 +671,7 @@ def band_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mesh_distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = strip_mesh(spark, sf_dir)
-    return volume.mesh_distance(volume.grid_by_side(m.points, 4, 1).voxels(spark), m)
+    return volume.mesh_distance(volume.grid_by_side(m.points).voxels(spark), m)
 
 
 @query()
