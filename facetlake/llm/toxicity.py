@@ -41,6 +41,9 @@ SPACED = re.compile(r"(?<![^\s(\"\[])(?:[^\W_]|[@$!|+(€£¢*])(?:[\s.,'’_/:;
 ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s'’.,;:?-]|[^\w\s'’.,;:?-][^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|[^\W\d_][*._-][^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"([^\W\d_])\1")
+RUNS = re.compile(r"(.)\1*", re.DOTALL)
+#: Paths up to which a lattice of letters alone is written out.
+MOST_PATHS = 64
 #: A word of signs and digits alone that each stand for a letter.
 SIGNS = re.compile(f"[{re.escape(''.join(LEET))}]{{3,}}")
 #: A word is known from this share of the texts on (three at least): there are fewer than the mean of a text's words divided by it.
@@ -48,6 +51,8 @@ KNOWN_SHARE, KNOWN_TEXTS = 1e-4, 3
 #: Parts of a split word, and its least length.
 PARTS, LEAST_JOINED = 4, 4
 EDGES = ".,;:?!'’\"()[]"
+#: Those of them that beside a letter are nothing odd.
+PLAIN_EDGES = ".,;:?'’"
 BEGINNINGS = range(4, 10)
 LEVELS = 3
 
@@ -131,9 +136,37 @@ class Restorer:
                 out.append([(x, AS_LETTER - math.log(len(letters))) for x in letters] + [(" ", INNER if inside else OUTER)] + [("", LEFT_OUT)] * inside)
         return out
 
+    @staticmethod
+    def undoubled(text: str) -> list[tuple[float, str]] | None:
+        """The paths of a lattice of letters alone, (log probability, string): each run of equal letters shortened or not. None for many."""
+        paths = [(0.0, "")]
+        for m in RUNS.finditer(text):
+            c, n = m[1], len(m[0])
+            if n == 1:
+                paths = [(p, s + c) for p, s in paths]
+                continue
+            # Of the ways to keep k letters the best keeps the second one and drops further ones.
+            ways = [(math.log(SECOND) + (n - 2) * math.log(FURTHER), c)] + [(math.log(1 - SECOND) + (k - 2) * math.log(1 - FURTHER) + (n - k) * math.log(FURTHER), c * k) for k in range(2, n + 1)]
+            paths = [(p + q, s + t) for p, s in paths for q, t in ways]
+            if len(paths) > MOST_PATHS:
+                return None
+        return paths
+
     def decode(self, text: str) -> str:
         """The most probable reading of a lower-case stretch; of equal ones the first in the order of the choices."""
         model = self.model
+        if text.isalpha() and (paths := self.undoubled(text)):
+            best = (-math.inf, text)
+            for score, s in paths:
+                a = b = 0
+                for c in s:
+                    k = ord(c) - 96 if "a" <= c <= "z" else OTHER
+                    score += model[a][b][k]
+                    a, b = b, k
+                score += model[a][b][0]
+                if score > best[0]:
+                    best = (score, s)
+            return best[1]
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for choices in [*self.lattice(text), [(" ", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -158,6 +191,8 @@ class Restorer:
 
     def known_reading(self, text: str) -> str | None:
         """The most probable reading of a lower-case stretch as known words, None without one; all paths through them are held."""
+        if text.isalpha() and (paths := self.undoubled(text)):
+            return max(((p + self.cost(s), s) for p, s in paths if s in self.known), key=lambda x: x[0], default=(0.0, None))[1]
         best = {"": (0.0, "")}
         for choices in self.lattice(text):
             new: dict[str, tuple[float, str]] = {}
@@ -187,6 +222,9 @@ class Restorer:
 
     def read(self, chunk: str) -> str:
         """A lower-case chunk between blanks, decoded where it is suspicious."""
+        plain = chunk.strip(PLAIN_EDGES)
+        if plain.isalpha() and (plain in self.known or not DOUBLED.search(plain)):
+            return chunk  # none of the patterns below fits
         if ODD.search(chunk):
             core = chunk.strip(EDGES) if self.known else ""
             return core and (core in self.known and core or self.known_reading(core) or self.known_reading(chunk)) or self.decode(chunk)
@@ -199,22 +237,27 @@ class Restorer:
             return WORD.sub(lambda m: m[0] if m[0] in self.known or not DOUBLED.search(m[0]) else self.known_reading(m[0]) or self.decode(m[0]), chunk)
         return chunk
 
-    def part(self, chunk: str) -> tuple[str, bool, bool, bool]:
-        """(word, unknown, may begin, may end) of a chunk as a part of a split word; no word where it is more than one."""
+    def part(self, chunk: str) -> tuple[str, bool, bool, bool, str]:
+        """(word, unknown, may go on, may follow, reading) of a chunk as a part of a split word; no word where it is more than one."""
         found = self.parts.get(chunk)
         if found is None:
-            word = (chunk if chunk in self.known else self.read(chunk)).strip(EDGES)
+            reading = chunk if chunk in self.known else self.read(chunk)
+            word = reading.strip(EDGES)
             if not word.isalpha():
                 word = ""
-            found = (word, bool(word) and word not in self.known, chunk[-1:] not in EDGES, chunk[:1] not in EDGES)
-            self.parts.put(chunk, found, 2 * len(chunk))
+            found = (word, bool(word) and word not in self.known, chunk[-1:] not in EDGES, chunk[:1] not in EDGES, reading)
+            self.parts.put(chunk, found, 3 * len(chunk))
         return found
 
     def chunks(self, text: str) -> list[str]:
         """What stands between blanks in a lower-case text after single characters and split words are put together."""
         chunks = SPACED.sub(lambda m: self.spaced(m[0]), text).split()
         known = self.known
-        unknown = {c for c in set(chunks) if c not in known and self.part(c)[1]} if known else ()
+        if not known:
+            return chunks
+        held, prefixes = self.parts.get, self.prefixes
+        parts = {c: held(c) or self.part(c) for c in set(chunks)}
+        unknown = {c for c, p in parts.items() if p[1] and c not in known}
         if not unknown:
             return chunks
         out, i, n, last = [], 0, len(chunks), -PARTS
@@ -226,17 +269,17 @@ class Restorer:
                 last = k
         while i < n:
             took = 1
-            if near[i]:
-                word, odd, more, _ = self.part(chunks[i])
+            word, odd, more, _, _ = parts[chunks[i]]
+            if near[i] and more and word in prefixes:
                 joined, best = word, None
                 for k in range(i + 1, min(n, i + PARTS)):
-                    word, other, after, start = self.part(chunks[k])
+                    word, other, after, start, _ = parts[chunks[k]]
                     if not (joined and word and more and start):
                         break
                     joined, odd, more = joined + word, odd or other, after
                     if odd and len(joined) >= LEAST_JOINED and joined in known:
                         best, took = joined, k - i + 1
-                    elif joined not in self.prefixes:
+                    elif joined not in prefixes:
                         break
                 if best:
                     out.append(best)
@@ -266,13 +309,16 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, features: dict[str, int] | None):
         self.restorer, self.known = restorer, features
+        self.heads = None if features is None else {f[: BEGINNINGS[0]] for f in features if f[0] != "="}
         self.cache = Cache()
 
     def names(self, chunk: str) -> tuple:
         """Features of the words that a chunk is restored to: all their names, or the numbers of the known ones."""
-        words = WORD.findall(self.restorer.read(chunk))
-        found = [f for w in words for f in ("=" + w, *(w[:k] for k in BEGINNINGS if len(w) >= k))]
-        return tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
+        part = self.restorer.parts.get(chunk)
+        words = WORD.findall(part[4] if part else self.restorer.read(chunk))
+        heads, known = self.heads, self.known
+        found = [f for w in words for f in ("=" + w, *(w[:k] for k in BEGINNINGS if len(w) >= k and (heads is None or w[: BEGINNINGS[0]] in heads)))]
+        return tuple(found) if known is None else tuple(known[f] for f in found if f in known)
 
     def count(self, text: str) -> Counter:
         """How often each feature is in the text."""
