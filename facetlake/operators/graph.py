@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Mesh
-from ..sharing import numbered, removed, settled
+from ..sharing import checkpointed, numbered, removed, settled
 from .clip import compact, edge_uses, edges, face_normals
 from .measure import center_distance
 from .sets import append, weld
@@ -138,7 +138,7 @@ def parities(links: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         offers = both.join(state.select(F.col("node").alias("b"), "label", "flip"), "b").select(F.col("a").alias("node"), "label", (F.col("flip") != F.col("odd")).alias("flip"))
         best = offers.groupBy("node").agg(F.min(F.struct("label", "flip")).alias("o"))
-        new = settled(state.join(best, "node", "left").select("node", F.col("label").alias("old"), F.when(F.col("o.label") < F.col("label"), F.col("o")).otherwise(F.struct("label", "flip")).alias("s")))
+        new = checkpointed(state.join(best, "node", "left").select("node", F.col("label").alias("old"), F.when(F.col("o.label") < F.col("label"), F.col("o")).otherwise(F.struct("label", "flip")).alias("s")))
         state = new.select("node", "s.label", "s.flip")
         if not new.where("s.label <> old").limit(1).count():
             return state

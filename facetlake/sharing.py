@@ -71,6 +71,12 @@ def settled(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
     return table
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: cheaper than a table where a loop has many small rounds."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with a dense 0-based number by ``order``, without moving all rows to one task.
 
