@@ -80,12 +80,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with a dense 0-based number by ``order``, without moving all rows to one task.
 
-    Rows are sorted by range, checkpointed, and numbered by their place in the partition plus the rows of earlier partitions; the
-    offsets are one row a partition. ``order`` should be unique for the numbers to be repeatable.
+    Rows are sorted by range, written once with their place in the partition, and numbered by that plus the rows of earlier
+    partitions; the offsets are one row a partition. ``order`` should be unique for the numbers to be repeatable. The written table
+    goes with ``removed`` of the result.
     """
-    shared_dir(df.sparkSession)
-    rows = df.orderBy(*order).checkpoint(eager=True)
-    placed = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    rows = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = rows.withColumn("_part", F.shiftright("_at", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).collect()
     start, offsets = 0, []
     for part, n in sorted((r["_part"], r["n"]) for r in sizes):
@@ -93,4 +93,6 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
         start += n
     table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part long, _start long")
     number = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
-    return placed.join(F.broadcast(table), "_part").withColumn(name, number).drop("_part", "_at", "_start")
+    found = placed.join(F.broadcast(table), "_part").withColumn(name, number).drop("_part", "_at", "_start")
+    found._facetlake_folder = rows._facetlake_folder
+    return found
