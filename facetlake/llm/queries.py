@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, media, ngramjoin, packing, quality, secrets, toxicity, urlgraph, warc
+from . import bpe, linededup, media, ngramjoin, packing, phrases, quality, secrets, sharding, toxicity, urlgraph, vectors, warc
 from .common import documents, pages
 
 
@@ -53,11 +53,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(documents(spark, sf_dir), n=4, num=85, den=100)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_secrets, op3_warc, op4_media, op5_quality, op6_urls, op7_packing, op8_line_dedup, op9_toxicity, op10_ngram_join)
+    f.__name__: f for f in (op1_bpe, op2_secrets, op3_warc, op4_media, op5_quality, op6_urls, op7_packing, op8_line_dedup, op9_toxicity, op10_ngram_join, op11_codes, op12_phrases, op13_shards)
 }
 ORACLES: dict[str, str] = {
     "op6_urls": urlgraph.oracle(),
+    "op11_codes": vectors.oracle(),
+    "op12_phrases": phrases.oracle(),
+    "op13_shards": sharding.oracle(),
     "op8_line_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
