@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Mesh
-from ..sharing import checkpointed, numbered, removed, settled
+from ..sharing import numbered, removed, settled
 from .clip import compact, edge_uses, edges, face_normals
 from .measure import center_distance
 from .sets import append, weld
@@ -131,17 +131,45 @@ def crop_flood(points: DataFrame, links: DataFrame) -> DataFrame:
 def parities(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label, flip): components over links (a, b, odd) and for each node whether it is odd to the least node of its component.
 
-    A node takes the least (label, flip) that a neighbour offers; contradictory cycles keep the first value found.
+    The parity is the one along the component's least spanning forest, links taken in the order of (lesser end, greater end), an
+    even one before an odd one between the same two; so contradictory cycles have a result that doesn't depend on the order of work.
+    Each round every group of nodes takes its first link to another group (Boruvka) and jumps along these to one root, so rounds
+    grow with the logarithm of the groups and of a path's length. Links of a node with itself say nothing.
     """
-    both = settled(links.select("a", "b", "odd").union(links.select("b", "a", "odd")).distinct())
-    state = settled(nodes.select("node", F.col("node").alias("label"), F.lit(False).alias("flip")).distinct())
+    pairs = links.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "odd")
+    edge = settled(pairs.groupBy("u", "v").agg(F.min("odd").alias("odd")))
+    state = settled(nodes.select("node", F.col("node").alias("root"), F.lit(False).alias("flip")).distinct())
     while True:
-        offers = both.join(state.select(F.col("node").alias("b"), "label", "flip"), "b").select(F.col("a").alias("node"), "label", (F.col("flip") != F.col("odd")).alias("flip"))
-        best = offers.groupBy("node").agg(F.min(F.struct("label", "flip")).alias("o"))
-        new = checkpointed(state.join(best, "node", "left").select("node", F.col("label").alias("old"), F.when(F.col("o.label") < F.col("label"), F.col("o")).otherwise(F.struct("label", "flip")).alias("s")))
-        state = new.select("node", "s.label", "s.flip")
-        if not new.where("s.label <> old").limit(1).count():
-            return state
+        named = edge
+        for k in "uv":
+            named = named.join(state.select(F.col("node").alias(k), F.col("root").alias("r" + k), F.col("flip").alias("f" + k)), k)
+        across = named.where("ru <> rv").select("u", "v", "ru", "rv", (F.col("odd") != (F.col("fu") != F.col("fv"))).alias("turn"), "odd")
+        sides = across.select(F.explode(F.array(*(F.struct(F.col(p).alias("root"), F.col(q).alias("to"), "u", "v", "turn") for p, q in (("ru", "rv"), ("rv", "ru"))))).alias("s")).select("s.*")
+        first = settled(sides.groupBy("root").agg(F.min(F.struct("u", "v", "to", "turn")).alias("m")).select("root", "m.to", "m.turn"))
+        if not first.limit(1).count():
+            removed(first, edge)
+            break
+        # Two groups that take the same link are the only cycle; the lesser of them is the root of all that lead there.
+        back = first.select(F.col("root").alias("to"), F.col("to").alias("back"))
+        ends = first.join(back, "to").select("root", F.when((F.col("back") == F.col("root")) & (F.col("root") < F.col("to")), F.col("root")).otherwise(F.col("to")).alias("to"), F.when((F.col("back") == F.col("root")) & (F.col("root") < F.col("to")), False).otherwise(F.col("turn")).alias("turn"))
+        jump = settled(ends, after=first)
+        while True:
+            step = jump
+            for _ in range(2):  # two jumps a table
+                far = step.select(F.col("root").alias("to"), F.col("to").alias("to2"), F.col("turn").alias("turn2"))
+                step = step.join(far, "to").select("root", F.col("to2").alias("to"), (F.col("turn") != F.col("turn2")).alias("turn"))
+            new = settled(step)
+            moved = new.join(jump.select("root", F.col("to").alias("was")), "root").where("to <> was").limit(1).count()
+            removed(jump)
+            jump = new
+            if not moved:
+                break
+        old, kept = state, edge
+        state = settled(old.join(jump.select("root", "to", "turn"), "root", "left").select("node", F.coalesce("to", "root").alias("root"), (F.col("flip") != F.coalesce("turn", F.lit(False))).alias("flip")))
+        edge = settled(across.select("u", "v", "odd"))
+        removed(old, kept, jump)
+    least = state.groupBy("root").agg(F.min(F.struct("node", "flip")).alias("l")).select("root", F.col("l.node").alias("label"), F.col("l.flip").alias("base"))
+    return state.join(least, "root").select("node", "label", (F.col("flip") != F.col("base")).alias("flip"))
 
 
 def consistent(mesh: Mesh) -> Mesh:

@@ -1,8 +1,9 @@
 """Joins in space: radius, nearest, k nearest, nearest triangle, and what is built on them.
 
-Most use a uniform grid: points get the key of their cell, one side is copied to the neighbouring cells, and an equi-join on the
-key is followed by the exact test. Nearest searches start from a radius and double it for the rows still without an answer; where
-the searched side is counted and small, every task gets it whole and searches in blocks instead. Both ways give the same rows.
+The radius join uses a uniform grid: points get the key of their cell, one side is copied to the neighbouring cells, and an
+equi-join on the key is followed by the exact test; cells with very many points are dealt to several keys. Nearest searches use an
+adaptive index (``index``); where the searched side is counted and small, every task gets it whole and searches in blocks instead.
+Both ways give the same rows. Points without a finite place have no answer and are nobody's.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..model import Mesh, cloud
 from ..sharing import numbered, settled
+from .index import HIGH, LOW, Index, placed
 
 XYZ = ("x", "y", "z")
 CELL = ("gx", "gy", "gz")
 #: Points or triangles that a task may hold whole, pairs up to which that is worth it, and pairs worked on at once.
 BLOCK_ROWS, BLOCK_PAIRS, BLOCK_AT_ONCE = 100_000, 4_000_000_000, 1_000_000
+#: Points of a grid cell that meet under one key.
+DENSE = 4096
 
 
 def _cell(c: str, size: float) -> Column:
@@ -42,72 +45,87 @@ def _spread(df: DataFrame, size: float) -> DataFrame:
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """(id, other, d2) for points (pid, x, y, z) of left and right within ``radius``, itself included."""
-    a = _spread(left.select(F.col("pid").alias("id"), *XYZ), radius)
-    b = _gridded(right.select(F.col("pid").alias("other"), *XYZ), radius).select("other", *CELL, *(F.col(c).alias("o" + c) for c in XYZ))
-    d2 = g.distance2(g.vector(*XYZ), g.vector("ox", "oy", "oz"))
-    return a.join(b, list(CELL)).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("id", "other", "d2")
-
+    """(id, other, d2) for points (pid, x, y, z) of left and right within ``radius``, itself included.
 
-def extent(df: DataFrame) -> tuple[int, float, float]:
-    """(points, longest side, distance that surely reaches across) of a cloud."""
-    row = df.agg(F.count("*"), *(f(c) for c in XYZ for f in (F.min, F.max))).first()
-    n, box = row[0], [float(v or 0) for v in row[1:]]
-    sides = [box[1] - box[0], box[3] - box[2], box[5] - box[4]]
-    return n, max(sides), math.sqrt(sum(s * s for s in sides))
+    Cells with over DENSE points of either side are dealt: the right points of a cell to chunks, the left ones that look into it to
+    blocks, and each chunk meets each block under a key of its own. Points without a finite place are left out.
+    """
+    a = _spread(placed(left.select(F.col("pid").alias("id"), *XYZ)), radius)
+    b = _gridded(placed(right.select(F.col("pid").alias("other"), *XYZ)), radius).select("other", *CELL, *(F.col(c).alias("o" + c) for c in XYZ))
+    counts = a.select(*CELL, F.lit(1).alias("p"), F.lit(0).alias("q")).unionByName(b.select(*CELL, F.lit(0).alias("p"), F.lit(1).alias("q"))).groupBy(*CELL).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    dense = settled(counts.where((F.greatest("p", "q") > DENSE) & (F.least("p", "q") > 0)).select(*CELL, F.ceil(F.col("p") / DENSE).cast("int").alias("blocks"), F.ceil(F.col("q") / DENSE).cast("int").alias("chunks")))
+    keys = list(CELL)
+    if dense.limit(1).count():
+        one = F.lit(1)
+
+        def dealt(rows: DataFrame, own: str, of: str, other: str, many: str) -> DataFrame:
+            rows = rows.join(dense, list(CELL), "left")
+            mine = F.pmod(F.xxhash64(own), F.coalesce(of, one)).cast("int")
+            every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(many), one) - 1))
+            return rows.withColumn("block" if of == "blocks" else "chunk", mine).withColumn(other, every).drop("blocks", "chunks")
+
+        a, b = dealt(a, "id", "blocks", "chunk", "chunks"), dealt(b, "other", "chunks", "block", "blocks")
+        keys += ["block", "chunk"]
+    d2 = g.distance2(g.vector(*XYZ), g.vector("ox", "oy", "oz"))
+    return a.join(b, keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("id", "other", "d2")
 
 
 def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(id, rank from 1, other, d2): the k nearest points of right for each of left, ties by lower id; fewer where right has fewer."""
-    n, side, _ = extent(right)
+    """(id, rank from 1, other, d2): the k nearest points of right for each of left, ties by lower id; fewer where right has fewer.
+
+    Points of left without a finite place have no rows, those of right are never found.
+    """
+    left = placed(left.select(F.col("pid").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in XYZ)))
+    right = placed(right.select(F.col("pid").cast("long").alias("pid"), *(F.col(c).cast("double").alias(c) for c in XYZ)))
+    n = right.count()
     if not n:
-        return left.select(F.col("pid").alias("id"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("other"), F.lit(0.0).alias("d2")).where("false")
+        return left.select("id", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("other"), F.lit(0.0).alias("d2")).where("false")
     if n <= BLOCK_ROWS and n * left.count() <= BLOCK_PAIRS:
         return knn_in_blocks(left, right, k)
-    both = extent(left.select(*XYZ).unionByName(right.select(*XYZ)))[2]
-    radius = max(side * (max(2, k) / n) ** (1 / 3), both / 1e4, 1e-12)
-    found, todo = None, left.select("pid", *XYZ)
-    while True:
-        last = radius >= both
-        near = radius_join(todo, right, radius)
-        w = Window.partitionBy("id").orderBy("d2", "other")
-        top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if not last:
-            done = top.groupBy("id").agg(F.count("*").alias("m")).where(F.col("m") >= min(k, n)).select("id")
-            top = top.join(done, "id", "left_semi")
-        top = settled(top.select("id", "rank", "other", "d2"))
-        found = top if found is None else found.unionByName(top)
-        if last:
-            return found
-        todo = settled(todo.join(top.select(F.col("id").alias("pid")).distinct(), "pid", "left_anti"))
-        if not todo.limit(1).count():
-            return found
-        radius *= 2
+    index = Index.of(right.select("pid", *(F.col(c).alias(b) for bounds in (LOW, HIGH) for c, b in zip(XYZ, bounds, strict=True))))
+
+    def work(points: pa.Table, items: pa.Table) -> pa.Table:
+        items = items.sort_by("pid")
+        held = [items.column(c).to_numpy() for c in ("pid", *LOW)]
+        parts = [_nearest_of(*(c.to_numpy() for c in points.select(["id", *XYZ]).slice(at, step).columns), held, k) for step in [max(1, BLOCK_AT_ONCE // max(1, len(items)))] for at in range(0, len(points) if len(items) else 0, step)]
+        return pa.Table.from_batches(parts, schema=_FOUND)
+
+    near = index.met(left, work, "id long, rank int, other long, d2 double", k=k)
+    w = Window.partitionBy("id").orderBy("d2", "other")
+    found = settled(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "other", "d2"))
+    index.remove()
+    return found
+
+
+_FOUND = pa.schema([("id", pa.int64()), ("rank", pa.int32()), ("other", pa.int64()), ("d2", pa.float64())])
+
+
+def _nearest_of(ids: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, held: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """The k nearest of held points (ids in order, x, y, z) for a block of points, ties by lower id."""
+    others, *xyz = held
+    most = min(k, len(others))
+    d = [a[:, None] - b[None] for a, b in zip((x, y, z), xyz, strict=True)]
+    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    last = np.partition(d2, most - 1, axis=1)[:, most - 1]
+    row, col = np.nonzero(d2 <= last[:, None])  # ties of the last one too, lower ids first
+    order = np.lexsort((col, d2[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, rank = (x[rank < most] for x in (row, col, rank))
+    return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((rank + 1).astype(np.int32)), pa.array(others[col]), pa.array(d2[row, col])], schema=_FOUND)
 
 
 def knn_in_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """As ``knn`` where right has at most BLOCK_ROWS points: tasks hold all of them and compare blocks of left with them."""
-    table = right.select(F.col("pid").cast("long").alias("pid"), *(F.col(c).cast("double").alias(c) for c in XYZ)).toArrow().sort_by("pid")
-    sent = left.sparkSession.sparkContext.broadcast([c.to_numpy() for c in table.columns])
+    """As ``knn`` where right (placed) has at most BLOCK_ROWS points: tasks hold all of them and compare blocks of left (id) with them."""
+    sent = left.sparkSession.sparkContext.broadcast([c.to_numpy() for c in right.select("pid", *XYZ).toArrow().sort_by("pid").columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others, *xyz = sent.value
-        most, step = min(k, len(others)), max(1, BLOCK_AT_ONCE // len(others))
+        step = max(1, BLOCK_AT_ONCE // len(sent.value[0]))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                ids, *p = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns)
-                d = [a[:, None] - b[None] for a, b in zip(p, xyz, strict=True)]
-                d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-                last = np.partition(d2, most - 1, axis=1)[:, most - 1]
-                row, col = np.nonzero(d2 <= last[:, None])  # ties of the last one too, lower ids first
-                order = np.lexsort((col, d2[row, col], row))
-                row, col = row[order], col[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col, rank = (x[rank < most] for x in (row, col, rank))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((rank + 1).astype(np.int32)), pa.array(others[col]), pa.array(d2[row, col])], ["id", "rank", "other", "d2"])
+                yield _nearest_of(*(c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns), sent.value, k)
 
-    points = left.select(F.col("pid").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in XYZ)).where("not isnan(coalesce(x + y + z, double('NaN')))")  # points without a place have no answer
-    return points.mapInArrow(run, "id long, rank int, other long, d2 double")
+    return left.mapInArrow(run, "id long, rank int, other long, d2 double")
 
 
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -115,92 +133,84 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     return knn(left, right, 1).drop("rank")
 
 
-_PLACES = "id long, tid struct<cid:bigint,k:int>, cid long, d2 double, cx double, cy double, cz double, a long, b long, c long, wa double, wb double, wc double"
-
-
-def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Closest places of pairs of points and triangles, batch by batch."""
-    for f in frames:
-        p, a, b, c = (f[[k + x for x in XYZ]].to_numpy() for k in ("", "a", "b", "c"))
-        at, w = g.closest_places(p, a, b, c)
-        d2 = ((at - p) ** 2).sum(axis=1)
-        yield f[["id", "tid", "cid"]].assign(d2=d2, cx=at[:, 0], cy=at[:, 1], cz=at[:, 2], a=f["a"], b=f["b"], c=f["c"], wa=w[:, 0], wb=w[:, 1], wc=w[:, 2])
+_NEAR = ("id", "cid", "d2", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc", "k")
+_WHOLE = ("id", "cid", "a", "b", "c", "k")
+_PLACES = ", ".join(f"{c} {'long' if c in _WHOLE else 'double'}" for c in _NEAR)
 
 
 def nearest_triangle(points: DataFrame, mesh: Mesh) -> DataFrame:
     """(id, cid, d2, cx, cy, cz, a, b, c, wa, wb, wc): the closest place on the polygons, ties by lower cell id.
 
-    Triangles are copied to the grid cells that their bounds, widened by the radius, touch; a point is answered when its
-    distance is within the radius, and the radius doubles for the others.
+    Points without a finite place have no rows; triangles with such a corner are no one's. Triangles are found by an index of their
+    bounds, or where they are few by tasks that hold all of them.
     """
-    tri = settled(mesh.placed_triangles())
+    columns = [F.col("tid.k").cast("long").alias("k"), "cid", *"abc", *(F.col(k + x).cast("double").alias(k + x) for k in "abc" for x in XYZ)]
+    tri = settled(placed(mesh.placed_triangles().select(*columns), tuple(k + x for k in "abc" for x in XYZ)))
+    whole = placed(points.select(F.col("pid").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in XYZ)))
     n = tri.count()
-    if 0 < n <= BLOCK_ROWS and n * points.count() <= BLOCK_PAIRS:
-        return nearest_triangle_in_blocks(points, tri)
-    lo = {x: F.least("a" + x, "b" + x, "c" + x) for x in XYZ}
-    hi = {x: F.greatest("a" + x, "b" + x, "c" + x) for x in XYZ}
-    size = tri.agg(F.count("*"), F.avg(F.greatest(*(hi[x] - lo[x] for x in XYZ)))).first()
-    names = ("id", "cid", "d2", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")
-    placed = tri.select(*(F.col(k + x).alias(x) for k in "a" for x in XYZ)).unionByName(points.select(*XYZ))
-    both = extent(placed)[2]
-    radius = max(float(size[1] or 0), both / 1e3, 1e-12)
-    found, todo = None, points.select(F.col("pid").alias("id"), *XYZ)
-    while True:
-        last = radius >= both
-        wide = tri
-        for k, x in zip(CELL, XYZ, strict=True):
-            wide = wide.withColumn(k, F.explode(F.sequence(F.floor((lo[x] - radius) / radius), F.floor((hi[x] + radius) / radius))))
-        gap = [F.greatest(lo[x] - F.col(x), F.col(x) - hi[x], F.lit(0.0)) for x in XYZ]
-        near = F.lit(last) | (g.dot(gap, gap) <= radius * radius)  # by the bounds, before any work on triangles
-        pairs = _gridded(todo, radius).join(wide, list(CELL)).where(near).select("id", *XYZ, "tid", "cid", *"abc", *(k + x for k in "abc" for x in XYZ))
-        pairs = pairs.mapInPandas(_places, _PLACES).where(F.lit(last) | (F.col("d2") <= radius * radius))
-        best = pairs.groupBy("id").agg(F.min(F.struct("d2", "tid", "cid", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")).alias("s")).select("id", *(F.col("s." + n) for n in names[1:]))
-        best = settled(best)
-        found = best if found is None else found.unionByName(best)
-        if last:
-            return found
-        todo = settled(todo.join(best.select("id"), "id", "left_anti"))
-        if not todo.limit(1).count():
-            return found
-        radius *= 2
+    if not n:
+        return whole.select("id", *(F.lit(0).cast("long" if c in _WHOLE else "double").alias(c) for c in _NEAR[1:-1])).where("false")
+    if n <= BLOCK_ROWS and n * whole.count() <= BLOCK_PAIRS:
+        return nearest_triangle_in_blocks(whole, tri)
+    bounds = {lo: F.least(*(k + x for k in "abc")) for lo, x in zip(LOW, XYZ, strict=True)} | {hi: F.greatest(*(k + x for k in "abc")) for hi, x in zip(HIGH, XYZ, strict=True)}
+    index = Index.of(tri.withColumn("key", F.xxhash64("cid", "k")).select("key", *tri.columns, *(v.alias(c) for c, v in bounds.items())))
 
+    def work(some: pa.Table, items: pa.Table) -> pa.Table:
+        held = _held(items)
+        step = max(1, BLOCK_AT_ONCE // max(1, len(items)))
+        parts = [_closest_of(*(c.to_numpy() for c in some.select(["id", *XYZ]).slice(at, step).columns), held) for at in range(0, len(some) if len(items) else 0, step)]
+        return pa.Table.from_batches(parts, schema=_PLACED)
 
-def nearest_triangle_in_blocks(points: DataFrame, tri: DataFrame) -> DataFrame:
-    """As ``nearest_triangle`` for at most BLOCK_ROWS placed triangles: tasks hold all of them.
+    near = index.met(whole, work, _PLACES, k=1)
+    best = near.groupBy("id").agg(F.min(F.struct("d2", "cid", "k", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")).alias("s"))
+    found = settled(best.select("id", *(F.col("s." + c).alias(c) for c in _NEAR[1:-1])))
+    index.remove()
+    return found
+
+
+_PLACED = pa.schema([(c, pa.int64() if c in _WHOLE else pa.float64()) for c in _NEAR])
+
+
+def _held(tri: pa.Table) -> dict[str, np.ndarray]:
+    """Triangles as arrays, in the order of cells, with their bounds."""
+    tri = tri.sort_by([("cid", "ascending"), ("k", "ascending")])
+    t = {c: np.column_stack([tri.column(c + x).to_numpy() for x in XYZ]) for c in "abc"}
+    return t | {"cid": tri.column("cid").to_numpy(), "k": tri.column("k").to_numpy(), "ids": np.column_stack([tri.column(c).to_numpy() for c in "abc"]), "lo": np.minimum(np.minimum(t["a"], t["b"]), t["c"]), "hi": np.maximum(np.maximum(t["a"], t["b"]), t["c"])}
+
+
+def _closest_of(ids: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, t: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The closest place on held triangles for a block of points, ties by lower cell id.
 
     For each point the triangles are taken whose bounds are no farther than the nearest first corner; the exact places on those
-    are compared, ties by lower cell id.
+    are compared.
     """
-    columns = [F.col("tid.k").alias("k"), "cid", *"abc", *(F.col(k + x).cast("double").alias(k + x) for k in "abc" for x in XYZ)]
-    table = tri.select(*columns).toArrow().sort_by([("cid", "ascending"), ("k", "ascending")])
-    held = {"cid": table.column("cid").to_numpy()} | {k: np.column_stack([table.column(k + x).to_numpy() for x in XYZ]) for k in "abc"} | {"ids": np.column_stack([table.column(k).to_numpy() for k in "abc"])}
-    sent = points.sparkSession.sparkContext.broadcast(held)
+    p, lo, hi = np.column_stack((x, y, z)), t["lo"], t["hi"]
+    low, corner = np.zeros((len(p), len(lo))), np.zeros((len(p), len(lo)))
+    for i in range(3):
+        v = p[:, i, None]
+        low += np.maximum(np.maximum(lo[None, :, i] - v, v - hi[None, :, i]), 0) ** 2
+        corner += (t["a"][None, :, i] - v) ** 2
+    row, col = np.nonzero(low <= corner.min(axis=1)[:, None] * (1 + 1e-9))
+    place, w = g.closest_places(p[row], t["a"][col], t["b"][col], t["c"][col])
+    d2 = ((place - p[row]) ** 2).sum(axis=1)
+    order = np.lexsort((col, d2, row))
+    best = order[np.searchsorted(row[order], np.arange(len(p)))]
+    r, c = row[best], col[best]
+    values = [ids[r], t["cid"][c], d2[best], *place[best].T, *t["ids"][c].T, *w[best].T, t["k"][c]]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], schema=_PLACED)
+
+
+def nearest_triangle_in_blocks(points: DataFrame, tri: DataFrame) -> DataFrame:
+    """As ``nearest_triangle`` for at most BLOCK_ROWS placed triangles: tasks hold all of them."""
+    sent = points.sparkSession.sparkContext.broadcast(_held(tri.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
-        lo, hi = np.minimum(np.minimum(t["a"], t["b"]), t["c"]), np.maximum(np.maximum(t["a"], t["b"]), t["c"])
-        step = max(1, BLOCK_AT_ONCE // len(lo))
+        step = max(1, BLOCK_AT_ONCE // len(sent.value["cid"]))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                ids, *xyz = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns)
-                p = np.column_stack(xyz)
-                low, corner = np.zeros((len(p), len(lo))), np.zeros((len(p), len(lo)))
-                for i in range(3):
-                    x = p[:, i, None]
-                    low += np.maximum(np.maximum(lo[None, :, i] - x, x - hi[None, :, i]), 0) ** 2
-                    corner += (t["a"][None, :, i] - x) ** 2
-                row, col = np.nonzero(low <= corner.min(axis=1)[:, None] * (1 + 1e-9))
-                place, w = g.closest_places(p[row], t["a"][col], t["b"][col], t["c"][col])
-                d2 = ((place - p[row]) ** 2).sum(axis=1)
-                order = np.lexsort((col, d2, row))
-                best = order[np.searchsorted(row[order], np.arange(len(p)))]
-                r, c = row[best], col[best]
-                values = [ids[r], t["cid"][c], d2[best], *place[best].T, *t["ids"][c].T, *w[best].T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], list(names))
-
-    names = ("id", "cid", "d2", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")
-    whole = points.select(F.col("pid").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in XYZ)).where("not isnan(coalesce(x + y + z, double('NaN')))")  # points without a place have no answer
-    return whole.mapInArrow(run, ", ".join(f"{c} {'long' if c in ('id', 'cid', 'a', 'b', 'c') else 'double'}" for c in names))
+                yield _closest_of(*(c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns), sent.value)
+
+    return points.mapInArrow(run, _PLACES).drop("k")
 
 
 def compare(source: Mesh, target: Mesh, signed: bool = True, near: DataFrame | None = None) -> DataFrame:
