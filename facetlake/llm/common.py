@@ -22,6 +22,16 @@ def slices(batches: Iterator[pa.RecordBatch], records: int = 1000, most_bytes: i
             yield batch.slice(at, step)
 
 
+def released() -> None:
+    """Memory that a stage no longer needs goes back to the system: an idle worker keeps what it has."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _HELD: dict[tuple, object] = {}
 
 
@@ -29,12 +39,7 @@ def held_by_worker(owner: tuple, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks of one operator; what it kept for another one is let go first."""
     if owner not in _HELD:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        released()
         _HELD[owner] = make()
     return _HELD[owner]
 
