@@ -48,6 +48,8 @@ MOST_PATHS = 64
 SIGNS = re.compile(f"[{re.escape(''.join(LEET))}]{{3,}}")
 #: A word is known from this share of the texts on (three at least): there are fewer than the mean of a text's words divided by it.
 KNOWN_SHARE, KNOWN_TEXTS = 1e-4, 3
+#: Letters of a known word at most, so that known words take LONGEST times their number in bytes of letters.
+LONGEST = 48
 #: Parts of a split word, and its least length.
 PARTS, LEAST_JOINED = 4, 4
 EDGES = ".,;:?!'’\"()[]"
@@ -92,10 +94,13 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def known_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word): the lower-case words of at least ``KNOWN_SHARE`` of all texts."""
+    """(word): the lower-case words, of ``LONGEST`` letters at most, of at least ``KNOWN_SHARE`` of all texts.
+
+    There are fewer than a text has words on average divided by KNOWN_SHARE, whatever the number of texts.
+    """
     least = max(KNOWN_TEXTS, math.ceil(KNOWN_SHARE * df.count()))
     words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
-    return words.groupBy("word").count().where(F.col("count") >= least).select("word")
+    return words.where(F.length("word") <= LONGEST).groupBy("word").count().where(F.col("count") >= least).select("word")
 
 
 def log_model(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -110,6 +115,29 @@ def log_model(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.log((n + 5 * bi[None]) / (n.sum(2, keepdims=True) + 5))
 
 
+#: By code point of the basic plane: 1 for a letter or digit, 2 for a sign that may stand for a letter, 4 for a separator of singles.
+SINGLES = np.array([(1 if chr(c).isalnum() else 0) | 2 * (chr(c) in "@$!|+(€£¢*") | 4 * (chr(c).isspace() or chr(c) in ".,'’_/:;~\\=-") for c in range(0x10000)], np.uint8)
+
+
+def spaced_out(text: str) -> bool:
+    """Whether ``SPACED`` can match at all: a single between separators, and on both sides, up to three separators away, another one."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < 5:
+        return False
+    if points.max() > 0xFFFF:
+        return True
+    kind = np.concatenate([np.zeros(4, np.uint8), SINGLES[points], np.zeros(4, np.uint8)])
+    single, word, apart = (kind & 3) > 0, (kind & 1) > 0, (kind & 4) > 0
+    lead, tail = single.copy(), single.copy()
+    lead[1:] &= ~word[:-1]
+    tail[:-1] &= ~word[1:]
+    n = len(points)
+    at = lambda x, k: x[4 + k : 4 + k + n]
+    left = at(apart, -1) & (at(lead, -2) | at(apart, -2) & (at(lead, -3) | at(apart, -3) & at(lead, -4)))
+    right = at(apart, 1) & (at(tail, 2) | at(apart, 2) & (at(tail, 3) | at(apart, 3) & at(tail, 4)))
+    return bool((at(single, 0) & left & right).any())
+
+
 class Restorer:
     """Decoding of suspicious stretches by known words, or else by Viterbi under a trigram model."""
 
@@ -193,21 +221,25 @@ class Restorer:
         """The most probable reading of a lower-case stretch as known words, None without one; all paths through them are held."""
         if text.isalpha() and (paths := self.undoubled(text)):
             return max(((p + self.cost(s), s) for p, s in paths if s in self.known), key=lambda x: x[0], default=(0.0, None))[1]
-        best = {"": (0.0, "")}
+        best: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
         for choices in self.lattice(text):
-            new: dict[str, tuple[float, str]] = {}
+            new: dict[str, tuple[float, tuple | None]] = {}
             for word, (score, done) in best.items():
                 for x, p in choices:
                     to, before = word + x, done
                     if x == " ":
                         if word and word not in self.known:
                             continue
-                        to, before, p = "", f"{done} {word}" if word else done, p + self.cost(word)
+                        to, before, p = "", (word, done) if word else done, p + self.cost(word)
                     if to in self.prefixes and (to not in new or score + p > new[to][0]):
                         new[to] = (score + p, before)
             best = new
-        ends = [(p + self.cost(w), f"{done} {w}".strip()) for w, (p, done) in best.items() if w in self.known or not w]
-        return max(ends, key=lambda x: x[0])[1] or None if ends else None
+        ends = [(p + self.cost(w), (w, done) if w else done) for w, (p, done) in best.items() if w in self.known or not w]
+        path, out = max(ends, key=lambda x: x[0])[1] if ends else None, []
+        while path:
+            out.append(path[0])
+            path = path[1]
+        return " ".join(reversed(out)) or None
 
     @staticmethod
     def cost(word: str) -> float:
@@ -288,6 +320,54 @@ class Restorer:
             i += took
         return out
 
+    def plain(self, chunks: list[str]) -> list[bool]:
+        """Whether a chunk is one word, with signs of a sentence around it, that nothing is to be restored in."""
+        known, doubled = self.known, DOUBLED.search
+        return [b.isalpha() and (b in known or not doubled(b)) for b in (c.strip(PLAIN_EDGES) for c in chunks)]
+
+    def joined(self, codes: np.ndarray, doc: np.ndarray, chunks: list[str], plain: list[bool]) -> tuple[np.ndarray, list[tuple[int, str]]]:
+        """As ``chunks`` puts split words together, for a block of texts: which places stay, and (text, word) of the words made.
+
+        ``codes`` are places in the list of the block's distinct chunks, ``doc`` the text that each belongs to.
+        """
+        kept, more = np.ones(len(codes), bool), []
+        if not self.known or not len(codes):
+            return kept, more
+        known, prefixes = self.known, self.prefixes
+        parts = [None if p else self.part(c) for c, p in zip(chunks, plain, strict=True)]
+        words = [c.strip(PLAIN_EDGES) if p is None else p[0] for c, p in zip(chunks, parts, strict=True)]
+        odd = np.array([bool(w) and w not in known and c not in known for c, w in zip(chunks, words, strict=True)])[codes]
+        if not odd.any():
+            return kept, more
+        near = odd.copy()
+        for k in range(1, PARTS):
+            near[:-k] |= odd[k:] & (doc[k:] == doc[:-k])
+        goes_on = [c[-1:] not in EDGES for c in chunks]
+        follows = np.array([c[:1] not in EDGES and bool(w) for c, w in zip(chunks, words, strict=True)])[codes]
+        ready = near & np.array([g and w in prefixes and bool(w) for g, w in zip(goes_on, words, strict=True)])[codes]
+        ready[:-1] &= follows[1:] & (doc[1:] == doc[:-1])
+        ready[-1] = False
+        last = 0
+        for i in np.flatnonzero(ready).tolist():
+            if i < last:
+                continue
+            at, best, took = codes[i], None, 1
+            whole, some, goes = words[at], words[at] not in known, True
+            for k in range(i + 1, min(len(codes), i + PARTS)):
+                if doc[k] != doc[i] or not (goes and follows[k]):
+                    break
+                at = codes[k]
+                whole, some, goes = whole + words[at], some or words[at] not in known, goes_on[at]
+                if some and len(whole) >= LEAST_JOINED and whole in known:
+                    best, took = whole, k - i + 1
+                elif whole not in prefixes:
+                    break
+            if best:
+                kept[i : i + took] = False
+                more.append((int(doc[i]), best))
+                last = i + took
+        return kept, more
+
     def restore(self, text: str) -> str:
         """A text with its suspicious stretches decoded, lower-cased; blanks between the others become single spaces."""
         return " ".join(" ".join(self.read(w) for w in self.chunks(text.lower())).split())
@@ -315,8 +395,9 @@ class Scorer:
     def names(self, chunk: str) -> tuple:
         """Features of the words that a chunk is restored to: all their names, or the numbers of the known ones."""
         part = self.restorer.parts.get(chunk)
-        words = WORD.findall(part[4] if part else self.restorer.read(chunk))
+        reading = part[4] if part else self.restorer.read(chunk)
         heads, known = self.heads, self.known
+        words = WORD.findall(reading)
         found = [f for w in words for f in ("=" + w, *(w[:k] for k in BEGINNINGS if len(w) >= k and (heads is None or w[: BEGINNINGS[0]] in heads)))]
         return tuple(found) if known is None else tuple(known[f] for f in found if f in known)
 
@@ -335,6 +416,56 @@ class Scorer:
         return out
 
 
+    def scores(self, texts: list[str], model: Model) -> np.ndarray:
+        """As ``probability`` of ``count`` for each text of a block: what is between blanks is looked at once a block."""
+        restorer = self.restorer
+        self.cache.trim()
+        restorer.parts.trim()
+        tokens = []
+        for text in texts:
+            text = text.lower()
+            if spaced_out(text):
+                text = SPACED.sub(lambda m: restorer.spaced(m[0]), text)
+            tokens.append(text.split())
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        doc = np.repeat(np.arange(len(tokens)), sizes)
+        found = pa.array([t for some in tokens for t in some], pa.string()).dictionary_encode()
+        codes, chunks = found.indices.to_numpy(), found.dictionary.to_pylist()
+        plain = restorer.plain(chunks)
+        kept, more = restorer.joined(codes, doc, chunks, plain)
+        names = [self.word_names(c.strip(PLAIN_EDGES)) if p else self.known_names(c) for c, p in zip(chunks, plain, strict=True)]
+        held = np.array([bool(n) for n in names] or [False])
+        at = np.flatnonzero(kept & held[codes]) if len(codes) else np.zeros(0, np.int64)
+        width = np.fromiter(map(len, names), np.int64, len(names))
+        start = np.append(0, np.cumsum(width))
+        flat = np.fromiter((f for n in names for f in n), np.int64, int(start[-1]))
+        many = width[codes[at]] if len(at) else np.zeros(0, np.int64)
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        features, of = flat[np.repeat(start[codes[at]], many) + inside] if len(at) else flat[:0], np.repeat(doc[at], many)
+        extra = [(d, f) for d, word in more for f in self.known_names(word)]
+        if extra:
+            of, features = np.append(of, [d for d, _ in extra]), np.append(features, [f for _, f in extra])
+        size = max(1, len(model.weights))
+        both, n = np.unique(of * size + features, return_counts=True)
+        z = model.bias + np.bincount(both // size, model.weights[both % size] * (np.minimum(n, LEVELS) / LEVELS), len(texts)) if len(both) else np.full(len(texts), model.bias)
+        return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
+
+    def word_names(self, word: str) -> tuple:
+        """Numbers of the known features of one word."""
+        known = self.known
+        whole = known.get("=" + word)
+        if word[: BEGINNINGS[0]] not in self.heads:
+            return () if whole is None else (whole,)
+        found = [known.get(word[:k]) for k in BEGINNINGS if len(word) >= k]
+        return tuple(f for f in (whole, *found) if f is not None)
+
+    def known_names(self, chunk: str) -> tuple:
+        found = self.cache.get(chunk)
+        if found is None:
+            found = self.cache.put(chunk, names := self.names(chunk), len(chunk) + 8 * len(names))
+        return found
+
+
 def feature_counts(sample: DataFrame, trigrams: np.ndarray, known: frozenset[str]) -> DataFrame:
     """(_doc, _label, features array of (f, n)) of each row (_doc, _text, _label): its text restored, and how often each feature is in it."""
     sent = sample.sparkSession.sparkContext.broadcast((trigrams, known))
@@ -457,8 +588,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         scorer = scorer_of(number, sent.value)
         for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            p = [probability(sent.value, scorer.count(t)) for t in texts]
-            columns = [batch.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())]
+            p = scorer.scores(texts, sent.value)
+            columns = [batch.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
             if with_text:
                 columns.append(pa.array([scorer.restorer.restore(t) for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
@@ -473,7 +604,7 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text", limit: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(number, sent.value)
         for batch in slices(batches):
-            clean = [probability(sent.value, scorer.count(t or "")) < limit for t in batch.column(at).to_pylist()]
+            clean = scorer.scores([t or "" for t in batch.column(at).to_pylist()], sent.value) < limit
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
