@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import statistics as st
 from ..model import Mesh
-from ..sharing import numbered
+from ..sharing import numbered, settled
 from .clip import edges
 from .spatial import neighbour_distances
 
@@ -185,7 +185,7 @@ def polygon_area(polygon: DataFrame, by: list[str]) -> DataFrame:
 
 
 def section_segments(mesh: Mesh, origin, normal) -> DataFrame:
-    """(tid, ex, ey, ez, fx, fy, fz): where a plane cuts the triangles."""
+    """(tid, e, f, ex, ey, ez, fx, fy, fz): where a plane cuts the triangles; e and f are the cut edges (lesser and greater end)."""
     t = mesh.placed_triangles()
     o, n = g.vector(*origin), g.vector(*normal)
     places = {k: g.vector(k + "x", k + "y", k + "z") for k in "abc"}
@@ -194,25 +194,37 @@ def section_segments(mesh: Mesh, origin, normal) -> DataFrame:
     for p, q in ("ab", "bc", "ca"):
         s = F.try_divide(F.col("f" + p), F.col("f" + p) - F.col("f" + q))
         at = g.add(places[p], g.scale(g.sub(places[q], places[p]), s))
-        hits.append(F.when((F.col("f" + p) > 0) != (F.col("f" + q) > 0), F.struct(*(v.alias(c) for v, c in zip(at, XYZ, strict=True)))))
+        edge = F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
+        hits.append(F.when((F.col("f" + p) > 0) != (F.col("f" + q) > 0), F.struct(edge.alias("edge"), *(v.alias(c) for v, c in zip(at, XYZ, strict=True)))))
     found = t.select("tid", F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("h")).where("size(h) = 2")
-    return found.select("tid", *(F.col("h")[i][c].alias(e + c) for i, e in enumerate("ef") for c in XYZ))
+    return found.select("tid", *(F.col("h")[i]["edge"].alias(e) for i, e in enumerate("ef")), *(F.col("h")[i][c].alias(e + c) for i, e in enumerate("ef") for c in XYZ))
 
 
-def section_area(mesh: Mesh, origin, normal) -> DataFrame:
-    """One row (area): area enclosed by the section of a closed surface, from the boundary's moment about the plane's origin.
+def section_loops(mesh: Mesh, origin, normal) -> DataFrame:
+    """(loop, segments, area) of the closed loops in which a plane cuts a surface.
 
-    Each segment is turned so that the surface's outside is on the same hand; holes count as such.
+    Segments meet in the edges that they cut. Each is turned so that it goes on where another one ends (by parities, in few rounds),
+    whichever way the triangles are turned; half the sum of cross products then is the area. Where a loop crosses an edge of more
+    or less than two triangles it isn't closed and is left out.
     """
-    n = np.array(normal, float) / np.linalg.norm(normal)
-    seg = section_segments(mesh, origin, normal).join(mesh.placed_triangles().select("tid", *(k + c for k in "abc" for c in XYZ)), "tid")
-    a, b, c = (g.vector(k + "x", k + "y", k + "z") for k in "abc")
-    face = g.cross(g.sub(b, a), g.sub(c, a))
-    e, f = (g.sub(g.vector(k + "x", k + "y", k + "z"), g.vector(*origin)) for k in "ef")
-    nn = g.vector(*n.tolist())
-    along = g.sub(f, e)
-    turn = F.when(g.dot(g.cross(nn, face), along) >= 0, 1.0).otherwise(-1.0)
-    return seg.agg(F.coalesce(F.abs(F.sum(turn * g.dot(nn, g.cross(e, f)) / 2)), F.lit(0.0)).alias("area"))
+    from .graph import parities
+
+    seg = settled(numbered(section_segments(mesh, origin, normal), "s", "tid"))
+    ends = seg.select("s", F.explode(F.array(F.struct(F.col("e").alias("edge"), F.lit(False).alias("head")), F.struct(F.col("f").alias("edge"), F.lit(True).alias("head")))).alias("p")).select("s", "p.edge", "p.head")
+    meet = ends.groupBy("edge").agg(F.count("*").alias("n"), F.min(F.struct("s", "head")).alias("m"), F.max(F.struct("s", "head")).alias("k"))
+    links = meet.where("n = 2").select(F.col("m.s").alias("a"), F.col("k.s").alias("b"), (F.col("m.head") == F.col("k.head")).alias("odd"))
+    of = settled(parities(links, seg.select(F.col("s").alias("node"))).withColumnRenamed("node", "s"))
+    broken = ends.join(meet.where("n <> 2").select("edge"), "edge", "left_semi").join(of, "s").select("label").distinct()
+    rows = seg.join(of, "s").join(broken, "label", "left_anti")
+    e, f = (g.sub(g.vector(*(k + c for c in XYZ)), g.vector(*origin)) for k in "ef")
+    turn = F.when(F.col("flip"), -1.0).otherwise(1.0)
+    summed = rows.groupBy(F.col("label").alias("loop")).agg(F.count("*").alias("segments"), *(F.sum(turn * v).alias("s" + c) for v, c in zip(g.cross(e, f), XYZ, strict=True)))
+    return summed.select("loop", "segments", (0.5 * g.norm(g.vector("sx", "sy", "sz"))).alias("area"))
+
+
+def section_area(mesh: Mesh, origin, normal) -> DataFrame:
+    """One row (area): that of the largest closed loop in which a plane cuts a surface, 0 without one."""
+    return section_loops(mesh, origin, normal).agg(F.coalesce(F.max("area"), F.lit(0.0)).alias("area"))
 
 
 def nn_statistics(points: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Mesh
-from ..sharing import numbered, settled
+from ..sharing import numbered, removed, settled
 from .spatial import knn, nearest_triangle, radius_join
 
 XYZ = ("x", "y", "z")
@@ -156,24 +158,80 @@ def mesh_distance(voxels: DataFrame, mesh: Mesh, outside_sign: int = 1) -> DataF
     return rows.select(F.col("id").alias("vid"), (F.when(side < 0, -1.0).otherwise(1.0) * F.sqrt("d2") * float(outside_sign)).alias("value"))
 
 
+def layers(known: DataFrame, grid: Grid) -> DataFrame:
+    """(vid, layer) of every voxel: steps to the nearest known voxel (vid), where a step leads to one of the 26 around.
+
+    Steps are the largest difference of the three indexes, so one pass along each axis does: a line of voxels takes the least of
+    max(difference along it, what its places have so far). A line is as long as a side of the grid.
+    """
+    dx, dy, _ = grid.dims
+    rows = known.select((F.col("vid") % dx).cast("int").alias("ix"), (F.floor(F.col("vid") / dx) % dy).cast("int").alias("iy"), F.floor(F.col("vid") / (dx * dy)).cast("int").alias("iz"), F.lit(0).alias("layer"))
+    for axis, n in zip(INDEX, grid.dims, strict=True):
+        others = [i for i in INDEX if i != axis]
+
+        def along(batches: Iterator[pa.RecordBatch], n=n) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for line in range(batch.num_rows):
+                    held = batch.column(2)[line].values
+                    at = np.full(n, np.iinfo(np.int32).max, np.int64)
+                    at[held.field(0).to_numpy()] = held.field(1).to_numpy()
+                    out = pa.array(nearest_along(at).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(line, 1), batch.column(1).slice(line, 1), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), out)], [*others, "line"])
+
+        lines = rows.groupBy(*others).agg(F.collect_list(F.struct(axis, "layer")).alias("held"))
+        rows = lines.mapInArrow(along, f"{others[0]} int, {others[1]} int, line array<int>").select(*others, F.posexplode("line").alias(axis, "layer"))
+    return rows.select(grid.vid().alias("vid"), "layer")
+
+
+def nearest_along(at: np.ndarray) -> np.ndarray:
+    """For each place of a line the least max(distance along the line, number there), by least numbers in windows that double."""
+    n = len(at)
+    table = [at]
+    while (width := 1 << len(table)) <= n:
+        table.append(np.minimum(table[-1][: n - width + 1], table[-1][width // 2 : n - width // 2 + 1]))
+    table = [np.pad(t, (0, n - len(t)), constant_values=np.iinfo(np.int64).max) for t in table]
+    stacked, place = np.stack(table), np.arange(n)
+    low, high = np.zeros(n, np.int64), np.full(n, max(n, 0), np.int64)  # the answer lies in (low - 1, high]; beyond the line it is the least number
+    while (low < high).any():
+        r = (low + high) // 2
+        a, b = np.maximum(place - r, 0), np.minimum(place + r, n - 1)
+        k = np.frexp(b - a + 1.0)[1] - 1
+        least = np.minimum(stacked[k, a], stacked[k, b + 1 - (1 << k)])
+        low, high = np.where(least <= r, low, r + 1), np.where(least <= r, r, high)
+    return np.where(low < n, low, np.maximum(at.min(), n))
+
+
 def mesh_distance_band(grid: Grid, mesh: Mesh, reach: float, outside_sign: int = 1) -> DataFrame:
     """(vid, value): mesh distance within ``reach`` of the points; the rest is flooded from the band, the least voxel id wins.
 
-    A voxel takes the value of the neighbour (26 around) with the least id among those reached in the round before.
+    A voxel takes the value of the neighbour (26 around) with the least id among those one step nearer to the band.
     """
-    spark = mesh.points.sparkSession
-    voxels = grid.voxels(spark)
+    voxels = grid.voxels(mesh.points.sparkSession)
     start = voxels.join(band(mesh.points, grid, reach), "vid", "left_semi")
-    known = front = settled(mesh_distance(start, mesh, outside_sign))
+    return flooded(settled(mesh_distance(start, mesh, outside_sign)), grid)
+
+
+def flooded(known: DataFrame, grid: Grid) -> DataFrame:
+    """(vid, value) of every voxel from the known ones: each points to its neighbour with the least id in the layer before.
+
+    Along these pointers values come by doubling jumps, so tables grow with the logarithm of the layers.
+    """
+    of = settled(layers(known, grid))
     dx, dy = grid.dims[0], grid.dims[1]
-    while front.limit(1).count():
-        f = front.select("vid", "value", (F.col("vid") % dx).alias("ix"), (F.floor(F.col("vid") / dx) % dy).alias("iy"), F.floor(F.col("vid") / (dx * dy)).alias("iz"))
-        for i in INDEX:
-            f = f.withColumn(i, F.explode(F.array(F.col(i) - 1, F.col(i), F.col(i) + 1)))
-        offers = f.where(grid.inside()).groupBy(grid.vid().alias("to")).agg(F.min_by("value", "vid").alias("value"))
-        front = settled(offers.withColumnRenamed("to", "vid").join(known.select("vid"), "vid", "left_anti"))
-        known = settled(known.unionByName(front))
-    return known
+    f = of.select("vid", (F.col("layer") + 1).alias("layer"), (F.col("vid") % dx).alias("ix"), (F.floor(F.col("vid") / dx) % dy).alias("iy"), F.floor(F.col("vid") / (dx * dy)).alias("iz"))
+    for i in INDEX:
+        f = f.withColumn(i, F.explode(F.array(F.col(i) - 1, F.col(i), F.col(i) + 1)))
+    nearer = f.where(grid.inside()).groupBy(grid.vid().alias("to"), "layer").agg(F.min("vid").alias("from"))
+    pointer = of.join(nearer.withColumnRenamed("to", "vid"), ["vid", "layer"], "left").select("vid", "layer", F.when(F.col("layer") == 0, F.col("vid")).otherwise(F.col("from")).alias("to"))
+    jump, reached = settled(pointer), 1
+    most = of.agg(F.max("layer")).first()[0] or 0
+    while reached < most:
+        new = settled(jump.join(jump.select(F.col("vid").alias("to"), F.col("to").alias("to2")), "to").select("vid", F.col("to2").alias("to")))
+        removed(jump)
+        jump, reached = new, 2 * reached
+    out = settled(jump.join(known.select(F.col("vid").alias("to"), "value"), "to").select("vid", "value"))
+    removed(of, jump)
+    return out
 
 
 def trilinear(points: DataFrame, voxels: DataFrame, grid: Grid, clamp: bool = True) -> DataFrame:

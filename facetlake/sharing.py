@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark's setting to remove an execution's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: an execution's shuffle files go when it ends, and Arrow batches are bounded by bytes, so that
+#: rows of any length take little memory beside the heap.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +41,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
 
-    What was shuffled for it is removed once the table is there, as nothing reads it again.
+    What was shuffled for it is removed once the table is there, as nothing reads it again. The session's settings in ``WRITING``
+    are as they were afterwards; threads that share a session should not write at the same time.
     """
     spark = df.sparkSession
-    path, before = new_folder(spark, name), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    path, before = new_folder(spark, name), {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table._facetlake_folder = path
     return table

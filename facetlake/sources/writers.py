@@ -33,27 +33,34 @@ def short(x: Column, digits: int = 8) -> Column:
 
 
 def save_file(rows: DataFrame, path: str, *order: str) -> None:
-    """Column ``value`` (binary) as one file, in order; it appears under its name when it is whole.
+    """Column ``value`` (binary) as one file, in order; it appears under its name when it is whole, in place of one that was there.
 
-    A surface format is one file, so one task writes it as a stream; the sort before it is spread and may spill.
+    A surface format is one file, so one task writes it as a stream; the sort before it is spread and may spill. Each attempt of
+    the task has a draft of its own; the driver gives the name to the one whose attempt counts and removes the others.
     """
     spark = rows.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = files.makeQualified(at).toString()
     uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    folder = f"{uri}.{uuid.uuid4().hex}.tmp"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, name = fs.FileSystem.from_uri(uri)
-        files.create_dir(name.rpartition("/")[0], recursive=True)
-        draft, n = f"{name}.{uuid.uuid4().hex}.tmp", 0
-        with files.open_output_stream(draft, compression=None) as out:
+        files, name = fs.FileSystem.from_uri(folder)
+        files.create_dir(name, recursive=True)
+        draft, n = uuid.uuid4().hex, 0
+        with files.open_output_stream(f"{name}/{draft}", compression=None) as out:
             for batch in batches:
                 for value in batch.column(0):
                     n += out.write(value.as_py())
-        files.move(draft, name)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    rows.orderBy(*order).select("value").coalesce(1).mapInArrow(run, "n long").collect()
+        yield pa.RecordBatch.from_arrays([pa.array([draft]), pa.array([n], pa.int64())], ["draft", "n"])
+
+    drafts = rows.orderBy(*order).select("value").coalesce(1).mapInArrow(run, "draft string, n long").collect()  # one row
+    held = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files.delete(at, False)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{drafts[0]['draft']}"), at):
+        raise OSError(f"can't move the file to {path}")
+    files.delete(held, True)
 
 
 def save_lines(lines: DataFrame, path: str, *order: str) -> None:
