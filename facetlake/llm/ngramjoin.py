@@ -41,6 +41,8 @@ HUB_ROUNDS = 4
 BLOCK = 512
 #: Classes of a bucket from which on further hubs are tried before the exact rest.
 HUB_BUCKET = 64
+#: Pairs of one class that meet its signature or n-grams under one key; those of a hub are dealt to copies of it.
+DEALT = 1024
 #: Least and most bits of a set's signature, by which most candidate pairs are ruled out before any n-grams move.
 LEAST_BITS, MOST_BITS = 512, 1 << 17
 #: Rows up to which ids may be broadcast.
@@ -176,9 +178,26 @@ def frequent(texts: DataFrame, n: int) -> tuple[Counts, Counts]:
         total = mine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         kept = mine.where(F.col("n") >= max(FREQUENT, -(-total // FREQUENT_KEPT))).select("hash", "n").toArrow()
         out.append(Counts(kept.column("hash").to_numpy(), kept.column("n").to_numpy()))
+    removed(counts)
     return out[0], out[1]
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """(hub, copies) of the classes with over DEALT pairs, for ``met``: one in so many pairs at most."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("hub")).groupBy("hub").agg(F.count("*").alias("n"))
+    return written(ends.where(F.col("n") > DEALT).select("hub", F.ceil(F.col("n") / DEALT).cast("int").alias("copies")), "hubs")
+
+
+def met(pairs: DataFrame, x: str, rows: DataFrame, hubs: DataFrame, on: list[str]) -> DataFrame:
+    """``pairs`` joined on ``on`` with ``rows``, both with the class in column ``x``; pairs of a hub meet copies of its rows."""
+    few = F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs
+    copies = F.coalesce("copies", F.lit(1))
+    other = "a" if x == "b" else "b"
+    left = pairs.join(few.withColumnRenamed("hub", x), x, "left").withColumn("_copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
+    right = rows.join(few.withColumnRenamed("hub", x), x, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return left.join(right, [*on, "_copy"]).drop("_copy")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, component): the least key reachable, for the keys in ``links`` (a, b), by least neighbours and pointer jumps."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -189,6 +208,7 @@ def components(links: DataFrame) -> DataFrame:
         jumped = written(nearer.join(labels.select(F.col("cid").alias("via"), F.col("component").alias("to")), "via").select("cid", "old", F.least("via", "to").alias("component")), "labels")
         removed(kept)
         labels, kept = jumped.select("cid", "component"), jumped
+        labels._facetlake_folder = kept._facetlake_folder
         if not jumped.where("component <> old").limit(1).count():
             removed(edges)
             return labels
@@ -263,10 +283,14 @@ class Join:
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The distinct pairs (a, b, na, nb) whose signatures allow a link."""
         found = written(pairs.select("a", "b").distinct(), "pairs")
+        hubs = dealt(found)
         ids = written(found.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ids")
         some = self.classes.join(F.broadcast(ids), "cid", "left_semi") if ids.count() <= BROADCAST_ROWS else self.classes
         of = lambda x: some.select(F.col("cid").alias(x), F.col("n").alias(x + "n"), F.col("signature").alias(x + "signature"))
-        return found.join(of("a"), "a").join(of("b"), "b").where(self.alike("a", "b")).select("a", "b", F.col("an").alias("na"), F.col("bn").alias("nb"))
+        both = met(met(found, "a", of("a"), hubs, ["a"]), "b", of("b"), hubs, ["b"])
+        out = written(both.where(self.alike("a", "b")).select("a", "b", F.col("an").alias("na"), F.col("bn").alias("nb")), "possible")
+        removed(found, hubs, ids)
+        return out
 
     def pairs_within(self, buckets: DataFrame) -> DataFrame:
         """(a, b) of the classes of different components that meet in a small bucket and may be linked; a pair may come several times."""
@@ -319,31 +343,32 @@ class Join:
 
     def fragments(self, cids: DataFrame) -> DataFrame:
         """(cid, fragment, grams) of some classes; the text of a class is cut once, when it is first needed."""
-        new = written(cids, "cids")
+        asked = new = written(cids, "cids")
         for part in self.parts:
             new = new.join(part.select("cid").distinct(), "cid", "left_anti")
         if not self.parts or new.limit(1).count():
             self.parts.append(self.segments(new))
+        removed(asked)
         every = self.parts[0]
         for part in self.parts[1:]:
             every = every.unionByName(part)
         return every
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, na, nb) that are links, with their overlap: partial overlaps of fragments, summed."""
-        pairs = written(pairs, "pairs")
-        parts = self.fragments(ends(pairs))
+        """The pairs (a, b, na, nb; a written table, which goes) that are links, with their overlap: partial overlaps of fragments, summed."""
+        parts, hubs, sides = self.fragments(ends(pairs)), dealt(pairs), []
 
         def parts_of(x: str) -> DataFrame:
             """The fragments of the classes on one side; few are picked before anything is shuffled."""
             cids = written(pairs.select(F.col(x).alias("cid")).distinct(), "cids")
+            sides.append(cids)
             mine = parts.join(F.broadcast(cids), "cid", "left_semi") if cids.count() <= BROADCAST_ROWS else parts
             return mine.select(F.col("cid").alias(x), "fragment", F.col("grams").alias("g" + x))
 
-        partial = pairs.join(parts_of("a"), "a").join(parts_of("b"), ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
+        partial = met(met(pairs, "a", parts_of("a"), hubs, ["a"]), "b", parts_of("b"), hubs, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         found = written(summed.where(self.den * F.col("common") >= self.num * (F.col("na") + F.col("nb") - F.col("common"))), "links")
-        removed(pairs)
+        removed(pairs, hubs, *sides)
         return found
 
     def all_links(self) -> DataFrame:
@@ -390,12 +415,13 @@ class Join:
             new = self.linked(self.possible(pairs))
             if not new.limit(1).count():
                 break
-            found = written(found.unionByName(new), "found")
+            some, found = found, written(found.unionByName(new), "found")
+            removed(some, new, known)
             known = components(found)
         rest = self.unsettled(large, known)
         new = self.linked(self.possible(self.pairs_in_blocks(rest)))
-        found = written(found.unionByName(new), "found")
-        removed(rest, *self.parts)
+        some, found = found, written(found.unionByName(new), "found")
+        removed(rest, some, new, *self.parts)
         return found
 
 

@@ -13,14 +13,17 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Sink:
-    """A file that appears under its name only when it is closed; a retried task leaves at most a nameless rest."""
+    """A new file whose name has a part of its own for each attempt, so that no attempt of a task writes or moves what another has.
+
+    Which files count is what the manifest says; files of attempts that failed are in none.
+    """
 
     def __init__(self, folder: str, name: str):
-        self.uri = f"{folder}/{name}"
-        self.fs, self.path = opened(self.uri)
-        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.draft = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.stream = self.fs.open_output_stream(self.draft, compression=None)
+        stem, dot, kind = name.partition(".")
+        self.uri = f"{folder}/{stem}-{uuid.uuid4().hex}{dot}{kind}"
+        self.fs, path = opened(self.uri)
+        self.fs.create_dir(path.rpartition("/")[0], recursive=True)
+        self.stream = self.fs.open_output_stream(path, compression=None)
 
     def write(self, data: bytes) -> int:
         return self.stream.write(data)
@@ -33,4 +36,3 @@ class Sink:
 
     def close(self) -> None:
         self.stream.close()
-        self.fs.move(self.draft, self.path)
