@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
+#: Rows after which a page of a written table is measured: rows with long lists would otherwise make pages of many megabytes, and
+#: buffers of their size outside the heap.
+PAGE_ROWS = 2
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share: ``spark.checkpoint.dir``, read as Spark reads paths.
 
@@ -49,7 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     for k, v in WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.page.size.row.check.min", PAGE_ROWS).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
