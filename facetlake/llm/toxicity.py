@@ -78,29 +78,66 @@ def classes(text: str) -> np.ndarray:
     return _TABLE[0][np.minimum(points, 0xFFFF)]
 
 
-def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(cell, n): counts of the trigrams of character classes in all texts; there are CLASSES ** 3 cells at most."""
+def corpus_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(cell, word, n): how often each trigram of character classes is in all texts (``CLASSES`` ** 3 cells at most), and how many
+    texts each word of letters is in, lower-cased. One of cell and word is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                c = classes("  " + text.lower() + " ")
+            texts = [t.lower() for t in batch.column(0).to_pylist()]
+            for text in texts:
+                c = classes("  " + text + " ")
                 total += np.bincount(c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:], minlength=CLASSES**3)
+            words, n = words_of(texts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), words, pa.array(n, pa.int64())], ["cell", "word", "n"])
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.nulls(len(cells), pa.string()), pa.array(total[cells])], ["cell", "word", "n"])
 
-    return df.select(text_of(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return df.select(text_of(text_col).alias("text")).mapInArrow(run, "cell int, word string, n long").groupBy("cell", "word").agg(F.sum("n").alias("n"))
 
 
-def known_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word): the lower-case words, of ``LONGEST`` letters at most, of at least ``KNOWN_SHARE`` of all texts.
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words (runs of letters) of some texts, and in how many of them each is."""
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    whole = "\n".join([*texts, ""])
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    letter = letters()[np.minimum(points, 0xFFFF)]
+    for i in np.flatnonzero(points > 0xFFFF).tolist():
+        letter[i] = chr(points[i]).isalpha()
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+    data = np.frombuffer(whole.encode(), np.uint8)[np.repeat(letter, width)]
+    ends = np.append(0, np.cumsum(width[letter], dtype=np.int64))
+    at = np.append(ends[np.flatnonzero(begins[letter])], len(data)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+    doc = np.searchsorted(np.cumsum(sizes), np.flatnonzero(begins), "right")
+    both = np.unique(doc * max(1, len(found.dictionary)) + found.indices.to_numpy())
+    return found.dictionary, np.bincount(both % max(1, len(found.dictionary)), minlength=len(found.dictionary))
 
-    There are fewer than a text has words on average divided by KNOWN_SHARE, whatever the number of texts.
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """Whether each code point of the basic plane is a letter."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x10000)]))
+    return _LETTERS[0]
+
+
+def learned(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, frozenset[str]]:
+    """The character model of all texts, and the words, of ``LONGEST`` letters at most, that ``KNOWN_SHARE`` of all texts know.
+
+    Of such words there are fewer than a text has words on average divided by KNOWN_SHARE, whatever the number of texts.
     """
     least = max(KNOWN_TEXTS, math.ceil(KNOWN_SHARE * df.count()))
-    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
-    return words.where(F.length("word") <= LONGEST).groupBy("word").count().where(F.col("count") >= least).select("word")
+    counts = written(corpus_counts(df, text_col).where(F.col("word").isNull() | (F.col("n") >= least) & (F.length("word") <= LONGEST)), "corpus")
+    cells = counts.where("word is null").toArrow()
+    known = frozenset(counts.where("word is not null").select("word").toArrow().column("word").to_pylist())
+    removed(counts)
+    return log_model(cells.column("cell").to_numpy(), cells.column("n").to_numpy()), known
 
 
 def log_model(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -320,51 +357,47 @@ class Restorer:
             i += took
         return out
 
-    def plain(self, chunks: list[str]) -> list[bool]:
-        """Whether a chunk is one word, with signs of a sentence around it, that nothing is to be restored in."""
-        known, doubled = self.known, DOUBLED.search
-        return [b.isalpha() and (b in known or not doubled(b)) for b in (c.strip(PLAIN_EDGES) for c in chunks)]
-
-    def joined(self, codes: np.ndarray, doc: np.ndarray, chunks: list[str], plain: list[bool]) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    def joined(self, codes: np.ndarray, doc: np.ndarray, chunks: list[str], words: list[str], plain: list[bool], odd: list[bool]) -> tuple[np.ndarray, list[tuple[int, str]]]:
         """As ``chunks`` puts split words together, for a block of texts: which places stay, and (text, word) of the words made.
 
-        ``codes`` are places in the list of the block's distinct chunks, ``doc`` the text that each belongs to.
+        ``codes`` are places in the list of the block's distinct chunks, ``doc`` the text that each belongs to; ``words`` are what
+        the plain chunks hold, ``odd`` says which of these isn't known. Both lists get what the others hold.
         """
         kept, more = np.ones(len(codes), bool), []
         if not self.known or not len(codes):
             return kept, more
         known, prefixes = self.known, self.prefixes
-        parts = [None if p else self.part(c) for c, p in zip(chunks, plain, strict=True)]
-        words = [c.strip(PLAIN_EDGES) if p is None else p[0] for c, p in zip(chunks, parts, strict=True)]
-        odd = np.array([bool(w) and w not in known and c not in known for c, w in zip(chunks, words, strict=True)])[codes]
-        if not odd.any():
+        for i, p in enumerate(plain):
+            if not p:
+                words[i], odd[i] = self.part(chunks[i])[:2]
+        strange = np.array([o and c not in known for o, c in zip(odd, chunks, strict=True)])[codes]
+        if not strange.any():
             return kept, more
-        near = odd.copy()
+        near = strange.copy()
         for k in range(1, PARTS):
-            near[:-k] |= odd[k:] & (doc[k:] == doc[:-k])
+            near[:-k] |= strange[k:] & (doc[k:] == doc[:-k])
         goes_on = [c[-1:] not in EDGES for c in chunks]
-        follows = np.array([c[:1] not in EDGES and bool(w) for c, w in zip(chunks, words, strict=True)])[codes]
-        ready = near & np.array([g and w in prefixes and bool(w) for g, w in zip(goes_on, words, strict=True)])[codes]
-        ready[:-1] &= follows[1:] & (doc[1:] == doc[:-1])
-        ready[-1] = False
-        last = 0
+        follows = np.array([w != "" and c[0] not in EDGES for c, w in zip(chunks, words, strict=True)])[codes]
+        same = np.append(doc[1:] == doc[:-1], False)
+        ready = near & same & np.append(follows[1:], False) & np.array([g and w in prefixes and w != "" for g, w in zip(goes_on, words, strict=True)])[codes]
+        last, n, place, text, open_ = 0, len(codes), codes.tolist(), doc.tolist(), follows.tolist()
         for i in np.flatnonzero(ready).tolist():
             if i < last:
                 continue
-            at, best, took = codes[i], None, 1
-            whole, some, goes = words[at], words[at] not in known, True
-            for k in range(i + 1, min(len(codes), i + PARTS)):
-                if doc[k] != doc[i] or not (goes and follows[k]):
+            at, best, took = place[i], None, 1
+            whole, some, goes = words[at], odd[at], True
+            for k in range(i + 1, min(n, i + PARTS)):
+                if text[k] != text[i] or not (goes and open_[k]):
                     break
-                at = codes[k]
-                whole, some, goes = whole + words[at], some or words[at] not in known, goes_on[at]
+                at = place[k]
+                whole, some, goes = whole + words[at], some or odd[at], goes_on[at]
                 if some and len(whole) >= LEAST_JOINED and whole in known:
                     best, took = whole, k - i + 1
                 elif whole not in prefixes:
                     break
             if best:
                 kept[i : i + took] = False
-                more.append((int(doc[i]), best))
+                more.append((text[i], best))
                 last = i + took
         return kept, more
 
@@ -390,6 +423,7 @@ class Scorer:
     def __init__(self, restorer: Restorer, features: dict[str, int] | None):
         self.restorer, self.known = restorer, features
         self.heads = None if features is None else {f[: BEGINNINGS[0]] for f in features if f[0] != "="}
+        self.wholes = None if features is None else {f[1:] for f in features if f[0] == "="}
         self.cache = Cache()
 
     def names(self, chunk: str) -> tuple:
@@ -418,7 +452,7 @@ class Scorer:
 
     def scores(self, texts: list[str], model: Model) -> np.ndarray:
         """As ``probability`` of ``count`` for each text of a block: what is between blanks is looked at once a block."""
-        restorer = self.restorer
+        restorer, heads, wholes = self.restorer, self.heads, self.wholes
         self.cache.trim()
         restorer.parts.trim()
         tokens = []
@@ -431,9 +465,12 @@ class Scorer:
         doc = np.repeat(np.arange(len(tokens)), sizes)
         found = pa.array([t for some in tokens for t in some], pa.string()).dictionary_encode()
         codes, chunks = found.indices.to_numpy(), found.dictionary.to_pylist()
-        plain = restorer.plain(chunks)
-        kept, more = restorer.joined(codes, doc, chunks, plain)
-        names = [self.word_names(c.strip(PLAIN_EDGES)) if p else self.known_names(c) for c, p in zip(chunks, plain, strict=True)]
+        words, doubled, known = [c.strip(PLAIN_EDGES) for c in chunks], DOUBLED.search, restorer.known
+        seen = list(map(known.__contains__, words))
+        plain = [w.isalpha() and (k or not doubled(w)) for w, k in zip(words, seen, strict=True)]  # nothing to restore in one word
+        bare = list(words)
+        kept, more = restorer.joined(codes, doc, chunks, words, plain, [not k for k in seen])
+        names = [() if p and w[: BEGINNINGS[0]] not in heads and w not in wholes else self.word_names(w) if p else self.known_names(c) for c, w, p in zip(chunks, bare, plain, strict=True)]
         held = np.array([bool(n) for n in names] or [False])
         at = np.flatnonzero(kept & held[codes]) if len(codes) else np.zeros(0, np.int64)
         width = np.fromiter(map(len, names), np.int64, len(names))
@@ -556,9 +593,7 @@ def train(df: DataFrame, labels: DataFrame, fit_rows: int = 6000, id_col: str =
     The sample is a bound of what is learned from: the ids with the least hash, one text of each (that with the least MD5). Null
     texts, ids and labels are left out of it. Tasks restore and count the texts; the driver holds the counts of the features kept.
     """
-    cells = trigram_counts(df, text_col).toArrow()
-    trigrams = log_model(cells.column("cell").to_numpy(), cells.column("n").to_numpy())
-    known = frozenset(known_words(df, text_col).toArrow().column("word").to_pylist())
+    trigrams, known = learned(df, text_col)
     given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where((F.crc32(F.col("_id").cast("string")) % 5 != 0) & F.col("_label").isin(0, 1))
     given = given.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = df.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("_text")).where("_text is not null").join(F.broadcast(given), F.col("_doc") == F.col("_id"))

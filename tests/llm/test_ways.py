@@ -93,3 +93,16 @@ def test_long_spaced_stretch_takes_linear_time():
         assert restorer.known_reading(" ".join("idiot" * n)) == " ".join(["idiot"] * n)
         took.append(time.process_time() - began)
     assert took[1] < 24 * took[0] + 0.5
+
+
+def test_words_of_texts():
+    import re
+    from collections import Counter
+
+    rng = random.Random(6)
+    parts = ["word", "Wörter", "日本", "x1y", "\U0001d4d0b", "\U0001f600", " ", "\n", "-", "_", "é", "", "don't", "A"]
+    texts = ["", "a", *("".join(rng.choices(parts, k=rng.randint(0, 12))).lower() for _ in range(60))]
+    words, n = toxicity.words_of(texts)
+    expected = Counter(w for t in texts for w in set(re.findall(r"[^\W\d_]+", t)))
+    assert dict(zip(words.to_pylist(), n.tolist(), strict=True)) == expected
+    assert toxicity.words_of([])[0].to_pylist() == [] and toxicity.words_of([""])[0].to_pylist() == []
