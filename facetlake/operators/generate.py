@@ -130,14 +130,22 @@ def pca_blob(spark: SparkSession, points: DataFrame, res: int = 50) -> Mesh:
     return apply_transform(sphere(spark, theta_res=res, phi_res=res), principal_transform(points, scaled=True))
 
 
+def stamped(shape: Mesh, at: DataFrame) -> Mesh:
+    """A shape, sized and moved, at each of the rows (of, cx, cy, cz, size); the shape is small and its ids are dense from 0.
+
+    Point and cell ids are those of the shape after ``of`` times their number, so that equal shapes stay apart.
+    """
+    n, m = shape.points.count(), shape.cells.count()
+    more = [c for c in ("nx", "ny", "nz") if shape.has_normals]
+    at = at.select("of", "cx", "cy", "cz", "size")
+    points = at.join(F.broadcast(shape.points)).select((F.col("of") * n + F.col("pid")).alias("pid"), *((F.col("c" + c) + F.col("size") * F.col(c)).alias(c) for c in "xyz"), *more)
+    cells = at.join(F.broadcast(shape.cells)).select((F.col("of") * m + F.col("cid")).alias("cid"), "kind", F.transform("pids", lambda p: F.col("of") * n + p).alias("pids"))
+    return Mesh(points, cells)
+
+
 def glyphs(mesh: Mesh, radius: float = 0.0, res: int = 20) -> Mesh:
     """A sphere at every point; radius 0 stands for 0.5 % of the diagonal of the bounds. The sphere's size is fixed by ``res``."""
-    spark = mesh.points.sparkSession
-    ball = sphere(spark, 1.0, theta_res=res, phi_res=res)
-    n, m = (res - 2) * res + 2, 2 * (res - 3) * res + 2 * res
+    ball = sphere(mesh.points.sparkSession, 1.0, theta_res=res, phi_res=res)
     box = mesh.points.agg(*(F.max(c) - F.min(c) for c in "xyz")).toDF("dx", "dy", "dz")
-    size = box.select((F.lit(float(radius)) if radius > 0 else 0.005 * F.sqrt(F.expr("dx * dx + dy * dy + dz * dz"))).alias("r"))
-    at = mesh.points.select(F.col("pid").alias("of"), *(F.col(c).alias("c" + c) for c in "xyz"))
-    points = at.join(F.broadcast(ball.points)).join(F.broadcast(size)).select((F.col("of") * n + F.col("pid")).alias("pid"), *((F.col("c" + c) + F.col("r") * F.col(c)).alias(c) for c in "xyz"), "nx", "ny", "nz")
-    cells = at.join(F.broadcast(ball.cells)).select((F.col("of") * m + F.col("cid")).alias("cid"), "kind", F.transform("pids", lambda p: F.col("of") * n + p).alias("pids"))
-    return Mesh(points, cells)
+    size = box.select((F.lit(float(radius)) if radius > 0 else 0.005 * F.sqrt(F.expr("dx * dx + dy * dy + dz * dz"))).alias("size"))
+    return stamped(ball, mesh.points.select(F.col("pid").alias("of"), *(F.col(c).alias("c" + c) for c in "xyz")).join(F.broadcast(size)))

@@ -15,7 +15,7 @@ from ..functions import geometry as g
 from ..functions import statistics as st
 from ..functions import text as tx
 from ..model import Mesh, cloud
-from ..operators import clip, generate, graph, measure, project, register, sets, spatial, volume
+from ..operators import clip, decimate, generate, graph, measure, project, register, sets, spatial, volume
 
 XYZ = ("x", "y", "z")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,21 +463,22 @@ def feature_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fins(spark: SparkSession, sf_dir: str) -> Mesh:
-    """The mesh with one more triangle on each edge from a point to the next, so most edges have three cells."""
+    """The mesh with each triangle whose first point has scalar 0 there once more, turned, so that its edges have more than two cells."""
     m = strip_mesh(spark, sf_dir)
     top = m.cells.agg((F.max("cid") + 1).alias("top"))
-    fins = m.cells.join(F.broadcast(top)).select((F.col("cid") + F.col("top")).alias("cid"), "kind", F.array(F.get("pids", F.lit(1)), F.get("pids", F.lit(2)), F.get("pids", F.lit(0))).alias("pids"))
-    return Mesh(m.points, m.cells.unionByName(fins.where(F.col("cid") % 5 == 0)))
+    first = m.points.where("scalar = 0").select(F.col("pid").alias("cid"))
+    fins = m.cells.join(first, "cid", "left_semi").join(F.broadcast(top)).select((F.col("cid") + F.col("top")).alias("cid"), "kind", F.array(F.get("pids", F.lit(1)), F.get("pids", F.lit(2)), F.get("pids", F.lit(0))).alias("pids"))
+    return Mesh(m.points, m.cells.unionByName(fins))
 
 
-@query(f"""WITH {CLOUD}, {TRI}, x AS (SELECT max(cid) + 1 AS top FROM t), t2 AS (SELECT cid, a, b, c FROM t UNION ALL SELECT cid + top, b, c, a FROM t, x WHERE (cid + top) % 5 = 0),
+@query(f"""WITH {CLOUD}, {TRI}, x AS (SELECT max(cid) + 1 AS top FROM t), t2 AS (SELECT cid, a, b, c FROM t UNION ALL SELECT cid + top, b, c, a FROM x, t JOIN p ON p.pid = t.cid WHERE scalar = 0),
 e AS (SELECT cid, least(a, b) AS u, greatest(a, b) AS v FROM t2 UNION ALL SELECT cid, least(b, c), greatest(b, c) FROM t2 UNION ALL SELECT cid, least(a, c), greatest(a, c) FROM t2), n AS (SELECT u, v FROM e GROUP BY u, v HAVING count(*) > 2)
 SELECT cid FROM t2 WHERE cid NOT IN (SELECT e.cid FROM e JOIN n ON e.u = n.u AND e.v = n.v)""")
 def remove_non_manifold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.remove_non_manifold(_fins(spark, sf_dir)).cells.select("cid")
 
 
-@query(f"WITH {CLOUD}, {TRI}, x AS (SELECT max(cid) + 1 AS top FROM t) SELECT cid AS i, cid + top AS j FROM t, x WHERE (cid + top) % 5 = 0 UNION ALL SELECT cid + top, cid FROM t, x WHERE (cid + top) % 5 = 0")
+@query(f"WITH {CLOUD}, {TRI}, x AS (SELECT max(cid) + 1 AS top FROM t) SELECT cid AS i, cid + top AS j FROM x, t JOIN p ON p.pid = t.cid WHERE scalar = 0 UNION ALL SELECT cid + top, cid FROM x, t JOIN p ON p.pid = t.cid WHERE scalar = 0")
 def contained_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip.contained_pairs(_fins(spark, sf_dir))
 
@@ -501,15 +502,24 @@ def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.vertex_normals(strip_mesh(spark, sf_dir)).points.select("pid", "nx", "ny", "nz"), digits=5)
 
 
-@query(f"""WITH {CLOUD}, {TRI}, {EDGES}, d AS (SELECT DISTINCT u, v FROM e) SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM d) AS points, (SELECT 4 * count(*) FROM t) AS cells""")
+#: Edges of the mesh numbered as new points: k (u, v, w1, w2, n, pid), in the order of their ends.
+MIDDLES = """f AS (SELECT least(a, b) AS u, greatest(a, b) AS v, c AS w FROM t UNION ALL SELECT least(b, c), greatest(b, c), a FROM t UNION ALL SELECT least(a, c), greatest(a, c), b FROM t),
+g AS (SELECT u, v, min(w) AS w1, max(w) AS w2, count(*) AS n FROM f GROUP BY u, v),
+k AS MATERIALIZED (SELECT *, (SELECT max(pid) FROM p) + row_number() OVER (ORDER BY u, v) AS pid FROM g)"""
+
+
+@query(f"""WITH {CLOUD}, {TRI}, {MIDDLES} SELECT pid, {r6(*XYZ)} FROM p UNION ALL SELECT k.pid, {r6(*(f"(a.{c} + b.{c}) / 2 AS {c}" for c in XYZ))} FROM k JOIN p a ON a.pid = u JOIN p b ON b.pid = v""")
 def subdivide_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = graph.subdivide(strip_mesh(spark, sf_dir))
-    return m.points.agg(F.count("*").alias("points")).join(F.broadcast(m.cells.agg(F.count("*").alias("cells"))))
+    return rounded(graph.subdivide(strip_mesh(spark, sf_dir)).points.select("pid", *XYZ))
 
 
-@query()
+@query(f"""WITH {CLOUD}, {TRI}, {MIDDLES}, o AS (SELECT u AS pid, v AS o, n FROM k UNION ALL SELECT v, u, n FROM k),
+r AS (SELECT o.pid, count(*) AS n, count(*) FILTER (o.n = 1) AS nb, {", ".join(f"sum(q.{c}) AS s{c}, coalesce(sum(q.{c}) FILTER (o.n = 1), 0) AS rim{c}" for c in XYZ)} FROM o JOIN p q ON q.pid = o.o GROUP BY o.pid),
+h AS (SELECT *, (0.625 - (0.375 + cos(2 * pi() / n) / 4) ** 2) / n AS beta FROM r)
+SELECT p.pid, {r6(*(f"CASE WHEN n IS NULL THEN {c} WHEN nb = 2 THEN 0.75 * {c} + rim{c} / 8 WHEN nb > 0 THEN {c} ELSE {c} * (1 - n * beta) + beta * s{c} END AS {c}" for c in XYZ))} FROM p LEFT JOIN h USING (pid)
+UNION ALL SELECT k.pid, {r6(*(f"CASE WHEN n = 2 THEN (3 * (a.{c} + b.{c}) + d.{c} + e.{c}) / 8 ELSE (a.{c} + b.{c}) / 2 END AS {c}" for c in XYZ))} FROM k JOIN p a ON a.pid = u JOIN p b ON b.pid = v JOIN p d ON d.pid = w1 JOIN p e ON e.pid = w2""")
 def subdivide_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.subdivide(strip_mesh(spark, sf_dir), "loop").points
+    return rounded(graph.subdivide(strip_mesh(spark, sf_dir), "loop").points.select("pid", *XYZ))
 
 
 @query()
@@ -544,24 +554,66 @@ def cluster_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cluster_decimate(strip_mesh(spark, sf_dir)).points
 
 
+@query()
+def quadric_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decimate.decimate(strip_mesh(spark, sf_dir), 0.5).points
+
+
 @query()
 def close_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.close_holes(strip_mesh(spark, sf_dir), 10**9).cells
 
 
-@query()
+@query(f"""WITH {CLOUD}, {TRI}, {EDGES}, n AS (SELECT pid AS u, pid AS v FROM p JOIN e ON pid = u OR pid = v WHERE z > 0 UNION SELECT u, v FROM e JOIN p a ON a.pid = u JOIN p b ON b.pid = v WHERE (a.z > 0) <> (b.z > 0)),
+c AS (SELECT u, v, CASE WHEN u = v THEN 0 ELSE a.z / (a.z - b.z) END AS s, a, b FROM n JOIN p a ON a.pid = u JOIN p b ON b.pid = v)
+SELECT row_number() OVER (ORDER BY u, v) - 1 AS pid, {r6(*(f"a.{c} + s * (b.{c} - a.{c}) AS {c}" for c in (*XYZ, "scalar")))} FROM c""")
 def plane_cut_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clip.cut_with_plane(strip_mesh(spark, sf_dir), (0, 0, 0), (0, 0, 1)).points
+    return rounded(clip.cut_with_plane(strip_mesh(spark, sf_dir), (0, 0, 0), (0, 0, 1)).points.select("pid", *XYZ, "scalar"))
 
 
-@query()
+def tetrahedra(spark: SparkSession, sf_dir: str) -> Mesh:
+    """A closed tetrahedron over each four consecutive points, with points of its own: corner j of tetrahedron t is point 4 t + j."""
+    points = embedded(spark, sf_dir).select("pid", *XYZ)
+    ids = points.select("pid")
+    for j in (1, 2, 3):
+        ids = ids.join(points.select((F.col("pid") - j).alias("pid")), "pid", "left_semi")
+    own = ids.select(F.col("pid").alias("t"), F.explode(F.array(*(F.lit(j) for j in range(4)))).alias("j"))
+    placed = own.withColumn("pid", F.col("t") + F.col("j")).join(points, "pid").select((4 * F.col("t") + F.col("j")).alias("pid"), *XYZ)
+    faces = F.posexplode(F.array(*(F.array(*(4 * F.col("pid") + k for k in f)) for f in ((0, 1, 2), (0, 3, 1), (0, 2, 3), (1, 3, 2))))).alias("f", "pids")
+    cells = ids.select("pid", faces).select((4 * F.col("pid") + F.col("f")).alias("cid"), F.lit("polys").alias("kind"), "pids")
+    return Mesh(placed, cells)
+
+
+def _crossed(u: int, d: int) -> tuple[str, str]:
+    """Where the plane z = 0 cuts the edge between the corners u and d of v, in SQL."""
+    s = f"(v[{u}].z / (v[{u}].z - v[{d}].z))"
+    return tuple(f"(v[{u}].{c} + {s} * (v[{d}].{c} - v[{u}].{c}))" for c in "xy")
+
+
+def _shoelace(*corners: tuple[str, str]) -> str:
+    terms = (f"{p[0]} * {q[1]} - {q[0]} * {p[1]}" for p, q in zip(corners, (*corners[1:], corners[0]), strict=True))
+    return f"abs({' + '.join(terms)}) / 2"
+
+
+@query(f"""WITH {CLOUD}, c AS (SELECT list_reverse(list_sort([{", ".join("{'z': %s.z, 'x': %s.x, 'y': %s.y}" % (k, k, k) for k in "abcd")}])) AS v FROM p a JOIN p b ON b.pid = a.pid + 1 JOIN p c ON c.pid = a.pid + 2 JOIN p d ON d.pid = a.pid + 3),
+n AS (SELECT v, len(list_filter(v, lambda q: q.z > 0)) AS up FROM c)
+SELECT round(coalesce(max(CASE up WHEN 1 THEN {_shoelace(_crossed(1, 2), _crossed(1, 3), _crossed(1, 4))} WHEN 3 THEN {_shoelace(_crossed(1, 4), _crossed(2, 4), _crossed(3, 4))}
+WHEN 2 THEN {_shoelace(_crossed(1, 3), _crossed(1, 4), _crossed(2, 4), _crossed(2, 3))} END), 0), 6) AS area FROM n WHERE up BETWEEN 1 AND 3""")
 def section_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.section_area(strip_mesh(spark, sf_dir), (0, 0, 0), (0, 0, 1))
+    return rounded(measure.section_area(tetrahedra(spark, sf_dir), (0, 0, 0), (0, 0, 1)))
 
 
-@query()
+_REPORTED = {
+    "points": "count(*)", "scalar_min": "min(scalar)", "scalar_max": "max(scalar)", "scalar_mean": "avg(scalar)", "scalar_sdev": "stddev_pop(scalar)", "scalar_rms": "sqrt(avg(scalar * scalar))",
+    **{f"{n}_{c}": f"{n}({c})" for c in XYZ for n in ("min", "max")}, "volume": "(max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z))",
+    **{f"scalar_{n}": f"list_sort(list(scalar))[1 + floor(count(*) * {k})::INT]" for n, k in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))},
+}
+
+
+@query(f"""WITH {CLOUD}, {TRI} SELECT 'arrays' AS section, 'scalar' AS key, 1.0::DOUBLE AS value UNION ALL SELECT 'cells', 'polys', count(*)::DOUBLE FROM t UNION ALL
+SELECT 'points', unnest([{", ".join(f"'{k}'" for k in _REPORTED)}]), unnest([{", ".join(f"round(({v})::DOUBLE, 6) + 0.0" for v in _REPORTED.values())}]) FROM p""")
 def mesh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.mesh_report(strip_mesh(spark, sf_dir))
+    return rounded(measure.mesh_report(strip_mesh(spark, sf_dir)))
 
 
 # Graphs
@@ -630,20 +682,35 @@ def landmark_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Generators
 
 
-@query("""WITH i AS (SELECT unnest(range(0, 96)) AS id) SELECT id AS pid, round(cos(radians((id % 48) * 7.5)) * 0.5, 6) + 0.0 AS x, CASE WHEN (id // 48) % 2 = 1 THEN 0.5 ELSE -0.5 END AS y, round(-sin(radians((id % 48) * 7.5)) * 0.5, 6) + 0.0 AS z FROM i""")
+def _stamped(shape: Mesh, at: DataFrame) -> DataFrame:
+    """Points of a shape at each of the rows (of, cx, cy, cz, size)."""
+    return rounded(generate.stamped(shape, at).points.select("pid", *XYZ))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedded(spark, sf_dir).select(F.col("pid").alias("of"), *(F.col(c).alias("c" + c) for c in XYZ), (1 + F.col("scalar")).alias("size"))
+
+
+def _at(shape: str, n: int) -> str:
+    """Points s (k, x, y, z) of a shape at each point, in SQL."""
+    return f"{shape} SELECT p.pid * {n} + s.k AS pid, {r6(*(f'p.{c} + (1 + scalar) * s.{c} AS {c}' for c in XYZ))} FROM p, s"
+
+
+@query(_at(f"WITH {CLOUD}, i AS (SELECT unnest(range(0, 96)) AS id), s AS (SELECT id AS k, cos(radians((id % 48) * 7.5)) * 0.5 AS x, CASE WHEN (id // 48) % 2 = 1 THEN 0.5 ELSE -0.5 END AS y, -sin(radians((id % 48) * 7.5)) * 0.5 AS z FROM i)", 96))
 def cylinder_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generate.cylinder(spark, 0.5, 1.0, 48, False).points.select("pid", *XYZ))
+    return _stamped(generate.cylinder(spark, 0.5, 1.0, 48, False), _places(spark, sf_dir))
 
 
-@query("""WITH i AS (SELECT unnest(range(0, 2400)) AS id), r AS (SELECT id + 2 AS pid, radians((id // 50 + 1) * (180.0 / 49)) AS p, radians((id % 50) * 7.2) AS t FROM i) SELECT pid, round(sin(p) * cos(t), 6) + 0.0 AS x, round(sin(p) * sin(t), 6) + 0.0 AS y, round(cos(p), 6) + 0.0 AS z FROM r UNION ALL SELECT 0, 0.0, 0.0, 1.0 UNION ALL SELECT 1, 0.0, 0.0, -1.0""")
+@query(_at(f"""WITH {CLOUD}, i AS (SELECT unnest(range(0, 80)) AS id), r AS (SELECT id + 2 AS k, radians((id // 10 + 1) * (180.0 / 9)) AS p, radians((id % 10) * 36) AS t FROM i),
+s AS (SELECT k, sin(p) * cos(t) AS x, sin(p) * sin(t) AS y, cos(p) AS z FROM r UNION ALL SELECT 0, 0.0, 0.0, 1.0 UNION ALL SELECT 1, 0.0, 0.0, -1.0)""", 82))
 def sphere_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generate.sphere(spark).points.select("pid", *XYZ))
+    return _stamped(generate.sphere(spark, theta_res=10, phi_res=10), _places(spark, sf_dir))
 
 
-@query("""WITH f AS (SELECT * FROM (VALUES (0, ['lbn', 'rbn', 'rbf', 'lbf']), (1, ['ltn', 'ltf', 'rtf', 'rtn']), (2, ['lbn', 'lbf', 'ltf', 'ltn']), (3, ['rbf', 'rbn', 'rtn', 'rtf']), (4, ['lbf', 'rbf', 'rtf', 'ltf']), (5, ['rbn', 'lbn', 'ltn', 'rtn'])) v(face, corners)), c AS (SELECT face, generate_subscripts(corners, 1) - 1 AS k, unnest(corners) AS n FROM f)
-SELECT (4 * face + k)::BIGINT AS pid, round(CASE WHEN n[1] = 'l' THEN -1.0 ELSE 1.0 END + CASE WHEN n[2] = 'b' THEN 0 WHEN n[1] = 'l' THEN tan(radians(30)) ELSE -tan(radians(15)) END, 6) AS x, CASE WHEN n[2] = 'b' THEN -0.5 ELSE 0.5 END AS y, CASE WHEN n[3] = 'n' THEN -1.5 ELSE 1.5 END AS z FROM c""")
+@query(_at(f"""WITH {CLOUD}, f AS (SELECT * FROM (VALUES (0, ['lbn', 'rbn', 'rbf', 'lbf']), (1, ['ltn', 'ltf', 'rtf', 'rtn']), (2, ['lbn', 'lbf', 'ltf', 'ltn']), (3, ['rbf', 'rbn', 'rtn', 'rtf']), (4, ['lbf', 'rbf', 'rtf', 'ltf']), (5, ['rbn', 'lbn', 'ltn', 'rtn'])) v(face, corners)), c AS (SELECT face, generate_subscripts(corners, 1) - 1 AS k, unnest(corners) AS n FROM f),
+s AS (SELECT (4 * face + k)::BIGINT AS k, CASE WHEN n[1] = 'l' THEN -1.0 ELSE 1.0 END + CASE WHEN n[2] = 'b' THEN 0 WHEN n[1] = 'l' THEN tan(radians(30)) ELSE -tan(radians(15)) END AS x, CASE WHEN n[2] = 'b' THEN -0.5 ELSE 0.5 END AS y, CASE WHEN n[3] = 'n' THEN -1.5 ELSE 1.5 END AS z FROM c)""", 24))
 def trapezoid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(generate.trapezoid(spark, 2, 1, 3, 60, 75).points.select("pid", *XYZ))
+    return _stamped(generate.trapezoid(spark, 2, 1, 3, 60, 75), _places(spark, sf_dir))
 
 
 # Volumes
@@ -677,7 +744,7 @@ def mesh_distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cloud_isosurface(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = embedded(spark, sf_dir)
-    grid = volume.grid_by_side(p, 6, 2)
+    grid = volume.grid_by_side(p)
     field = volume.oriented_distance(grid.voxels(spark), p, "unsigned_median")
     return volume.isosurface(grid.voxels(spark).join(field.select("vid", "value"), "vid"), grid, 0.3).points
 
