@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 #: Settings while a table is written: an execution's shuffle files go when it ends, and Arrow batches are bounded by bytes, so that
 #: rows of any length take little memory beside the heap.
@@ -80,10 +82,16 @@ def settled(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
     return table
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder: cheaper than a table where a loop has many small rounds."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that the driver has, as a table of constants: no task and no Python worker makes it."""
+    kind = ArrayType(StructType.fromDDL(schema))
+
+    def plain(value, kind):
+        if isinstance(kind, ArrayType):
+            return [plain(v, kind.elementType) for v in value]
+        return {f.name: plain(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)} if isinstance(kind, StructType) else value
+
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plain(rows, kind))), kind)))
 
 
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
@@ -100,7 +108,7 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     for part, n in sorted((r["_part"], r["n"]) for r in sizes):
         offsets.append((part, start))
         start += n
-    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part long, _start long")
+    table = small_table(df.sparkSession, offsets, "_part long, _start long")
     number = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
     found = placed.join(F.broadcast(table), "_part").withColumn(name, number).drop("_part", "_at", "_start")
     found._facetlake_folder = rows._facetlake_folder
