@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sharing import numbered
+from ..sharing import numbered, small_table
 
 SHARDS, NODES = 8, 256
 #: Hashes have this many bits; the ring's nodes are looked up by the first ``CELL_BITS`` of them.
@@ -77,7 +77,7 @@ def cells(spark: SparkSession, circle: list[tuple[int, int]]) -> DataFrame:
     for k, nodes in enumerate(held):
         arc += len(nodes)
         rows.append((k, nodes, arc))
-    return spark.createDataFrame(rows, "_cell long, _nodes array<struct<place: long, arc: int>>, _next int")
+    return small_table(spark, rows, "_cell long, _nodes array<struct<place: long, arc: int>>, _next int")
 
 
 def assign(df: DataFrame, id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), shards: int = SHARDS, nodes: int = NODES, factor: float | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def assign(df: DataFrame, id_col: str = "doc_id", tie_cols: tuple[str, ...] = ()
     table: dict[int, list] = {}
     for a, low, high, shard, slot in plan:
         table.setdefault(a, []).append((first[a] + low, first[a] + high, shard, slot))
-    sent = spark.createDataFrame(sorted(table.items()), "_arc int, _segments array<struct<low: long, high: long, shard: int, slot: long>>")
+    sent = small_table(spark, sorted(table.items()), "_arc int, _segments array<struct<low: long, high: long, shard: int, slot: long>>")
     segment = F.filter("_segments", lambda x: (x["low"] <= F.col("_number")) & (F.col("_number") < x["high"]))[0]
     found = found.join(F.broadcast(sent), "_arc").withColumn("_segment", segment)
     return found.select(*(F.col(name[c]).alias(c) for c in kept), F.col("_segment.shard").alias("shard"), (F.col("_segment.slot") + F.col("_number") - F.col("_segment.low")).alias("slot"))
