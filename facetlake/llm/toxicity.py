@@ -42,6 +42,8 @@ ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s'’.,;:?-]|[^\w\s'’.,;:?-][^\
 WORD = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 RUNS = re.compile(r"(.)\1*", re.DOTALL)
+#: A word with signs after it that stand for nothing.
+TAILED = re.compile(f"([^\\W\\d_]+)[^\\w{re.escape(''.join(LEET))}]+")
 #: Paths up to which a lattice of letters alone is written out.
 MOST_PATHS = 64
 #: A word of signs and digits alone that each stand for a letter.
@@ -295,6 +297,8 @@ class Restorer:
         if plain.isalpha() and (plain in self.known or not DOUBLED.search(plain)):
             return chunk  # none of the patterns below fits
         if ODD.search(chunk):
+            if (tailed := TAILED.fullmatch(chunk)) and not DOUBLED.search(tailed[1]):
+                return tailed[1]  # the signs can be boundaries or nothing, the letters only themselves
             core = chunk.strip(EDGES) if self.known else ""
             return core and (core in self.known and core or self.known_reading(core) or self.known_reading(chunk)) or self.decode(chunk)
         if self.known and SIGNS.fullmatch(chunk.strip(".,;:?'’\"")):
@@ -303,9 +307,27 @@ class Restorer:
                 words = {w + x for w in words for x in LEET[c] if w + x in self.prefixes}
             return min((w for w in words if w in self.known), default=chunk)
         if self.known and DOUBLED.search(chunk):
-            return WORD.sub(lambda m: m[0] if m[0] in self.known or not DOUBLED.search(m[0]) else self.known_reading(m[0]) or self.decode(m[0]), chunk)
+            return WORD.sub(lambda m: self.undoubled_word(m[0]), chunk)
         return chunk
 
+    def undoubled_word(self, word: str) -> str:
+        """The reading of a word of letters: itself where it is known or has no letter twice.
+
+        With one letter twice there are two paths; they differ in the trigrams that hold the second letter alone.
+        """
+        first = None if word in self.known else DOUBLED.search(word)
+        if not first:
+            return word
+        at = first.end()
+        if word[at : at + 1] == first[1] or DOUBLED.search(word, at):
+            return self.known_reading(word) or self.decode(word)
+        less = word[: at - 1] + word[at:]
+        if less in self.known:
+            return less
+        b, c, r = (ord(x) - 96 if "a" <= x <= "z" else OTHER if x else 0 for x in (word[at - 3 : at - 2] if at > 2 else "", first[1], word[at : at + 1]))
+        m = self.model
+        return word if math.log(1 - SECOND) + m[b][c][c] + m[c][c][r] > math.log(SECOND) + m[b][c][r] else less
+
     def part(self, chunk: str) -> tuple[str, bool, bool, bool, str]:
         """(word, unknown, may go on, may follow, reading) of a chunk as a part of a split word; no word where it is more than one."""
         found = self.parts.get(chunk)
@@ -423,6 +445,10 @@ class Scorer:
     def __init__(self, restorer: Restorer, features: dict[str, int] | None):
         self.restorer, self.known = restorer, features
         self.heads = None if features is None else {f[: BEGINNINGS[0]] for f in features if f[0] != "="}
+        self.stems: dict[str, list[tuple[str, int]]] = {}
+        for f, i in (features or {}).items():
+            if f[0] != "=" and len(f) in BEGINNINGS:
+                self.stems.setdefault(f[: BEGINNINGS[0]], []).append((f, i))
         self.wholes = None if features is None else {f[1:] for f in features if f[0] == "="}
         self.cache = Cache()
 
@@ -452,7 +478,7 @@ class Scorer:
 
     def scores(self, texts: list[str], model: Model) -> np.ndarray:
         """As ``probability`` of ``count`` for each text of a block: what is between blanks is looked at once a block."""
-        restorer, heads, wholes = self.restorer, self.heads, self.wholes
+        restorer, stems, wholes = self.restorer, self.stems, self.wholes
         self.cache.trim()
         restorer.parts.trim()
         tokens = []
@@ -470,7 +496,7 @@ class Scorer:
         plain = [w.isalpha() and (k or not doubled(w)) for w, k in zip(words, seen, strict=True)]  # nothing to restore in one word
         bare = list(words)
         kept, more = restorer.joined(codes, doc, chunks, words, plain, [not k for k in seen])
-        names = [() if p and w[: BEGINNINGS[0]] not in heads and w not in wholes else self.word_names(w) if p else self.known_names(c) for c, w, p in zip(chunks, bare, plain, strict=True)]
+        names = [() if p and w[: BEGINNINGS[0]] not in stems and w not in wholes else self.word_names(w) if p else self.known_names(c) for c, w, p in zip(chunks, bare, plain, strict=True)]
         held = np.array([bool(n) for n in names] or [False])
         at = np.flatnonzero(kept & held[codes]) if len(codes) else np.zeros(0, np.int64)
         width = np.fromiter(map(len, names), np.int64, len(names))
@@ -489,12 +515,9 @@ class Scorer:
 
     def word_names(self, word: str) -> tuple:
         """Numbers of the known features of one word."""
-        known = self.known
-        whole = known.get("=" + word)
-        if word[: BEGINNINGS[0]] not in self.heads:
-            return () if whole is None else (whole,)
-        found = [known.get(word[:k]) for k in BEGINNINGS if len(word) >= k]
-        return tuple(f for f in (whole, *found) if f is not None)
+        whole = self.known.get("=" + word)
+        found = tuple(i for f, i in self.stems.get(word[: BEGINNINGS[0]], ()) if word.startswith(f))
+        return found if whole is None else (whole, *found)
 
     def known_names(self, chunk: str) -> tuple:
         found = self.cache.get(chunk)
