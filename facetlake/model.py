@@ -7,6 +7,28 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What the name of a derived surface ends in, by what it is derived with; braces are filled in.
+SUFFIXES = {
+    "mirror": "_mirror",
+    "flip": "_flip",
+    "line_normals": "_LineNormals",
+    "close_holes": "_CloseHoles",
+    "connect": "_connect{0}",
+    "largest_region": "_largestregion",
+    "outer_region": "_outersurface",
+    "closest_region": "_closestPointRegion",
+    "scalar_region": "_scalarRegion_{0}_{1}",
+    "normals": "_normals",
+    "scalar_smooth": "_ScalarSmooth_R{0}",
+    "threshold": "_threshold_{0}_to_{1}",
+    "merge": "_MergedWith_{0}",
+    "compare": "_ComparedTo_{0}",
+    "icp": "_ICPAlignedTo_{0}",
+    "closest_points": "_ClosestPointsTo_{0}",
+    "animate": "_animated",
+    "project": "_ProjectedTo_{0}",
+}
+
 KINDS = ("verts", "lines", "polys", "strips")
 
 
@@ -130,6 +152,12 @@ class Scene:
             return surface_id
         return self.add(old.name + suffix, mesh)
 
+    def derive(self, surface_id: int, how: str, mesh: Mesh, *values, replaced: bool = False) -> int:
+        """As ``put``, with the suffix that ``SUFFIXES`` has for an operation and its values (numbers, or names of other surfaces)."""
+        if how not in SUFFIXES:
+            raise ValueError(f"no derived name for {how}")
+        return self.put(surface_id, SUFFIXES[how].format(*(f"{v:g}" if isinstance(v, float) else v for v in values)), mesh, replaced)
+
     def cut(self, surface_id: int, mesh: Mesh) -> int:
         """Replace a surface by its cut; the state before can be had back, the placement is reset, the suffix is added once."""
         s = self[surface_id]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..model import Mesh
 from ..sharing import numbered, removed, settled
-from .clip import compact, edge_uses, edges, face_normals
+from .clip import compact, edge_uses, edges, face_normals, feature_edges
 from .measure import center_distance
 from .sets import append, weld
 from .spatial import knn, nearest, radius_join
@@ -292,32 +292,54 @@ def _subdivided(mesh: Mesh, method: str) -> Mesh:
     return Mesh(old.unionByName(middle), pieces.select((F.col("cid") * 4 + F.col("i")).alias("cid"), F.lit("polys").alias("kind"), "pids"))
 
 
-def smooth(mesh: Mesh, iterations: int = 20, relax: float = 0.01, boundary: bool = True, cut: int = 5) -> Mesh:
-    """Laplacian smoothing: p += relax * (mean of neighbours - p); border points stay unless ``boundary``. Settled every ``cut`` rounds."""
-    return _smoothed(mesh, [relax] * iterations, boundary, cut)
+def smoothing_links(mesh: Mesh, boundary: bool = True, feature: float | None = None, straight: float = 15.0) -> DataFrame:
+    """(a, b), settled: the neighbours b that pull at point a; points without any stay where they are.
+
+    Without ``feature`` all neighbours do, and border points stay unless ``boundary``. With it, edges that turn by more than that
+    angle, borders and branches are feature edges: a point on none of them is free; one on two that go on within ``straight``
+    degrees of each other moves along them, pulled by their other ends; all others are fixed, and so are border points unless
+    ``boundary``.
+    """
+    pairs = edges(mesh).select("a", "b").distinct()
+    both = pairs.union(pairs.select("b", "a"))
+    if feature is not None:
+        marked = feature_edges(mesh, True, True, False, True, feature).select("a", "b")
+        sides = settled(marked.union(marked.select("b", "a")))
+        ends = sides.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("p"), F.max("b").alias("q"))
+        line = ends.where("n = 2")
+        for k, v in (("a", "o"), ("p", "p"), ("q", "q")):
+            line = line.join(mesh.points.select(F.col("pid").alias(k), *(F.col(x).alias(v + v + x) for x in XYZ)), k)
+        o, p, q = (g.vector(*(v + v + x for x in XYZ)) for v in "opq")
+        forth, back = g.sub(o, p), g.sub(q, o)
+        line = line.where(g.dot(forth, back) >= math.cos(math.radians(straight)) * g.norm(forth) * g.norm(back)).select("a")
+        both = both.join(ends.select("a"), "a", "left_anti").select("a", "b").unionByName(sides.join(line, "a", "left_semi").select("a", "b"))
+    if not boundary:
+        rim = edge_uses(mesh).where("cells = 1").select(F.explode(F.array("a", "b")).alias("a")).distinct()
+        both = both.join(rim, "a", "left_anti").select("a", "b")
+    return settled(both)
+
+
+def smooth(mesh: Mesh, iterations: int = 20, relax: float = 0.01, boundary: bool = True, cut: int = 5, feature: float | None = None) -> Mesh:
+    """Laplacian smoothing: p += relax * (mean of neighbours - p), with the neighbours of ``smoothing_links``. Settled every ``cut`` rounds."""
+    return _smoothed(mesh, [relax] * iterations, boundary, cut, feature)
 
 
 def smooth_taubin(mesh: Mesh, iterations: int = 20, forth: float = 0.5, back: float = -0.53, boundary: bool = True, cut: int = 5) -> Mesh:
     """Low-pass smoothing that keeps the volume: rounds of a positive and a negative step take turns (Taubin 1995)."""
-    return _smoothed(mesh, [forth, back] * iterations, boundary, cut)
+    return _smoothed(mesh, [forth, back] * iterations, boundary, cut, None)
 
 
-def smooth_sinc(mesh: Mesh, iterations: int = 20, pass_band: float = 0.1, boundary: bool = True, cut: int = 5) -> Mesh:
+def smooth_sinc(mesh: Mesh, iterations: int = 20, pass_band: float = 0.1, boundary: bool = True, cut: int = 5, feature: float | None = None) -> Mesh:
     """Windowed-sinc smoothing (Taubin, Zhang, Golub 1996): a low-pass filter of degree ``iterations`` in Chebyshev polynomials.
 
     With K = I - (mean of neighbours), the places become the sum of c_i T_i(I - K / 2); the coefficients are those of the ideal
-    filter that ends at ``pass_band`` (0 to 2), in a Hamming window. Border points stay unless ``boundary``.
+    filter that ends at ``pass_band`` (0 to 2), in a Hamming window. Neighbours are those of ``smoothing_links``.
     """
-    c = sinc_coefficients(iterations, pass_band)
-    pairs = edges(mesh).select("a", "b").distinct()
-    both = settled(pairs.union(pairs.select("b", "a")))
-    fixed = settled(edge_uses(mesh).where("cells = 1").select(F.explode(F.array("a", "b")).alias("pid")).distinct()) if not boundary else None
+    c, both = sinc_coefficients(iterations, pass_band), smoothing_links(mesh, boundary, feature)
 
     def half(rows: DataFrame, names: list[str]) -> DataFrame:
         """Rows with m_name: (I - K / 2) of each column, itself for points without neighbours and fixed ones."""
         mean = both.join(rows.select(F.col("pid").alias("b"), *names), "b").groupBy(F.col("a").alias("pid")).agg(*(F.avg(n).alias("_" + n) for n in names))
-        if fixed is not None:
-            mean = mean.join(fixed, "pid", "left_anti")
         joined = rows.join(mean, "pid", "left")
         return joined.select(*rows.columns, *(((F.col(n) + F.coalesce("_" + n, n)) / 2).alias("m_" + n) for n in names))
 
@@ -350,15 +372,11 @@ def sinc_coefficients(degree: int, pass_band: float) -> np.ndarray:
     return c / c.sum()
 
 
-def _smoothed(mesh: Mesh, steps: list[float], boundary: bool, cut: int) -> Mesh:
-    pairs = edges(mesh).select("a", "b").distinct()
-    both = settled(pairs.union(pairs.select("b", "a")))
-    fixed = settled(edge_uses(mesh).where("cells = 1").select(F.explode(F.array("a", "b")).alias("pid")).distinct()) if not boundary else None
+def _smoothed(mesh: Mesh, steps: list[float], boundary: bool, cut: int, feature: float | None) -> Mesh:
+    both = smoothing_links(mesh, boundary, feature)
     at = mesh.points.select("pid", *XYZ)
     for i, step in enumerate(steps, 1):
         mean = both.join(at.select(F.col("pid").alias("b"), *XYZ), "b").groupBy(F.col("a").alias("pid")).agg(*(F.avg(c).alias("m" + c) for c in XYZ))
-        if fixed is not None:
-            mean = mean.join(fixed, "pid", "left_anti")
         at = at.join(mean, "pid", "left").select("pid", *((F.col(c) + step * (F.coalesce("m" + c, c) - F.col(c))).alias(c) for c in XYZ))
         at = settled(at) if i % cut == 0 else at
     return mesh.with_points(mesh.points.drop(*XYZ).join(at, "pid").select(*mesh.points.columns))

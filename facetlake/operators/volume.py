@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..model import Mesh
 from ..sharing import numbered, removed, settled
+from .clip import edge_uses, edges
+from .index import placed
 from .spatial import knn, nearest_triangle, radius_join
 
 XYZ = ("x", "y", "z")
@@ -146,11 +149,19 @@ def band_distance(grid: Grid, points: DataFrame, high: float, before: DataFrame
 
 def mesh_distance(voxels: DataFrame, mesh: Mesh, outside_sign: int = 1) -> DataFrame:
     """(vid, value): distance to the closest place, signed by the vertex normal with the largest weight there."""
+    mesh = _with_normals(mesh)
+    at = voxels.select(F.col("vid").alias("pid"), *XYZ)
+    return _signed(nearest_triangle(at, mesh), at, mesh, outside_sign)
+
+
+def _with_normals(mesh: Mesh) -> Mesh:
     from .graph import vertex_normals
 
-    mesh = mesh if mesh.has_normals else vertex_normals(mesh, orient=True)
-    at = voxels.select(F.col("vid").alias("pid"), *XYZ)
-    near = nearest_triangle(at, mesh)
+    return mesh if mesh.has_normals else vertex_normals(mesh, orient=True)
+
+
+def _signed(near: DataFrame, at: DataFrame, mesh: Mesh, outside_sign: int) -> DataFrame:
+    """(vid, value) of closest places, signed by the normal of the corner with the largest weight."""
     top = F.greatest("wa", "wb", "wc")
     near = near.withColumn("corner", F.when(F.col("wa") == top, F.col("a")).when(F.col("wb") == top, F.col("b")).otherwise(F.col("c")))
     rows = near.join(mesh.points.select(F.col("pid").alias("corner"), "nx", "ny", "nz"), "corner").join(at.select(F.col("pid").alias("id"), *XYZ), "id")
@@ -158,6 +169,59 @@ def mesh_distance(voxels: DataFrame, mesh: Mesh, outside_sign: int = 1) -> DataF
     return rows.select(F.col("id").alias("vid"), (F.when(side < 0, -1.0).otherwise(1.0) * F.sqrt("d2") * float(outside_sign)).alias("value"))
 
 
+def mesh_distance_sure(voxels: DataFrame, mesh: Mesh, outside_sign: int = -1) -> DataFrame:
+    """(vid, value): as ``mesh_distance``, but signed by the normal mixed with the place's weights, and only where the nearest
+    triangle has one neighbour at each of its three edges; near borders and branches all voxels are outside."""
+    mesh = _with_normals(mesh)
+    at = voxels.select(F.col("vid").alias("pid"), *XYZ)
+    near = nearest_triangle(at, mesh)
+    lone = edges(mesh).join(edge_uses(mesh).where("cells <> 2").select("a", "b"), ["a", "b"], "left_semi").select("cid").distinct()
+    for k in "abc":
+        near = near.join(mesh.points.select(F.col("pid").alias(k), *(F.col("n" + x).alias(f"n{k}{x}") for x in XYZ)), k)
+    rows = near.join(lone.withColumn("lone", F.lit(True)), "cid", "left").join(at.select(F.col("pid").alias("id"), *XYZ), "id")
+    mixed = tuple(sum((F.col("w" + k) * F.col(f"n{k}{x}") for k in "bc"), F.col("wa") * F.col(f"na{x}")) for x in XYZ)
+    inside = (g.dot(mixed, g.sub(g.vector(*XYZ), g.vector("cx", "cy", "cz"))) < 0) & F.col("lone").isNull()
+    return rows.select(F.col("id").alias("vid"), (F.when(inside, -1.0).otherwise(1.0) * F.sqrt("d2") * float(outside_sign)).alias("value"))
+
+
+#: The value of a voxel that no triangle's box reaches: the root of the largest double.
+UNTOUCHED = math.sqrt(sys.float_info.max)
+
+
+def mesh_distance_boxes(grid: Grid, mesh: Mesh, least: float = 1.5, outside_sign: int = 1) -> DataFrame:
+    """(vid, value) of every voxel, from the triangles whose boxes it lies in; UNTOUCHED where there is none.
+
+    A triangle's box has its middle and reaches 1.5 times its size, ``least`` at least, each way; its last sample on an axis, and
+    that of the grid, are left out. Of several triangles the nearest counts, of equally near ones that with the lesser cell id.
+    """
+    mesh = _with_normals(mesh)
+    columns = [F.col("tid.k").cast("long").alias("k"), "cid", *"abc", *(F.col(p + x).cast("double").alias(p + x) for p in "abc" for x in XYZ)]
+    rows = placed(mesh.placed_triangles().select(*columns), tuple(p + x for p in "abc" for x in XYZ))
+    for i, x, n, step, first in zip(INDEX, XYZ, grid.dims, grid.spacing, grid.origin, strict=True):
+        low, high = F.least(*(p + x for p in "abc")), F.greatest(*(p + x for p in "abc"))
+        middle, reach = (low + high) / 2, F.greatest(F.lit(float(least)), 1.5 * (high - low))
+        rows = rows.withColumn("lo" + i, F.greatest(((middle - reach - first) / step).cast("int"), F.lit(0)))
+        rows = rows.withColumn("hi" + i, F.least(((middle + reach - first) / step).cast("int") + 1, F.lit(n - 1)) - 1)
+    for m, i in enumerate(reversed(INDEX)):
+        rows = rows.where(F.col("hi" + i) >= F.col("lo" + i)).withColumn(i, F.explode(F.sequence("lo" + i, "hi" + i))).drop("lo" + i, "hi" + i)
+        rows = rows.repartition("iz", "cid", "k") if m == 0 else rows  # a huge triangle's slices go to many tasks
+    spots = rows.select(grid.vid().alias("id"), "cid", "k", *"abc", *((F.col(i) * step + first).alias(x) for i, x, step, first in zip(INDEX, XYZ, grid.spacing, grid.origin, strict=True)), *(p + x for p in "abc" for x in XYZ))
+    names = ("id", "cid", "k", "a", "b", "c", "d2", "cx", "cy", "cz", "wa", "wb", "wc")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, a, b, c = (np.column_stack([batch.column(k + x).to_numpy() for x in XYZ]) for k in ("", "a", "b", "c"))
+            at, w = g.closest_places(p, a, b, c)
+            more = [((at - p) ** 2).sum(1), *at.T, *w.T]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names[:6]), *(pa.array(np.ascontiguousarray(v)) for v in more)], list(names))
+
+    found = spots.mapInArrow(probe, ", ".join(f"{c} {'long' if i < 6 else 'double'}" for i, c in enumerate(names)))
+    best = found.groupBy("id").agg(F.min(F.struct("d2", "cid", "k", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")).alias("s")).select("id", "s.*")
+    voxels = grid.voxels(mesh.points.sparkSession)
+    near = _signed(best, voxels.select(F.col("vid").alias("pid"), *XYZ), mesh, outside_sign)
+    return voxels.select("vid").join(near, "vid", "left").select("vid", F.coalesce("value", F.lit(UNTOUCHED)).alias("value"))
+
+
 def layers(known: DataFrame, grid: Grid) -> DataFrame:
     """(vid, layer) of every voxel: steps to the nearest known voxel (vid), where a step leads to one of the 26 around.
 
