@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sharing import written
-from .common import slices
+from .common import held_by_worker, slices
 
 #: Boilerplate lines of all hosts together that may be broadcast; beyond it lines are joined by shuffle.
 BROADCAST_LINES = 200_000
@@ -87,6 +87,7 @@ def _dropped_by_set(rows: DataFrame, found: DataFrame, site_col: str, text_col:
     site_at, text_at = rows.columns.index(site_col), rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by_worker(("line dedup",), lambda: None)  # what another operator kept goes
         for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for site, text in zip(batch.column(site_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True):

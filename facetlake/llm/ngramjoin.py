@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sharing import removed, written
-from .common import slices, text_of
+from .common import held_by_worker, slices, text_of
 
 #: N-grams in at least this many texts, and words at least so frequent, are known to the order by an estimate of their number.
 FREQUENT = 32
@@ -156,6 +156,7 @@ def frequent(texts: DataFrame, n: int) -> tuple[Counts, Counts]:
             kept = counts > (FREQUENT // 8 if word else 1)
             return pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), word)), pa.array(hashes[kept]), pa.array(counts[kept].astype(np.int64))], ["word", "hash", "n"])
 
+        held_by_worker(("n-gram join",), lambda: None)  # what another operator kept goes
         held: tuple[list, list] = ([], [])
         size = 0
         for batch in slices(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sharing import removed, written
-from .common import Cache, held_by_worker, slices, text_of
+from .common import Cache, held_by_worker, released, slices, text_of
 
 #: Fixed: letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou"}
@@ -85,8 +85,9 @@ def corpus_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     texts each word of letters is in, lower-cased. One of cell and word is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by_worker(("toxicity", "corpus"), lambda: None)  # what another operator kept goes
         total = np.zeros(CLASSES**3, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=1 << 20):
             texts = [t.lower() for t in batch.column(0).to_pylist()]
             for text in texts:
                 c = classes("  " + text + " ")
@@ -94,6 +95,8 @@ def corpus_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             words, n = words_of(texts)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), words, pa.array(n, pa.int64())], ["cell", "word", "n"])
         cells = np.flatnonzero(total)
+        batch = texts = words = n = None
+        released()
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.nulls(len(cells), pa.string()), pa.array(total[cells])], ["cell", "word", "n"])
 
     return df.select(text_of(text_col).alias("text")).mapInArrow(run, "cell int, word string, n long").groupBy("cell", "word").agg(F.sum("n").alias("n"))
@@ -111,7 +114,7 @@ def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     begins[1:] &= ~letter[:-1]
     width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
     data = np.frombuffer(whole.encode(), np.uint8)[np.repeat(letter, width)]
-    ends = np.append(0, np.cumsum(width[letter], dtype=np.int64))
+    ends = np.append(0, np.cumsum(width[letter], dtype=np.int32))
     at = np.append(ends[np.flatnonzero(begins[letter])], len(data)).astype(np.int32)
     found = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
     doc = np.searchsorted(np.cumsum(sizes), np.flatnonzero(begins), "right")
