@@ -27,6 +27,8 @@ CELL = ("gx", "gy", "gz")
 BLOCK_ROWS, BLOCK_PAIRS, BLOCK_AT_ONCE = 100_000, 4_000_000_000, 1_000_000
 #: Points of a grid cell that meet under one key.
 DENSE = 4096
+#: Points of a cell that are tried first when cells are linked.
+FEW = 16
 
 
 def _cell(c: str, size: float) -> Column:
@@ -70,6 +72,53 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("id", "other", "d2")
 
 
+def connecting_links(points: DataFrame, radius: float) -> DataFrame:
+    """(a, b): links within ``radius`` (over 0) between points, with the same components as all such links, but no more than about
+    the points and the pairs of neighbouring cells.
+
+    In cells whose diagonal is under the radius every point is linked to the least one. Neighbouring cells are linked by one pair
+    of a few of their points where there is one; only those that no such links connect are compared whole, in chunks.
+    """
+    size, limit = radius / math.sqrt(3) * (1 - 1e-6), radius * radius
+    rows = settled(_gridded(placed(points.select("pid", *(F.col(c).cast("double").alias(c) for c in XYZ))), size))
+    box = {k + c: f(c) for c in XYZ for k, f in (("l", F.min), ("h", F.max))}
+    few = rows.groupBy(*CELL, F.pmod(F.xxhash64("pid"), F.lit(FEW)).alias("_part")).agg(F.count("*").alias("n"), F.min(F.struct("pid", *XYZ)).alias("one"), *(v.alias(k) for k, v in box.items()))
+    cells = settled(few.groupBy(*CELL).agg(F.sum("n").alias("n"), F.min("one.pid").alias("cell"), F.collect_list("one").alias("few"), *((F.min if k[0] == "l" else F.max)(k).alias(k) for k in box)))
+    stars = rows.join(cells.select(*CELL, "cell"), list(CELL)).where("pid <> cell").select(F.col("cell").alias("a"), F.col("pid").alias("b"))
+
+    ahead = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    to = F.explode(F.array(*(F.struct(*((F.col(c) + d).alias(c) for c, d in zip(CELL, o, strict=True))) for o in ahead))).alias("to")
+    side = lambda k: [F.col(c).alias(k + c) for c in ("cell", "n", "few", *box)]
+    both = cells.select(*side("p"), to).select("*", "to.*").join(cells.select(*CELL, *side("q")), list(CELL))
+    apart = sum((F.pow(F.greatest(F.col("ql" + c) - F.col("ph" + c), F.col("pl" + c) - F.col("qh" + c), F.lit(0.0)), 2) for c in XYZ), F.lit(0.0))
+    pairs = settled(both.where(apart <= limit * (1 + 1e-12)).drop("to", *CELL))
+    tried = pairs.select("pcell", "qcell", F.explode("pfew").alias("p"), "qfew").select("pcell", "qcell", "p", F.explode("qfew").alias("q"))
+    at = lambda k: g.vector(*(f"{k}.{c}" for c in XYZ))
+    sure = settled(tried.where(g.distance2(at("p"), at("q")) <= limit).groupBy("pcell", "qcell").agg(F.min(F.struct(F.col("p.pid").alias("a"), F.col("q.pid").alias("b"))).alias("m")))
+    from .graph import components
+
+    of = components(cells.select(F.col("cell").alias("node")), sure.select(F.col("pcell").alias("a"), F.col("qcell").alias("b")))
+    open_ = pairs.drop("pfew", "qfew").join(sure, ["pcell", "qcell"], "left_anti")
+    for k in "pq":
+        open_ = open_.join(of.select(F.col("node").alias(k + "cell"), F.col("label").alias(k + "of")), k + "cell")
+    open_ = settled(open_.where("pof <> qof"))
+    links = stars.unionByName(sure.select("m.a", "m.b"))
+    if not open_.limit(1).count():
+        return links
+
+    def dealt(k: str, o: str, own: str, other: str) -> DataFrame:
+        """Points of the cells k that lie near enough to the box of the other cell, in chunks of about DENSE."""
+        mine = rows.join(cells.select(*CELL, F.col("cell").alias(k + "cell")), list(CELL)).drop(*CELL).join(open_, k + "cell")
+        off = sum((F.pow(F.greatest(F.col(o + "l" + c) - F.col(c), F.col(c) - F.col(o + "h" + c), F.lit(0.0)), 2) for c in XYZ), F.lit(0.0))
+        part = F.pmod(F.xxhash64("pid"), F.ceil(F.col(k + "n") / DENSE)).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(o + "n") / DENSE) - 1)).alias(other)
+        return mine.where(off <= limit * (1 + 1e-12)).select("pcell", "qcell", part, every, F.struct("pid", *XYZ).alias(k))
+
+    met = dealt("p", "q", "block", "chunk").join(dealt("q", "p", "chunk", "block"), ["pcell", "qcell", "block", "chunk"])
+    found = met.where(g.distance2(at("p"), at("q")) <= limit).groupBy("pcell", "qcell").agg(F.min(F.struct(F.col("p.pid").alias("a"), F.col("q.pid").alias("b"))).alias("m"))
+    return links.unionByName(found.select("m.a", "m.b"))
+
+
 def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(id, rank from 1, other, d2): the k nearest points of right for each of left, ties by lower id; fewer where right has fewer.
 

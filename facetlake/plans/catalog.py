@@ -624,7 +624,8 @@ REACH = "c AS (SELECT pid AS n, pid AS o FROM p UNION SELECT c.n, l.b FROM c JOI
 
 @query(f"WITH RECURSIVE {CLOUD}, {LINKS}, {REACH} SELECT n AS node, min(o) AS label FROM c GROUP BY n")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(embedded(spark, sf_dir).select(F.col("pid").alias("node")), near_links(spark, sf_dir))
+    p = embedded(spark, sf_dir)
+    return graph.components(p.select(F.col("pid").alias("node")), spatial.connecting_links(p, RADIUS))
 
 
 @query(f"WITH RECURSIVE {CLOUD}, {LINKS}, {REACH}, g AS (SELECT n, min(o) AS label FROM c GROUP BY n) SELECT label, count(*) AS n FROM g GROUP BY label ORDER BY n DESC, label LIMIT 1")
