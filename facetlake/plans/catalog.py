@@ -644,7 +644,7 @@ def outer_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT pid AS o FROM s UNION SELECT l.b FROM f JOIN l ON f.o = l.a WHERE l.b IN (SELECT pid FROM k)) SELECT o AS pid FROM f WHERE o NOT IN (SELECT pid FROM s)""")
 def vertex_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = embedded(spark, sf_dir)
-    return graph.vertex_neighbours(p, near_links(spark, sf_dir), p.agg(F.min("pid")).first()[0], 0.25)
+    return graph.vertex_neighbours(p, RADIUS, p.agg(F.min("pid")).first()[0], 0.25)
 
 
 @query(f"""WITH RECURSIVE {CLOUD}, {LINKS}, v AS (SELECT pid, CASE WHEN scalar < 5 THEN 0.0 WHEN scalar < 7 THEN 2.0 ELSE scalar END AS s FROM p), f AS (SELECT pid AS o FROM v WHERE s = 2 UNION SELECT l.b FROM f JOIN l ON f.o = l.a JOIN v ON v.pid = l.b WHERE v.s IN (0, 2))

@@ -50,3 +50,12 @@ def test_components_query_makes_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(spatial, "radius_join", no_pairs)
     assert catalog.components(spark, "/root/testdata/sf0.001").count() == 500
+
+
+def test_vertex_neighbours_by_a_distance(spark, monkeypatch):
+    p = dense_and_split()[:360]
+    points = table(spark, p).cache()
+    pairs = spatial.radius_join(points, points, 0.1).where("id < other").selectExpr("id AS a", "other AS b")
+    expected = sorted(r["pid"] for r in graph.vertex_neighbours(points, pairs, 0, 0.04).collect())
+    monkeypatch.setattr(spatial, "radius_join", no_pairs)
+    assert sorted(r["pid"] for r in graph.vertex_neighbours(points, 0.1, 0, 0.04).collect()) == expected != []
