@@ -63,11 +63,6 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in names})
 
 
-def near_links(spark: SparkSession, sf_dir: str, radius: float = RADIUS) -> DataFrame:
-    p = embedded(spark, sf_dir)
-    return spatial.radius_join(p, p, radius).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-
-
 def r6(*names: str) -> str:
     return ", ".join(f"round({n.partition(' AS ')[0]}, 6) + 0.0 AS {n.partition(' AS ')[2] or n}" for n in names)
 
@@ -652,7 +647,7 @@ SELECT pid, CASE WHEN pid IN (SELECT o FROM f) THEN 2.0 ELSE s END AS scalar FRO
 def crop_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("scalar")
     p = embedded(spark, sf_dir).withColumn("scalar", F.when(s < 5, 0.0).when(s < 7, 2.0).otherwise(s))
-    return graph.crop_flood(p, near_links(spark, sf_dir)).select("pid", "scalar")
+    return graph.crop_flood(p, RADIUS).select("pid", "scalar")
 
 
 @query(f"""WITH RECURSIVE {CLOUD}, {TRI}, {EDGES}, l AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e), c AS (SELECT DISTINCT a AS n, a AS o FROM l UNION SELECT c.n, l.b FROM c JOIN l ON c.o = l.a),

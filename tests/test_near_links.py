@@ -59,3 +59,11 @@ def test_vertex_neighbours_by_a_distance(spark, monkeypatch):
     expected = sorted(r["pid"] for r in graph.vertex_neighbours(points, pairs, 0, 0.04).collect())
     monkeypatch.setattr(spatial, "radius_join", no_pairs)
     assert sorted(r["pid"] for r in graph.vertex_neighbours(points, 0.1, 0, 0.04).collect()) == expected != []
+
+
+def test_crop_flood_by_a_distance(spark, monkeypatch):
+    points = table(spark, dense_and_split()).selectExpr("*", "CASE WHEN pid % 3 = 1 THEN 1.0 WHEN pid % 97 = 0 THEN 2.0 ELSE 0.0 END AS scalar").cache()
+    pairs = spatial.radius_join(points, points, 0.1).where("id < other").selectExpr("id AS a", "other AS b")
+    expected = sorted((r["pid"], r["scalar"]) for r in graph.crop_flood(points, pairs).collect())
+    monkeypatch.setattr(spatial, "radius_join", no_pairs)
+    assert sorted((r["pid"], r["scalar"]) for r in graph.crop_flood(points, 0.1).collect()) == expected
