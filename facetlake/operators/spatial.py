@@ -321,7 +321,7 @@ def project_surface(source: Mesh, target: Mesh) -> tuple[Mesh, DataFrame]:
 
 def closest_points_within(source: Mesh, target: DataFrame, radius: float) -> Mesh:
     """Distinct nearest source points within ``radius`` of target points, in order of first hit, with the polygons they span."""
-    best = radius_join(target, source.points, radius).groupBy("id").agg(F.min(F.struct("d2", "other")).alias("s")).select("id", F.col("s.other").alias("old"))
+    best = nearest(target, source.points).where(F.col("d2") <= radius * radius).select("id", F.col("other").alias("old"))
     hits = best.groupBy("old").agg(F.min("id").alias("first"))
     ids = numbered(hits, "pid", "first", "old")
     points = source.points.withColumnRenamed("pid", "old").join(ids.select("old", "pid"), "old").select(*source.points.columns)

@@ -67,3 +67,14 @@ def test_crop_flood_by_a_distance(spark, monkeypatch):
     expected = sorted((r["pid"], r["scalar"]) for r in graph.crop_flood(points, pairs).collect())
     monkeypatch.setattr(spatial, "radius_join", no_pairs)
     assert sorted((r["pid"], r["scalar"]) for r in graph.crop_flood(points, 0.1).collect()) == expected
+
+
+def test_closest_points_within_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "radius_join", no_pairs)
+    p = dense_and_split()
+    q = p[::7] + 0.01
+    cells = spark.createDataFrame([], "cid long, kind string, pids array<long>")
+    found = [tuple(r) for r in spatial.closest_points_within(spatial.Mesh(table(spark, p), cells), table(spark, q), 0.05).points.orderBy("pid").select("x", "y", "z").collect()]
+    d2 = ((q[:, None] - p[None]) ** 2).sum(2)
+    hit = dict.fromkeys(int(row.argmin()) for row in d2 if row.min() <= 0.05**2)
+    assert found == [tuple(p[i]) for i in hit]
