@@ -332,7 +332,7 @@ def closest_points_within(source: Mesh, target: DataFrame, radius: float) -> Mes
 
 def mark_covered(target: DataFrame, source: DataFrame, radius: float = 1.0) -> DataFrame:
     """Target points with scalar 1 where a source point is within ``radius``, else 0."""
-    hit = radius_join(target, source, radius).select(F.col("id").alias("pid")).distinct().withColumn("_hit", F.lit(1.0))
+    hit = nearest(target, source).where(F.col("d2") <= radius * radius).select(F.col("id").alias("pid")).distinct().withColumn("_hit", F.lit(1.0))
     return target.join(hit, "pid", "left").withColumn("scalar", F.coalesce("_hit", F.lit(0.0))).drop("_hit")
 
 

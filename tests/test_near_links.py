@@ -78,3 +78,11 @@ def test_closest_points_within_makes_no_pairs(spark, monkeypatch):
     d2 = ((q[:, None] - p[None]) ** 2).sum(2)
     hit = dict.fromkeys(int(row.argmin()) for row in d2 if row.min() <= 0.05**2)
     assert found == [tuple(p[i]) for i in hit]
+
+
+def test_mark_covered_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "radius_join", no_pairs)
+    p = dense_and_split()
+    q = p[::9] + 0.03
+    found = [r["scalar"] for r in spatial.mark_covered(table(spark, p), table(spark, q), 0.1).orderBy("pid").collect()]
+    assert found == (((p[:, None] - q[None]) ** 2).sum(2).min(1) <= 0.1**2).astype(float).tolist()
