@@ -29,6 +29,8 @@ BLOCK_ROWS, BLOCK_PAIRS, BLOCK_AT_ONCE = 100_000, 4_000_000_000, 1_000_000
 DENSE = 4096
 #: Points of a cell that are tried first when cells are linked.
 FEW = 16
+#: Cells that a border edge is as long as, on average.
+EDGE_PIECES = 16
 
 
 def _cell(c: str, size: float) -> Column:
@@ -289,11 +291,22 @@ def on_border(near: DataFrame, target: Mesh, tolerance: float = 1e-9) -> DataFra
     border = feature_edges(target, True, False).select("a", "b")
     for k in "ab":
         border = border.join(target.points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ)), k)
-    # A border edge that a triangle's place lies on ends in one of the triangle's corners.
-    ends = border.withColumn("v", F.explode(F.array("a", "b")))
-    corners = near.select("id", "cx", "cy", "cz", F.explode(F.array("a", "b", "c")).alias("v"))
+    start, end = g.vector("ax", "ay", "az"), g.vector("bx", "by", "bz")
+    border = settled(placed(border.drop("a", "b"), ("ax", "ay", "az", "bx", "by", "bz")).withColumn("long", g.norm(g.sub(end, start))))
+    reach = math.sqrt(tolerance)
+    # Edges are cut to pieces about as long as a cell; a piece is in all cells that its bounds, widened by the tolerance, touch.
+    size = max((border.agg(F.avg("long")).first()[0] or 0.0) / EDGE_PIECES, 4 * reach)
+    if not size:
+        return near.select("id").where("false")
+    n = F.greatest(F.ceil(F.col("long") / size), F.lit(1).cast("long"))
+    pieces = border.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    wide = reach * (1 + 1e-9) + size * 1e-9
+    for key, x in zip(CELL, XYZ, strict=True):
+        p, q = (F.col("a" + x) + (F.col("b" + x) - F.col("a" + x)) * (F.col("k") + i) / F.col("n") for i in (0, 1))
+        pieces = pieces.withColumn(key, F.explode(F.sequence(F.floor((F.least(p, q) - wide) / size), F.floor((F.greatest(p, q) + wide) / size))))
     at = g.vector("cx", "cy", "cz")
-    hit = corners.join(ends, "v").where(g.distance2(at, g.closest_on_segment(at, g.vector("ax", "ay", "az"), g.vector("bx", "by", "bz"))) < tolerance)
+    places = near.select("id", "cx", "cy", "cz", *(F.floor(F.col("c" + x) / size).alias(key) for key, x in zip(CELL, XYZ, strict=True)))
+    hit = places.join(pieces.drop("long", "n", "k"), list(CELL)).where(g.distance2(at, g.closest_on_segment(at, start, end)) < tolerance)
     return hit.select("id").distinct()
 
 
