@@ -8,8 +8,10 @@ bounded size, and each group is packed on its own.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,9 +26,29 @@ from .common import Cache, held_by_worker, slices, text_of
 
 #: Pieces of a group at most, about: larger groups pack tighter, smaller ones spread better.
 GROUP_PIECES = 16_384
+#: Words of lower-case ASCII and Latin-1 letters in UTF-8: composed and lower-case already, one word for the vocabularies here.
+LOWER_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Such a word and ASCII marks after it, without those that contractions and special tokens begin with.
+WORD_AND_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]+)").fullmatch
+#: Words that show whether a vocabulary's model may be asked directly.
+PROBES = [b"a", b"the", b"zqxjkvbwy", b"education", "\u00e9l\u00e8ve".encode(), "stra\u00dfe".encode(), "\u00fc\u00f8\u00ff\u00f6".encode()]
+#: Bytes as the characters that byte-level vocabularies write them as.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in _KEPT} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_KEPT}))}
 BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
 
 
+class Learning(Cache):
+    """A cache that asks ``learn`` for what it lacks, which puts it in."""
+
+    def __init__(self, most: int, learn: Callable[[bytes], bytes]):
+        super().__init__(most)
+        self.learn = learn
+
+    def __missing__(self, key: bytes) -> bytes:
+        return self.learn(key)
+
+
 class Coder:
     """Ids as little-endian 32-bit bytes, by the tokenizers library for chunks between blanks, kept in a bounded cache.
 
@@ -41,31 +63,42 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = Cache(64 << 20)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        for c, x in zip(chunks, found, strict=True):
-            ids = np.array(x.ids, "<u4").tobytes()
-            self.cache.put(c, ids, len(c) + len(ids))
+        self.cache, self.before = Learning(40 << 20, self.learn), {}
+        whole = self.tokenizer.encode_batch_fast([c.decode() for c in PROBES], add_special_tokens=False)
+        self.direct = all(self.ids_of_word(c) == np.array(x.ids, "<u4").tobytes() for c, x in zip(PROBES, whole, strict=True))
+
+    def ids_of_word(self, word: bytes) -> bytes:
+        """Ids of one word by the library's model alone: no normalizer changes it, and byte-level vocabularies split it no further."""
+        found = self.tokenizer.model.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_LEVEL))
+        return struct.pack(f"<{len(found)}I", *[x.id for x in found])
+
+    def learn(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that the cache lacks; marks after a word are taken by themselves, so that both parts are known."""
+        if (ids := self.before.pop(chunk, None)) is not None:
+            pass
+        elif self.direct and LOWER_WORD(chunk):
+            ids = self.ids_of_word(chunk)
+        elif self.direct and (parts := WORD_AND_MARKS(chunk)):
+            ids = self.cache[parts[1]] + self.cache[parts[2]]
+        elif chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha() and b"<" not in chunk:
+            ids = self.cache[chunk[:-1]] + self.cache[chunk[-1:]]
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([chunk.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return self.cache.put(chunk, ids, len(chunk) + len(ids))
+
+    def turn(self) -> None:
+        """A full cache becomes the one before, from which chunks that come again are taken over."""
+        if self.cache.bytes > self.cache.most:
+            self.before, self.cache = self.cache, Learning(self.cache.most, self.learn)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.cache.trim()
-        cache, seen, split = self.cache, set(), []
+        self.turn()
+        get, found = self.cache.__getitem__, []
         for text in texts:
             raw = text.encode()
             raw = raw if b"<|" in raw else raw.lower()  # special tokens are case-sensitive
-            parts = raw.translate(BLANKS).split(b" ")
-            seen.update(parts)
-            split.append(parts)
-        missing = [c for c in seen if c not in cache]
-        tails = {c for c in missing if c[-1:] in (b".", b",") and c[-2:-1].isalpha() and b"<" not in c}
-        plain = {c[:-1] if c in tails else c for c in missing} | {b".", b","}
-        self.learn([c for c in plain if c not in cache])
-        for c in tails:
-            cache.put(c, cache[c[:-1]] + cache[c[-1:]], 5 * len(c))
-        get = cache.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+            found.append(b"".join(map(get, raw.translate(BLANKS).split(b" "))))
+        return found
 
 
 def coder(path: str) -> Coder:
