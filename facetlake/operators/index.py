@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sharing import removed, settled
+from ..sharing import removed, settled, small_table
 
 XYZ = ("x", "y", "z")
 LOW, HIGH = tuple("l" + c for c in XYZ), tuple("h" + c for c in XYZ)
@@ -27,6 +27,8 @@ LOW, HIGH = tuple("l" + c for c in XYZ), tuple("h" + c for c in XYZ)
 SAMPLE, LEAF_ROWS, MOST_LEAVES = 200_000, 1024, 1 << 16
 #: Items and places that meet under one key, and places walked down at once.
 CHUNK, BLOCK, AT_ONCE = 4096, 16_384, 2000
+#: Items and places that meet under one key of a region, and items that say how many a region will have.
+REGION_ITEMS, REGION_PLACES, TRIED = 65_536, 16_384, 20_000
 #: Rounding of squared distances, as a share: far above that of doubles.
 SLACK = 1 + 1e-13
 
@@ -126,7 +128,8 @@ class Index:
         self.items, self.tree = items, tree
 
     @classmethod
-    def of(cls, items: DataFrame) -> Index | None:
+    def of(cls, items: DataFrame, leaves: int | None = None) -> Index | None:
+        """The index of items; with ``leaves``, of about so many leaves whatever the number of items."""
         items = items.withColumns({c: F.col(c).cast("double") for c in (*LOW, *HIGH)})
         n = items.count()
         if not n:
@@ -137,7 +140,7 @@ class Index:
         share = min(1.0, SAMPLE / n)
         sample = some.sample(share, 7) if share < 1 else some
         rows = np.column_stack([c.to_numpy() for c in sample.toArrow().columns])
-        tree = Tree.cut(rows, max(1, int(LEAF_ROWS * share), -(-2 * len(rows) // MOST_LEAVES)))
+        tree = Tree.cut(rows, -(-len(rows) // leaves) if leaves else max(1, int(LEAF_ROWS * share), -(-2 * len(rows) // MOST_LEAVES)))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -175,3 +178,51 @@ class Index:
     def remove(self) -> None:
         """The dealt items go; only once what reads them is written."""
         removed(self.items)
+
+
+class Regions:
+    """Places dealt to a bounded number of leaves (regions), and items copied to each region that they may count for.
+
+    An item has as many copies as there are regions at most, however many places there are. What meets under a key (region, chunk,
+    block) is bounded, too.
+    """
+
+    def __init__(self, index: Index):
+        self.index, self.tree = index, index.tree
+
+    @classmethod
+    def of(cls, places: DataFrame, regions: int) -> Regions | None:
+        """The regions of placed rows (id, x, y, z); None where there are none."""
+        index = Index.of(places.select("id", *(F.col(c).alias(b) for side in (LOW, HIGH) for c, b in zip(XYZ, side, strict=True))), regions)
+        return index and cls(index)
+
+    def places(self) -> DataFrame:
+        return self.index.items.select("id", "leaf", *(F.col(c).alias(x) for c, x in zip(LOW, XYZ, strict=True)))
+
+    def met(self, items: DataFrame, key: str, touched: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """What ``work`` gives for places (id, x, y, z) and items, which ``touched`` copies: (row, region) pairs of a batch."""
+        share = min(1.0, TRIED / max(1, items.count()))
+        tried = (items.sample(share, 7) if share < 1 else items).toArrow()  # about TRIED rows; they decide how fine chunks are only
+        counts = np.bincount(np.concatenate([[0][:0], *(touched(b)[1] for b in tried.to_batches(AT_ONCE))]).astype(np.int64), minlength=len(self.tree.rows))
+        deal = [(int(k), int(-(-counts[k] // (share * REGION_ITEMS))) or 1, int(-(-self.tree.rows[k] // REGION_PLACES))) for k in np.flatnonzero((self.tree.axis < 0) & (self.tree.rows > 0))]
+
+        def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    some = batch.slice(at, AT_ONCE)
+                    row, leaf = touched(some)
+                    for first in range(0, len(row), 10 * AT_ONCE):
+                        part = slice(first, first + 10 * AT_ONCE)
+                        yield pa.RecordBatch.from_arrays([*some.take(pa.array(row[part])).columns, pa.array(leaf[part])], [*some.schema.names, "leaf"])
+
+        table = F.broadcast(small_table(items.sparkSession, deal, "leaf long, chunks int, blocks int"))
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+        left = self.places().join(table, "leaf").withColumn("block", F.pmod(F.xxhash64("id", *XYZ), "blocks").cast("int")).withColumn("chunk", every("chunks"))
+        right = items.mapInArrow(copied, StructType([*items.schema.fields, StructField("leaf", LongType())])).join(table, "leaf")
+        right = right.withColumn("chunk", F.pmod(F.xxhash64(key), "chunks").cast("int")).withColumn("block", every("blocks"))
+        by = ["leaf", "chunk", "block"]
+        return left.drop("chunks", "blocks").groupBy(*by).cogroup(right.drop("chunks", "blocks").groupBy(*by)).applyInArrow(work, schema)
+
+    def remove(self) -> None:
+        """The dealt places go; only once what reads them is written."""
+        self.index.remove()

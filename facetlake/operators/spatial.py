@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..model import Mesh, cloud
 from ..sharing import numbered, settled
-from .index import HIGH, LOW, Index, placed
+from .index import HIGH, LOW, TRIED, Index, Regions, Tree, placed
 
 XYZ = ("x", "y", "z")
 CELL = ("gx", "gy", "gz")
 #: Points or triangles that a task may hold whole, pairs up to which that is worth it, and pairs worked on at once.
 BLOCK_ROWS, BLOCK_PAIRS, BLOCK_AT_ONCE = 100_000, 4_000_000_000, 1_000_000
+#: Regions that places are dealt to where they look for triangles, places that are compared together, and planes tried first.
+TRIANGLE_REGIONS, TOGETHER, TRIED_FIRST = 32, 32, 16
+#: A triangle is bounded by its box alone where the sine of its first corner is less: rounding moves places along a thinner one. For
+#: the others, rounding of distances as a share of coordinates.
+FLAT, PLANE_SLACK = 1e-3, 1e-8
 #: Points of a grid cell that meet under one key.
 DENSE = 4096
 #: Points of a cell that are tried first when cells are linked.
@@ -203,63 +208,139 @@ def nearest_triangle(points: DataFrame, mesh: Mesh) -> DataFrame:
         return whole.select("id", *(F.lit(0).cast("long" if c in _WHOLE else "double").alias(c) for c in _NEAR[1:-1])).where("false")
     if n <= BLOCK_ROWS and n * whole.count() <= BLOCK_PAIRS:
         return nearest_triangle_in_blocks(whole, tri)
-    bounds = {lo: F.least(*(k + x for k in "abc")) for lo, x in zip(LOW, XYZ, strict=True)} | {hi: F.greatest(*(k + x for k in "abc")) for hi, x in zip(HIGH, XYZ, strict=True)}
-    index = Index.of(tri.withColumn("key", F.xxhash64("cid", "k")).select("key", *tri.columns, *(v.alias(c) for c, v in bounds.items())))
+    regions = Regions.of(whole, TRIANGLE_REGIONS)
+    if regions is None:
+        return nearest_triangle_in_blocks(whole, tri.limit(1))
+    tree, share = regions.tree, min(1.0, TRIED / n)
+    reach = _reach(tree, _held((tri.sample(share, 7) if share < 1 else tri).toArrow()))
 
     def work(some: pa.Table, items: pa.Table) -> pa.Table:
-        held = _held(items)
-        step = max(1, BLOCK_AT_ONCE // max(1, len(items)))
-        parts = [_closest_of(*(c.to_numpy() for c in some.select(["id", *XYZ]).slice(at, step).columns), held) for at in range(0, len(some) if len(items) else 0, step)]
+        parts = [_closest_of(*(c.to_numpy() for c in some.select(["id", *XYZ]).columns), _held(items))] if len(items) and len(some) else []
         return pa.Table.from_batches(parts, schema=_PLACED)
 
-    near = index.met(whole, work, _PLACES, k=1)
+    near = regions.met(tri.withColumn("key", F.xxhash64("cid", "k")), "key", lambda batch: _touched(_held(pa.Table.from_batches([batch]), False), tree, reach), work, _PLACES)
     best = near.groupBy("id").agg(F.min(F.struct("d2", "cid", "k", "cx", "cy", "cz", "a", "b", "c", "wa", "wb", "wc")).alias("s"))
     found = settled(best.select("id", *(F.col("s." + c).alias(c) for c in _NEAR[1:-1])))
-    index.remove()
+    regions.remove()
     return found
 
 
 _PLACED = pa.schema([(c, pa.int64() if c in _WHOLE else pa.float64()) for c in _NEAR])
 
 
-def _held(tri: pa.Table) -> dict[str, np.ndarray]:
-    """Triangles as arrays, in the order of cells, with their bounds."""
-    tri = tri.sort_by([("cid", "ascending"), ("k", "ascending")])
+def _held(tri: pa.Table, sort: bool = True) -> dict[str, np.ndarray]:
+    """Triangles as arrays, in the order of cells, with their bounds, the planes they lie in (n, n . a; zeros where they are too thin to
+    have a sure one) and how far rounding may put a place off its plane."""
+    tri = tri.sort_by([("cid", "ascending"), ("k", "ascending")]) if sort else tri
     t = {c: np.column_stack([tri.column(c + x).to_numpy() for x in XYZ]) for c in "abc"}
-    return t | {"cid": tri.column("cid").to_numpy(), "k": tri.column("k").to_numpy(), "ids": np.column_stack([tri.column(c).to_numpy() for c in "abc"]), "lo": np.minimum(np.minimum(t["a"], t["b"]), t["c"]), "hi": np.maximum(np.maximum(t["a"], t["b"]), t["c"])}
+    lo, hi = np.minimum(np.minimum(t["a"], t["b"]), t["c"]), np.maximum(np.maximum(t["a"], t["b"]), t["c"])
+    u, v = t["b"] - t["a"], t["c"] - t["a"]
+    with np.errstate(all="ignore"):
+        n = np.cross(u, v)
+        size = np.sqrt((n * n).sum(1))
+        sure = (size > FLAT * np.sqrt((u * u).sum(1) * (v * v).sum(1))) & (size > 1e-200) & (size < 1e200)
+        n = np.where(sure[:, None], n / size[:, None], 0.0)
+    held = {"lo": lo, "hi": hi, "sure": sure, "n": n, "at": np.where(sure, (n * np.where(sure[:, None], t["a"], 0)).sum(1), 0.0), "slack": PLANE_SLACK * np.maximum(np.abs(lo), np.abs(hi)).max(1)}
+    return t | held | {"cid": tri.column("cid").to_numpy(), "k": tri.column("k").to_numpy(), "ids": np.column_stack([tri.column(c).to_numpy() for c in "abc"])}
+
+
+def _least_off(low: np.ndarray, high: np.ndarray, t: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
+    """A distance that no place of the boxes (one, or one a triangle) is nearer than to the triangles ``k``: by bounds and planes."""
+    middle, half = low / 2 + high / 2, high / 2 - low / 2
+    gap = np.maximum(np.maximum(t["lo"][k] - high, low - t["hi"][k]), 0)
+    n = t["n"][k]
+    slack = t["slack"][k] + PLANE_SLACK * np.maximum(np.abs(low), np.abs(high)).max(-1)
+    dot = lambda a, b: np.einsum("ij,ij->i" if b.ndim > 1 else "ij,j->i", a, b)
+    plane = np.abs(dot(n, middle) - t["at"][k]) - dot(np.abs(n), half)
+    return np.maximum(np.sqrt(dot(gap, gap)), plane) - slack
+
+
+def _exact(p: np.ndarray, t: dict[str, np.ndarray], k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(squared distances, closest places, weights) of places and the triangles ``k``, pair by pair."""
+    place, w = g.closest_places(p, t["a"][k], t["b"][k], t["c"][k])
+    return ((place - p) ** 2).sum(axis=1), place, w
 
 
 def _closest_of(ids: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, t: dict[str, np.ndarray]) -> pa.RecordBatch:
     """The closest place on held triangles for a block of points, ties by lower cell id.
 
-    For each point the triangles are taken whose bounds are no farther than the nearest first corner; the exact places on those
-    are compared.
+    Points are halved until few are together. Each part keeps the triangles that a bound of its box doesn't rule out; for what is
+    left the distances to planes, then those to bounds, say which pairs are compared exactly.
     """
-    p, lo, hi = np.column_stack((x, y, z)), t["lo"], t["hi"]
-    low, corner = np.zeros((len(p), len(lo))), np.zeros((len(p), len(lo)))
-    for i in range(3):
-        v = p[:, i, None]
-        low += np.maximum(np.maximum(lo[None, :, i] - v, v - hi[None, :, i]), 0) ** 2
-        corner += (t["a"][None, :, i] - v) ** 2
-    row, col = np.nonzero(low <= corner.min(axis=1)[:, None] * (1 + 1e-9))
-    place, w = g.closest_places(p[row], t["a"][col], t["b"][col], t["c"][col])
-    d2 = ((place - p[row]) ** 2).sum(axis=1)
-    order = np.lexsort((col, d2, row))
-    best = order[np.searchsorted(row[order], np.arange(len(p)))]
-    r, c = row[best], col[best]
-    values = [ids[r], t["cid"][c], d2[best], *place[best].T, *t["ids"][c].T, *w[best].T, t["k"][c]]
+    p = np.column_stack((x, y, z))
+    best, d2, place, w = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros((len(p), 3)), np.zeros((len(p), 3))
+    todo = [(np.arange(len(p)), np.arange(len(t["cid"])))] if len(p) else []
+    while todo:
+        some, tri = todo.pop()
+        at = p[some]
+        low, high = at.min(0), at.max(0)
+        middle = low / 2 + high / 2
+        near = _least_off(middle, middle, t, tri)
+        first = tri[np.argpartition(near, min(TRIED_FIRST, len(tri)) - 1)[:TRIED_FIRST]]
+        most = np.where(t["sure"][first], np.sqrt(_exact(np.broadcast_to(middle, (len(first), 3)), t, first)[0]) + t["slack"][first], np.inf).min() + PLANE_SLACK * np.abs(middle).max()
+        tri = tri[_least_off(low, high, t, tri) <= (most + np.sqrt(((high - middle) ** 2).sum())) * (1 + 1e-9)]
+        if len(some) > 1 and (len(some) > TOGETHER or len(some) * len(tri) > BLOCK_AT_ONCE):
+            half = np.argpartition(at[:, int(np.argmax(high - low))], len(some) // 2)
+            todo += [(some[half[: len(some) // 2]], tri), (some[half[len(some) // 2 :]], tri)]
+            continue
+        n = t["n"][tri]
+        off = np.abs(at[:, :1] * n[:, 0] + at[:, 1:2] * n[:, 1] + at[:, 2:] * n[:, 2] - t["at"][tri]) - t["slack"][tri] - PLANE_SLACK * np.abs(at).max(1)[:, None]
+        first = np.argpartition(off, min(TRIED_FIRST, len(tri)) - 1, axis=1)[:, :TRIED_FIRST]
+        bound = np.sqrt(_exact(np.repeat(at, first.shape[1], axis=0), t, tri[first.ravel()])[0].reshape(first.shape).min(1))
+        bound = np.minimum(bound, most + np.sqrt(((at - middle) ** 2).sum(1))) * (1 + 1e-9)
+        row, col = np.nonzero(off <= bound[:, None])
+        kept = _least_off(at[row], at[row], t, tri[col]) <= bound[row]
+        row, col = row[kept], col[kept]
+        found, places, weights = _exact(at[row], t, tri[col])
+        order = np.lexsort((col, found, row))
+        order = order[np.searchsorted(row[order], np.arange(len(some)))]
+        best[some], d2[some], place[some], w[some] = tri[col[order]], found[order], places[order], weights[order]
+    values = [ids, t["cid"][best], d2, *place.T, *t["ids"][best].T, *w.T, t["k"][best]]
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], schema=_PLACED)
 
 
+def _reach(tree: Tree, t: dict[str, np.ndarray]) -> np.ndarray:
+    """For each node of a tree of places a distance within which every one of them has one of the triangles."""
+    reach = np.full(len(tree.axis), np.inf)
+    leaves = np.flatnonzero((tree.axis < 0) & (tree.rows > 0))
+    middle = tree.low[leaves] / 2 + tree.high[leaves] / 2
+    t = {k: v[t["sure"]] for k, v in t.items()}
+    if len(t["cid"]):
+        found = _closest_of(leaves, *(np.ascontiguousarray(c) for c in middle.T), t | {"cid": np.arange(len(t["cid"]))})
+        d = np.sqrt(found.column("d2").to_numpy()) + t["slack"][found.column("cid").to_numpy()] + PLANE_SLACK * np.abs(middle).max(1)
+        reach[leaves] = (d + np.sqrt(((tree.high[leaves] - middle) ** 2).sum(1))) * (1 + 1e-9)
+    for node in range(len(tree.axis) - 1, -1, -1):  # children come after their parent
+        if tree.axis[node] >= 0:
+            reach[node] = reach[tree.below[node] : tree.below[node] + 2].max()
+    return reach
+
+
+def _touched(t: dict[str, np.ndarray], tree: Tree, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(triangle, leaf): leaves with places that a triangle may be the nearest of."""
+    tri, node, found = np.arange(len(t["cid"])), np.zeros(len(t["cid"]), np.int64), []
+    while len(tri):
+        kept = tree.rows[node] > 0
+        tri, node = tri[kept], node[kept]
+        kept = _least_off(tree.low[node], tree.high[node], t, tri) <= reach[node]
+        tri, node = tri[kept], node[kept]
+        leaf = tree.axis[node] < 0
+        at, of = tri[leaf], node[leaf]
+        middle = tree.low[of] / 2 + tree.high[of] / 2
+        off = np.sqrt(_exact(middle, t, at)[0]) - np.sqrt(((tree.high[of] - middle) ** 2).sum(1))
+        near = ~t["sure"][at] | (off * (1 - 1e-9) - t["slack"][at] - PLANE_SLACK * np.abs(middle).max(1, initial=0) <= reach[of])
+        found.append((at[near], of[near]))
+        below = tree.below[node[~leaf]]
+        tri, node = np.repeat(tri[~leaf], 2), np.column_stack((below, below + 1)).ravel()
+    return tuple(np.concatenate(v) if found else np.zeros(0, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))
+
+
 def nearest_triangle_in_blocks(points: DataFrame, tri: DataFrame) -> DataFrame:
     """As ``nearest_triangle`` for at most BLOCK_ROWS placed triangles: tasks hold all of them."""
     sent = points.sparkSession.sparkContext.broadcast(_held(tri.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, BLOCK_AT_ONCE // len(sent.value["cid"]))
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                yield _closest_of(*(c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns), sent.value)
+            yield _closest_of(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), sent.value)
 
     return points.mapInArrow(run, _PLACES).drop("k")
 
