@@ -27,6 +27,8 @@ CELL = ("gx", "gy", "gz")
 BLOCK_ROWS, BLOCK_PAIRS, BLOCK_AT_ONCE = 100_000, 4_000_000_000, 1_000_000
 #: Regions that places are dealt to where they look for triangles, places that are compared together, and planes tried first.
 TRIANGLE_REGIONS, TOGETHER, TRIED_FIRST = 32, 32, 16
+#: Regions that points are dealt to where those within a radius are counted, and rows that are held against all regions at once.
+RADIUS_REGIONS, REGION_ROWS = 64, 2000
 #: A triangle is bounded by its box alone where the sine of its first corner is less: rounding moves places along a thinner one. For
 #: the others, rounding of distances as a share of coordinates.
 FLAT, PLANE_SLACK = 1e-3, 1e-8
@@ -437,18 +439,118 @@ def mark_sphere(points: DataFrame, center, radius: float, value: float = 1.0) ->
     return points.withColumn("scalar", F.when(inside, float(value)).otherwise(old))
 
 
+def radius_totals(points: DataFrame, radius: float, value: str | None = None) -> DataFrame:
+    """(id, n, total, known): for each point (pid, x, y, z) the number of points within ``radius``, itself included, the sum of their
+    ``value`` and the number of those that have one. Points without a finite place are left out.
+
+    No pairs are listed. What lies within the radius of a whole region of points is summed once for it; only the others are copied
+    to the region, and there parts of it take sums in the same way before few points are compared one by one.
+    """
+    rows = placed(points.select(F.col("pid").alias("id"), *(F.col(c).cast("double").alias(c) for c in XYZ), (F.col(value) if value else F.lit(0.0)).cast("double").alias("value")))
+    regions = Regions.of(rows, RADIUS_REGIONS)
+    kinds = dict(rows.dtypes)
+    if regions is None:
+        return rows.select("id", F.lit(1).cast("long").alias("n"), F.col("value").alias("total"), F.lit(1).cast("long").alias("known"))
+    tree, limit = regions.tree, radius * radius
+    # Farther or nearer than this no rounding of a distance matters.
+    sure_in, sure_out = limit * (1 - 1e-9), limit * (1 + 1e-9)
+    leaves = np.flatnonzero((tree.axis < 0) & (tree.rows > 0))
+
+    def sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row and leaf, whether it is surely within the radius of all places there, and whether it may be of some."""
+        p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in XYZ])[:, None]
+        near2, far2 = _box_distances(p, tree.low[leaves], tree.high[leaves])
+        return far2 <= sure_in, near2 <= sure_out
+
+    def partly(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        inside, some = sides(batch)
+        row, leaf = np.nonzero(some & ~inside)
+        return row, leaves[leaf]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, known, total = np.zeros(len(leaves), np.int64), np.zeros(len(leaves), np.int64), np.zeros(len(leaves))
+        for batch in batches:
+            for at in range(0, batch.num_rows, REGION_ROWS):
+                some = batch.slice(at, REGION_ROWS)
+                inside, (v, has) = sides(some)[0], _values(some.column("value"))
+                n += inside.sum(0)
+                known += inside[has].sum(0)
+                total += _summed(inside, v)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (leaves, n, total, known)], ["leaf", "n", "total", "known"])
+
+    def work(some: pa.Table, items: pa.Table) -> pa.Table:
+        if not len(some) or not len(items):
+            return _TOTALS.empty_table().select(["place", "n", "total", "known"])
+        p, q = (np.column_stack([t.column(c).to_numpy() for c in XYZ]) for t in (some, items))
+        found = _totals_of(p, q, *_values(items.column("value")), limit, sure_in, sure_out)
+        return pa.table({"place": some.column("id"), "n": found[0], "total": found[1], "known": found[2]}).cast(pa.schema([pa.field("place", some.schema.field("id").type), *list(_TOTALS)[1:]]))
+
+    part = regions.met(rows.withColumn("key", F.xxhash64("id", *XYZ)), "key", partly, work, f"place {kinds['id']}, n long, total double, known long").withColumnRenamed("place", "id")
+    bulk = rows.mapInArrow(whole, "leaf long, n long, total double, known long").groupBy("leaf").agg(*(F.sum(c).alias(c) for c in ("n", "total", "known")))
+    each = regions.places().join(F.broadcast(bulk), "leaf").select("id", "n", "total", "known")
+    return part.unionByName(each)
+
+
+_TOTALS = pa.schema([("place", pa.int64()), ("n", pa.int64()), ("total", pa.float64()), ("known", pa.int64())])
+
+
+def _box_distances(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared least and most distances of places from boxes."""
+    gap, far = np.maximum(np.maximum(low - p, p - high), 0), np.maximum(np.abs(p - low), np.abs(high - p))
+    return np.einsum("...i,...i->...", gap, gap), np.einsum("...i,...i->...", far, far)
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values with 0 for null, and which are not null."""
+    return column.fill_null(0.0).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.fill_null(0.0).to_numpy(), ~np.asarray(column.is_null())
+
+
+def _summed(chosen: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each column of a choice (rows by columns) the sum of the chosen rows' values; NaN and infinite ones count where chosen."""
+    odd = ~np.isfinite(v)
+    total = np.einsum("ij,i->j", chosen, np.where(odd, 0.0, v))
+    return total + np.where(chosen[odd], v[odd][:, None], 0.0).sum(0) if odd.any() else total
+
+
+def _totals_of(p: np.ndarray, q: np.ndarray, v: np.ndarray, has: np.ndarray, limit: float, sure_in: float, sure_out: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, total, known) over the items q with values v within the radius of each place p."""
+    n, total, known = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p), np.int64)
+    todo = [(np.arange(len(p)), np.arange(len(q)))]
+    while todo:
+        some, items = todo.pop()
+        at = p[some]
+        low, high = at.min(0), at.max(0)
+        near2, far2 = _box_distances(q[items], low, high)
+        inside = items[far2 <= sure_in]
+        n[some] += len(inside)
+        total[some] += v[inside].sum()
+        known[some] += has[inside].sum()
+        items = items[(near2 <= sure_out) & (far2 > sure_in)]
+        if not len(items):
+            continue
+        if len(some) > 1 and (len(some) > TOGETHER or len(some) * len(items) > BLOCK_AT_ONCE):
+            half = np.argpartition(at[:, int(np.argmax(high - low))], len(some) // 2)
+            todo += [(some[half[: len(some) // 2]], items), (some[half[len(some) // 2 :]], items)]
+            continue
+        d = [at[:, k] - q[items, k][:, None] for k in range(3)]
+        within = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= limit
+        n[some] += within.sum(0)
+        known[some] += within[has[items]].sum(0)
+        total[some] += _summed(within, v[items])
+    return n, total, known
+
+
 def local_density(points: DataFrame, radius: float = 1.0, compat: bool = False) -> DataFrame:
     """(pid, density): points within ``radius`` by the volume of the sphere; ``compat`` leaves its third out."""
     volume = 4 * math.pi * radius**3 / (1 if compat else 3)
-    return radius_join(points, points, radius).groupBy(F.col("id").alias("pid")).agg((F.count("*") / volume).alias("density"))
+    return radius_totals(points, radius).groupBy(F.col("id").alias("pid")).agg((F.sum("n") / volume).alias("density"))
 
 
 def smooth_scalar(points: DataFrame, radius: float) -> DataFrame:
     """Points with the mean scalar of their neighbours within ``radius``, themselves included."""
     if dict(points.dtypes)["scalar"].startswith("array"):
         raise ValueError("colours can't be averaged as scalars")
-    values = points.select(F.col("pid").alias("other"), "scalar")
-    mean = radius_join(points, points, radius).join(values, "other").groupBy(F.col("id").alias("pid")).agg(F.avg("scalar").alias("scalar"))
+    mean = radius_totals(points, radius, "scalar").groupBy(F.col("id").alias("pid")).agg(F.try_divide(F.sum("total"), F.sum("known")).alias("scalar"))
     return points.drop("scalar").join(mean, "pid")
 
 
