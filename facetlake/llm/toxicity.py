@@ -59,6 +59,10 @@ EDGES = ".,;:?!'’\"()[]"
 PLAIN_EDGES = ".,;:?'’"
 BEGINNINGS = range(4, 10)
 LEVELS = 3
+#: Bytes of text whose features a task holds at once while it counts them: their names take many times as much.
+COUNTED_BYTES = 256 << 10
+#: Bytes of text in a block that is scored at once.
+SCORED_BYTES = 1 << 20
 
 
 def class_table() -> np.ndarray:
@@ -529,16 +533,24 @@ class Scorer:
         return found
 
 
+def listed(counts: list[Counter]) -> pa.ListArray:
+    """An array of (f, n) for each counter, without a Python object for each of its entries."""
+    ends = np.cumsum([0, *map(len, counts)], dtype=np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array([f for c in counts for f in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int32())], ["f", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+
 def feature_counts(sample: DataFrame, trigrams: np.ndarray, known: frozenset[str]) -> DataFrame:
     """(_doc, _label, features array of (f, n)) of each row (_doc, _text, _label): its text restored, and how often each feature is in it."""
-    sent = sample.sparkSession.sparkContext.broadcast((trigrams, known))
-    kind = pa.list_(pa.struct([("f", pa.string()), ("n", pa.int32())]))
+    sent, number = sample.sparkSession.sparkContext.broadcast((trigrams, known)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Restorer(*sent.value), None)
-        for batch in slices(batches):
-            found = [[{"f": f, "n": n} for f, n in scorer.count(t).items()] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], ["_doc", "_label", "features"])
+        scorer = held_by_worker(("toxicity", number), lambda: Scorer(Restorer(*sent.value), None))
+        for batch in slices(batches, most_bytes=COUNTED_BYTES):
+            found = listed([scorer.count(t) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found], ["_doc", "_label", "features"])
+        batch = found = None
+        released()
 
     counted = written(sample.select("_doc", "_text", "_label").mapInArrow(run, f"_doc {sample.schema['_doc'].dataType.simpleString()}, _label int, features array<struct<f: string, n: int>>"), "features")
     sent.destroy()
@@ -647,7 +659,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(number, sent.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SCORED_BYTES):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             p = scorer.scores(texts, sent.value)
             columns = [batch.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
@@ -664,7 +676,7 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text", limit: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(number, sent.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SCORED_BYTES):
             clean = scorer.scores([t or "" for t in batch.column(at).to_pylist()], sent.value) < limit
             yield batch.filter(pa.array(clean, pa.bool_()))
 
