@@ -27,6 +27,12 @@ QUADRIC = tuple(f"q{i}{j}" for i in range(4) for j in range(i, 4))
 BORDER, TURN = 10.0, 0.2
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides. A round joins tables of the mesh's size some twenty times: broadcasts would bring each of
+    them to the driver, again in every round."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def plane_quadric(n: g.Vector, p: g.Vector, weight) -> dict:
     """The quadric of the plane through p with unit normal n."""
     row = (*n, -g.dot(n, p))
@@ -36,7 +42,7 @@ def plane_quadric(n: g.Vector, p: g.Vector, weight) -> dict:
 def placed(tri: DataFrame, points: DataFrame) -> DataFrame:
     """Triangles (t, a, b, c) with the coordinates of their corners."""
     for k in "abc":
-        tri = tri.join(points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ)), k)
+        tri = met(tri, points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ)), k)
     return tri
 
 
@@ -53,9 +59,9 @@ def quadrics(tri: DataFrame, points: DataFrame) -> DataFrame:
     n = g.cross(g.sub(b, a), g.sub(c, a))
     flat = t.select(F.explode(F.array(*"abc")).alias("pid"), *(v.alias(k) for k, v in plane_quadric(g.normalised(n), a, g.norm(n) / 2).items()))
     lone = sides(tri).groupBy("u", "v").agg(F.count("*").alias("n"), F.min("t").alias("t")).where("n = 1")
-    edge = lone.join(t.select("t", *(v.alias("n" + x) for v, x in zip(g.normalised(n), XYZ, strict=True))), "t")
+    edge = met(lone, t.select("t", *(v.alias("n" + x) for v, x in zip(g.normalised(n), XYZ, strict=True))), "t")
     for k in "uv":
-        edge = edge.join(points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ)), k)
+        edge = met(edge, points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ)), k)
     u, v = (g.vector(*(k + x for x in XYZ)) for k in "uv")
     along = g.sub(v, u)
     wall = g.normalised(g.cross(along, g.vector("nx", "ny", "nz")))
@@ -102,30 +108,30 @@ def candidates(tri: DataFrame, points: DataFrame, move: bool) -> DataFrame:
     edge = settled(side.groupBy("u", "v").agg(F.count("*").alias("cells")))
     both = edge.select(F.col("u").alias("p"), F.col("v").alias("q")).unionByName(edge.select(F.col("v").alias("p"), F.col("u").alias("q")))
     near = lambda k: both.select(F.col("p").alias(k), F.col("q").alias("w"))
-    common = edge.join(near("u"), "u").join(near("v"), ["v", "w"]).groupBy("u", "v").agg(F.count("*").alias("common"))
+    common = met(met(edge, near("u"), "u"), near("v"), ["v", "w"]).groupBy("u", "v").agg(F.count("*").alias("common"))
     across = lambda k: tri.select("t", F.explode(F.array(*(F.struct(F.col(p).alias("at"), F.least(q, r).alias("p"), F.greatest(q, r).alias("q")) for p, q, r in (("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))))).alias("s")).select(F.col("s.at").alias(k), "s.p", "s.q")
-    lids = edge.join(across("u"), "u").join(across("v"), ["v", "p", "q"]).select("u", "v").distinct()
+    lids = met(met(edge, across("u"), "u"), across("v"), ["v", "p", "q"]).select("u", "v").distinct()
     rim = edge.where("cells <> 2").select(F.explode(F.array("u", "v")).alias("pid")).distinct().withColumn("rim", F.lit(True))
-    ok = edge.where("cells <= 2").join(common, ["u", "v"]).where("common = cells").join(lids, ["u", "v"], "left_anti")
+    ok = met(met(edge.where("cells <= 2"), common, ["u", "v"]).where("common = cells"), lids, ["u", "v"], "left_anti")
     for k in "uv":
-        ok = ok.join(rim.select(F.col("pid").alias(k), F.col("rim").alias("rim" + k)), k, "left")
+        ok = met(ok, rim.select(F.col("pid").alias(k), F.col("rim").alias("rim" + k)), k, "left")
     ok = ok.where("cells = 1 or rimu is null or rimv is null").select("u", "v", (F.col("cells") == 1).alias("border"), "rimu", "rimv")
     # A point on a border keeps its place where the other end is inside.
     for k in "uv":
-        ok = ok.join(points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ), *(F.col(q).alias(k + q) for q in QUADRIC)), k)
+        ok = met(ok, points.select(F.col("pid").alias(k), *(F.col(x).alias(k + x) for x in XYZ), *(F.col(q).alias(k + q) for q in QUADRIC)), k)
     ok = ok.select("u", "v", "border", *(k + x for k in "uv" for x in XYZ), *((F.col("u" + q) + F.col("v" + q)).alias(q) for q in QUADRIC), "rimu", "rimv")
     cost = ok.drop("rimu", "rimv").mapInArrow(_costs(move), "u long, v long, border boolean, cost double, x double, y double, z double")
     held = ok.where("not border and (rimu is not null or rimv is not null)").select("u", "v", *(F.when(F.col("rimu").isNotNull(), F.col("u" + x)).otherwise(F.col("v" + x)).alias("f" + x) for x in XYZ), *QUADRIC)
     at = (*(F.col("f" + x) for x in XYZ), F.lit(1.0))
     value = sum((F.col(f"q{i}{j}") * at[i] * at[j] * (1 if i == j else 2) for i in range(4) for j in range(i, 4)), F.lit(0.0))
     held = held.select("u", "v", *("f" + x for x in XYZ), F.greatest(value, F.lit(0.0)).alias("fcost"))
-    cost = settled(cost.join(held, ["u", "v"], "left").select("u", "v", "border", F.coalesce("fcost", "cost").alias("cost"), *(F.coalesce("f" + x, x).alias(x) for x in XYZ)))
+    cost = settled(met(cost, held, ["u", "v"], "left").select("u", "v", "border", F.coalesce("fcost", "cost").alias("cost"), *(F.coalesce("f" + x, x).alias(x) for x in XYZ)))
     # Triangles around the ends that stay must not turn.
     t = placed(tri, points)
     a, b, c = (g.vector(*(k + x for x in XYZ)) for k in "abc")
     spots = t.select("t", *"abc", *(k + x for k in "abc" for x in XYZ), F.explode(F.array(*"abc")).alias("end"))
     ends = cost.select("u", "v", *(F.col(x).alias("n" + x) for x in XYZ), F.explode(F.array("u", "v")).alias("end"))
-    moved = spots.join(ends, "end")
+    moved = met(spots, ends, "end")
     gone = F.lit(0)
     for k in "abc":
         gone = gone + (F.col(k).isin(F.col("u"), F.col("v"))).cast("int")
@@ -133,7 +139,7 @@ def candidates(tri: DataFrame, points: DataFrame, move: bool) -> DataFrame:
     new = [tuple(F.when(F.col(k) == F.col("end"), F.col("n" + x)).otherwise(F.col(k + x)) for x in XYZ) for k in "abc"]
     was, now = g.cross(g.sub(b, a), g.sub(c, a)), g.cross(g.sub(new[1], new[0]), g.sub(new[2], new[0]))
     turned = moved.where(g.dot(was, now) <= TURN * g.norm(was) * g.norm(now)).select("u", "v").distinct()
-    out = settled(cost.join(turned, ["u", "v"], "left_anti"))
+    out = settled(met(cost, turned, ["u", "v"], "left_anti"))
     removed(side, edge, cost)
     return out
 
@@ -144,11 +150,11 @@ def independent(edges: DataFrame, tri: DataFrame) -> DataFrame:
     own = edges.select(key.alias("key"), F.explode(F.array("u", "v")).alias("pid")).groupBy("pid").agg(F.min("key").alias("key"))
     link = sides(tri).select("u", "v").distinct()
     both = link.select(F.col("u").alias("pid"), F.col("v").alias("o")).unionByName(link.select(F.col("v").alias("pid"), F.col("u").alias("o")))
-    near = both.join(own.select(F.col("pid").alias("o"), "key"), "o").select("pid", "key").unionByName(own)
+    near = met(both, own.select(F.col("pid").alias("o"), "key"), "o").select("pid", "key").unionByName(own)
     least = near.groupBy("pid").agg(F.min("key").alias("key"))
     first = edges.withColumn("key", key)
     for k in "uv":
-        first = first.join(least.select(F.col("pid").alias(k), F.col("key").alias("key" + k)), k)
+        first = met(first, least.select(F.col("pid").alias(k), F.col("key").alias("key" + k)), k)
     return first.where("key = keyu and key = keyv").drop("key", "keyu", "keyv")
 
 
@@ -164,7 +170,7 @@ def decimate(mesh: Mesh, factor: float = 0.5, method: str = "quadric", most_roun
     tri = mesh.triangles().where("a <> b and b <> c and c <> a").select(*(F.col(k).cast("long").alias(k) for k in "abc"), "tid")
     tri = settled(numbered(tri, "t", "tid").select("t", *"abc"))
     points = mesh.points.select(F.col("pid").cast("long").alias("pid"), *(F.col(x).cast("double").alias(x) for x in XYZ))
-    points = settled(points.join(quadrics(tri, points), "pid"))
+    points = settled(met(points, quadrics(tri, points), "pid"))
     total = left = tri.count()
     target = total - int(total * factor)
     for _ in range(most_rounds):
@@ -186,11 +192,11 @@ def decimate(mesh: Mesh, factor: float = 0.5, method: str = "quadric", most_roun
         names = chosen.select(F.col("v").alias("pid"), F.col("u").alias("to"))
         step = tri
         for k in "abc":
-            step = step.join(names.select(F.col("pid").alias(k), F.col("to").alias("to" + k)), k, "left").withColumn(k, F.coalesce("to" + k, k)).drop("to" + k)
+            step = met(step, names.select(F.col("pid").alias(k), F.col("to").alias("to" + k)), k, "left").withColumn(k, F.coalesce("to" + k, k)).drop("to" + k)
         new_tri = settled(step.where("a <> b and b <> c and c <> a").select("t", *"abc"))
         other = points.select(F.col("pid").alias("v"), *(F.col(q).alias("v" + q) for q in QUADRIC))
-        moved = chosen.select(F.col("u").alias("pid"), "v", *(F.col(x).alias("n" + x) for x in XYZ)).join(other, "v").drop("v")
-        kept = points.join(names.select("pid"), "pid", "left_anti").join(moved, "pid", "left")
+        moved = met(chosen.select(F.col("u").alias("pid"), "v", *(F.col(x).alias("n" + x) for x in XYZ)), other, "v").drop("v")
+        kept = met(met(points, names.select("pid"), "pid", "left_anti"), moved, "pid", "left")
         new_points = settled(kept.select("pid", *(F.coalesce("n" + x, x).alias(x) for x in XYZ), *((F.col(q) + F.coalesce(F.col("v" + q), F.lit(0.0))).alias(q) for q in QUADRIC)))
         removed(tri, points, some, chosen)
         tri, points = new_tri, new_points
