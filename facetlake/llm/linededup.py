@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sharing import written
-from .common import held_by_worker, slices
+from .common import held_by_worker, returning, slices
 
 #: Boilerplate lines of all hosts together that may be broadcast; beyond it lines are joined by shuffle.
 BROADCAST_LINES = 200_000
@@ -101,7 +101,7 @@ def _dropped_by_set(rows: DataFrame, found: DataFrame, site_col: str, text_col:
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*batch.schema.names, "n_lines", "n_dropped"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))
+    return rows.mapInArrow(returning(run), StructType([*rows.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))
 
 
 def _dropped_by_join(rows: DataFrame, found: DataFrame, site_col: str, text_col: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sharing import removed, written
-from .common import held_by_worker, slices, text_of
+from .common import held_by_worker, returning, slices, text_of
 
 #: N-grams in at least this many texts, and words at least so frequent, are known to the order by an estimate of their number.
 FREQUENT = 32
@@ -32,6 +32,8 @@ FREQUENT = 32
 FREQUENT_KEPT = 500_000
 #: N-grams or words of a batch of texts in which repeated ones are counted together.
 COUNTED_TOGETHER = 2_000_000
+#: Bytes of texts whose sets a task makes at a time: an n-gram takes several numbers of 8 bytes until its set is described.
+TEXT_BYTES = 1 << 20
 #: Fragments of the global order: so many ranges of the rare n-grams, and one of the frequent ones.
 RARE_FRAGMENTS = 8
 #: Classes of a bucket up to which all its pairs are candidates at once.
@@ -152,9 +154,13 @@ def frequent(texts: DataFrame, n: int) -> tuple[Counts, Counts]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def repeated(held, word):
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            hashes = np.concatenate(held)
+            held.clear()
+            hashes.sort()  # in place, as np.unique would copy them twice
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            counts = np.diff(first, append=len(hashes))
             kept = counts > (FREQUENT // 8 if word else 1)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), word)), pa.array(hashes[kept]), pa.array(counts[kept].astype(np.int64))], ["word", "hash", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), word)), pa.array(hashes[first[kept]]), pa.array(counts[kept].astype(np.int64))], ["word", "hash", "n"])
 
         held_by_worker(("n-gram join",), lambda: None)  # what another operator kept goes
         held: tuple[list, list] = ([], [])
@@ -171,7 +177,7 @@ def frequent(texts: DataFrame, n: int) -> tuple[Counts, Counts]:
         if held[0]:
             yield from (repeated(h, bool(k)) for k, h in enumerate(held))
 
-    counts = texts.select("text").mapInArrow(run, "word boolean, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = texts.select("text").mapInArrow(returning(run), "word boolean, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     counts = written(counts, "frequent")
     out = []
     for word in (False, True):
@@ -243,7 +249,7 @@ class Join:
         num, den, order = self.num, self.den, self.order
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in slices(batches, most_bytes=TEXT_BYTES):
                 placed = [order.value.placed(t) for t in batch.column(2).to_pylist()]
                 sets = [x[0] for x in placed]
                 first = [order.value.prefix(*x, num, den) for x in placed]
@@ -251,7 +257,7 @@ class Join:
                 rare = pa.array([int((x[1] == 0).sum()) for x in placed], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), rare, prefix, pa.array([signature(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_md5", "n_shingles", "key", "rare", "prefix", "signature"])
 
-        return self.texts.select("doc_id", F.md5("text"), "text").mapInArrow(run, f"doc_id {self.id_type}, text_md5 string, n_shingles long, key binary, rare long, prefix array<long>, signature array<long>")
+        return self.texts.select("doc_id", F.md5("text"), "text").mapInArrow(returning(run), f"doc_id {self.id_type}, text_md5 string, n_shingles long, key binary, rare long, prefix array<long>, signature array<long>")
 
     def buckets(self) -> DataFrame:
         """(gram, cid, n, at, rare, m): classes with an n-gram in their prefix, at that place, that m > 1 classes have in theirs.
@@ -325,7 +331,7 @@ class Join:
         texts = self.texts.join(few, F.col("doc_id").eqNullSafe(F.col("one")) & (F.md5("text") == F.col("md5"))).select("cid", "key", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in slices(batches, most_bytes=TEXT_BYTES):
                 cids, parts, grams = [], [], []
                 for cid, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     for part, some in order.value.fragments(text):
@@ -335,7 +341,7 @@ class Join:
                 values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, grams)]), pa.int32()), pa.array(np.concatenate([*grams, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(parts, pa.int32()), values], ["cid", "fragment", "grams"])
 
-        found = written(texts.mapInArrow(run, "cid long, fragment int, grams array<long>"), "segments")
+        found = written(texts.mapInArrow(returning(run), "cid long, fragment int, grams array<long>"), "segments")
         if found.groupBy("cid", "fragment").count().where("count > 1").limit(1).count():  # repeated rows
             every, found = found, written(found.dropDuplicates(["cid", "fragment"]), "segments")
             removed(every)
