@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sharing import removed, written
-from .common import held_by_worker, returning, slices, text_of
+from .common import TEXT_BYTES, held_by_worker, returning, slices, text_of
 
 #: N-grams in at least this many texts, and words at least so frequent, are known to the order by an estimate of their number.
 FREQUENT = 32
@@ -32,8 +32,6 @@ FREQUENT = 32
 FREQUENT_KEPT = 500_000
 #: N-grams or words of a batch of texts in which repeated ones are counted together.
 COUNTED_TOGETHER = 2_000_000
-#: Bytes of texts whose sets a task makes at a time: an n-gram takes several numbers of 8 bytes until its set is described.
-TEXT_BYTES = 1 << 20
 #: Fragments of the global order: so many ranges of the rare n-grams, and one of the frequent ones.
 RARE_FRAGMENTS = 8
 #: Classes of a bucket up to which all its pairs are candidates at once.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sharing import written
-from .common import Cache, held_by_worker, slices, text_of
+from .common import TEXT_BYTES, Cache, held_by_worker, returning, slices, text_of
 
 #: Pieces of a group at most, about: larger groups pack tighter, smaller ones spread better.
 GROUP_PIECES = 16_384
@@ -117,7 +117,7 @@ def cut_pieces(df: DataFrame, vocabulary: str, width: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = coder(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TEXT_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -128,7 +128,7 @@ def cut_pieces(df: DataFrame, vocabulary: str, width: int = 2048, end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(returning(run), schema)
 
 
 class Pool:

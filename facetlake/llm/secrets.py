@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_by_worker, slices, text_of
+from .common import TEXT_BYTES, held_by_worker, returning, slices, text_of
 
 #: Fixed patterns of the base scan, and the least length of the part that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -142,7 +142,7 @@ def find_secrets(df: DataFrame, ranks: str, pattern: str, max_ratio: float = 2.2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = coder(ranks, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TEXT_BYTES):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = all_spans(text, encoding, max_ratio)
@@ -152,7 +152,7 @@ def find_secrets(df: DataFrame, ranks: str, pattern: str, max_ratio: float = 2.2
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    return df.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(returning(run), schema)
 
 
 def redact(df: DataFrame, ranks: str, pattern: str, mark: str = "[SECRET]", max_ratio: float = 2.2, text_col: str = "text") -> DataFrame:
@@ -161,11 +161,11 @@ def redact(df: DataFrame, ranks: str, pattern: str, mark: str = "[SECRET]", max_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = coder(ranks, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TEXT_BYTES):
             texts = [None if t is None else redacted(t, all_spans(t, encoding, max_ratio)[1], mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(returning(run), df.schema)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:

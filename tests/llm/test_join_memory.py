@@ -8,9 +8,10 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from facetlake.llm import ngramjoin
+from facetlake.llm import ngramjoin, secrets
 
 COUNTS = ngramjoin.Counts(np.empty(0, np.int64), np.empty(0, np.int64))
 
@@ -93,3 +94,14 @@ def test_counts_are_those_of_all_n_grams():
         hashes, n = np.unique(np.concatenate(every), return_counts=True)
         assert [(r["hash"], r["n"]) for r in found if r["word"] == word] == [(h, k) for h, k in zip(hashes.tolist(), n.tolist(), strict=True) if k > least]
     assert not sum(b.num_rows for b in counting()(iter([pa.RecordBatch.from_arrays([pa.array([""])], ["text"])])))
+
+
+def test_redaction_unpacks_little_text_at_a_time():
+    """A task gives rows after about a megabyte of text, not after four."""
+    table = Table()
+    table.columns = ["text"]
+    run = taken(lambda: secrets.redact(table, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    some = ["word " * 20_000] * 40
+    found = list(run(iter([pa.RecordBatch.from_arrays([pa.array(some)], ["text"])])))
+    assert [t for b in found for t in b.column(0).to_pylist()] == some
+    assert max(b.num_rows for b in found) <= 11
