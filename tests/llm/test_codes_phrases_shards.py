@@ -3,12 +3,15 @@
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +159,36 @@ def test_phrases_beyond_what_is_broadcast(spark):
         assert phrase_rows(df, max_words=4, least=4, hot_most=hot_most, hot_pairs=hot_pairs) == expected
 
 
+def test_phrases_of_chunks_without_other_words(spark, monkeypatch):
+    """Chunks that ask for no name beside chunks that do, with a single part and with many; numbers of 32 and of 64 bits."""
+    rows = [("de", "a b a b a b a b"), ("en", "a b c d e f. a b c d"), ("en", "c d e f a b c"), ("fr", "x x x"), (None, "e f e f e")] * 4
+    df, expected = phrase_table(spark, rows), plain_phrases(rows, 3, least=4)
+    plain = phrases.next_level
+    for part, beyond in ((1 << 16, 0), (1, 0), (2, 1 << 40)):
+        monkeypatch.setattr(phrases, "PART_NAMES", part)
+        monkeypatch.setattr(phrases, "next_level", lambda chunks, known, others, last, total: plain(chunks, known, others, last, total + beyond))  # noqa: B023
+        assert phrase_rows(df, least=4, hot_most=2, hot_pairs=1) == expected
+
+
+def test_pairs_that_workers_hold(spark):
+    """Twelve bytes a pair, and no copy of them for a chunk; the same names as without packing."""
+    rng = np.random.default_rng(3)
+    left, right = np.divmod(np.unique(rng.integers(0, 1 << 40, 200_000)), 1 << 20)
+    held = phrases.Pairs.__new__(phrases.Pairs)
+    held.keep(left, right, np.arange(len(left))[::-1])
+    assert len(pickle.dumps(held)) < 13 * len(left)
+    x, y = np.append(left[::100], [1 << 40, 5]), np.append(right[::100], [3, 1 << 40])
+    keys = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["left", "right"])
+    tracemalloc.start()
+    found = held.of("en", keys)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.dtype == np.int64 and found[-2:].tolist() == [-1, -1] and (found[:-2] == np.arange(len(left))[::-1][::100]).all()
+    assert most < 4 * len(left)
+    held.keep(left << 20, right, np.arange(len(left)))
+    assert (held.found(left[::7] << 20, right[::7]) == np.arange(len(left))[::7]).all()
+
+
 def test_phrases_of_nothing(spark):
     assert phrase_rows(phrase_table(spark, [])) == [] and phrase_rows(phrase_table(spark, [("en", None), (None, "a b")])) == []
 
